@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packets import PACKET, bucket_of, by_key, groups, offered, opened, packets, shared
 from .words import PLAIN, Words, sliced
 
 #: Perfect difference covers by period.
@@ -37,62 +38,6 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Text bytes whose anchors meet in one group.
 BUCKET_BYTES = 8 << 20
 
-_PACKET = "bucket int, known boolean, grams array<long>, keys array<long>, rows array<long>, runs array<int>, starts array<int>"
-
-
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-
-
-def _packets(buckets: np.ndarray, known: bool, grams: np.ndarray, keys: np.ndarray, rows: np.ndarray, starts: np.ndarray | None) -> pa.RecordBatch:
-    """A row for each bucket; keys and rows are run-length coded."""
-    order = np.lexsort((keys, buckets))
-    buckets, grams, keys, rows = buckets[order], grams[order], keys[order], rows[order]
-    new = np.ones(len(order), bool)
-    new[1:] = buckets[1:] != buckets[:-1]
-    first = np.flatnonzero(new)
-    bounds = np.append(first, len(order))
-    turn = new.copy()
-    turn[1:] |= (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-    runs = np.flatnonzero(turn)
-    run_bounds = np.searchsorted(runs, bounds)
-    lengths = np.diff(np.append(runs, len(order))).astype(np.int32)
-    start_lists = pa.array([None] * len(first), pa.list_(pa.int32())) if starts is None else _lists(starts[order], bounds)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(buckets[first].astype(np.int32)), pa.array(np.full(len(first), known)), _lists(grams.view(np.int64), bounds), _lists(keys[runs], run_bounds), _lists(rows[runs], run_bounds), _lists(lengths, run_bounds), start_lists],
-        ["bucket", "known", "grams", "keys", "rows", "runs", "starts"],
-    )
-
-
-def _opened(table: pa.Table) -> tuple[np.ndarray, ...]:
-    flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    runs = flat("runs")
-    return flat("grams"), np.repeat(flat("keys"), runs), np.repeat(flat("rows"), runs), flat("starts")
-
-
-def _by_key(names: Sequence[str], keys: np.ndarray, rows: np.ndarray | None, values: np.ndarray) -> pa.Table:
-    """A row for each key (and text) with its values."""
-    order = np.argsort(keys, kind="stable") if rows is None else np.lexsort((rows, keys))
-    keys, values = keys[order], values[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    if rows is not None:
-        rows = rows[order]
-        new[1:] |= rows[1:] != rows[:-1]
-    first = np.flatnonzero(new)
-    columns = [pa.array(keys[first])] + ([] if rows is None else [pa.array(rows[first])]) + [_lists(values, np.append(first, len(keys)))]
-    return pa.table(columns, names=list(names))
-
-
-def _groups(grams: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by gram and key; starts of the groups of a gram, and the group of each."""
-    order = np.lexsort((keys, grams))
-    g = grams[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def _owners(words: Words, part: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of word positions: the document's key, its text's hash and the position in it."""
     d = np.searchsorted(words.offsets, at, "right") - 1
@@ -120,7 +65,6 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"), carried.alias("carried"))
     total = documents.select(F.sum(F.octet_length(text))).first()[0] or 0
     n_buckets = int(min(2**31 - 1, 8 + total // bucket_bytes))
-    of = lambda grams: (grams >> np.uint64(20)) % np.uint64(n_buckets)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,31 +72,7 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
                 words = Words(part.column("text"), PLAIN)
                 grams, whole = words.ngrams(anchor)
                 at = np.flatnonzero(whole & _anchor_positions(words, period))
-                keys, _, _ = _owners(words, part, at)
-                order, first, group = _groups(grams[at], keys)
-                g, k = grams[at][order], keys[order]
-                once = np.ones(len(g), bool)
-                once[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-                shared = np.add.reduceat(once, first) > 1 if len(first) else np.zeros(0, bool)
-                zero = np.zeros(len(g), np.int64)
-                if len(first):
-                    yield _packets(of(g[first]), False, g[first], k[first], zero[first], None)
-                told = once & shared[group] if len(g) else once
-                if told.any():
-                    yield _packets(mixed(k[told]), True, g[told], k[told], zero[told], None)
-
-    mixed = lambda keys: keys.view(np.uint64) % np.uint64(n_buckets)
-
-    def shared_anchors(table: pa.Table) -> pa.Table:
-        known = table.column("known").to_numpy()
-        g, k, _, _ = _opened(table.filter(pa.array(~known)))
-        order, first, group = _groups(g, k)
-        sorted_k = k[order]
-        if len(first):
-            several = sorted_k[first] != sorted_k[np.append(first[1:], len(g)) - 1]
-            order = order[several[group]]
-        g2, k2, _, _ = _opened(table.filter(pa.array(known)))
-        return _by_key(("key", "anchors"), np.concatenate([k[order], k2]), None, np.concatenate([g[order], g2]))
+                yield from offered(grams[at], _owners(words, part, at)[0], n_buckets)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,23 +93,23 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
                 grams, whole = words.ngrams(n)
                 at = np.flatnonzero(candidate & whole)
                 keys, rows, starts = _owners(words, part, at)
-                order, first, group = _groups(grams[at], keys)
+                order, first, group = groups(grams[at], keys)
                 if not len(first):
                     continue
                 g, k, r, s = grams[at][order], keys[order], rows[order], starts[order].astype(np.int32)
                 least = k == k[first][group]
-                yield _packets(of(g[least]), False, g[least], k[least], r[least], s[least])
+                yield packets(bucket_of(g[least], n_buckets), False, g[least], k[least], r[least], s[least])
                 if not least.all():
-                    yield _packets(mixed(k[~least]), True, g[~least], k[~least], r[~least], s[~least])
+                    yield packets(bucket_of(k[~least].view(np.uint64), n_buckets), True, g[~least], k[~least], r[~least], s[~least])
 
     def removed_windows(table: pa.Table) -> pa.Table:
         known = table.column("known").to_numpy()
-        g, k, r, s = _opened(table.filter(pa.array(~known)))
-        order, first, group = _groups(g, k)
+        g, k, r, s = opened(table.filter(pa.array(~known)))
+        order, first, group = groups(g, k)
         if len(first):
             order = order[k[order] > k[order][first][group]]
-        _, k2, r2, s2 = _opened(table.filter(pa.array(known)))
-        return _by_key(("key", "row", "starts"), np.concatenate([k[order], k2]), np.concatenate([r[order], r2]), np.concatenate([s[order], s2]))
+        _, k2, r2, s2 = opened(table.filter(pa.array(known)))
+        return by_key(("key", "row", "starts"), np.concatenate([k[order], k2]), np.concatenate([r[order], r2]), np.concatenate([s[order], s2]))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,9 +128,9 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
                 kept = pa.array([t if ok else None for t, ok in zip(texts, part.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), pa.array(n_removed, pa.int64()), kept, part.column("carried")], ["doc_id", "n_words", "n_removed", "kept_text", "carried"])
 
-    found = docs.select("key", "row", "text").mapInArrow(anchors, _PACKET).groupBy("bucket").applyInArrow(shared_anchors, "key long, anchors array<long>")
-    found = found.groupBy("key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    removed = docs.join(found, "key").mapInArrow(windows, _PACKET).groupBy("bucket").applyInArrow(removed_windows, "key long, row long, starts array<int>")
+    found = docs.select("key", "row", "text").mapInArrow(anchors, PACKET).groupBy("bucket").applyInArrow(shared, "key long, grams array<long>")
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("grams")).alias("anchors"))
+    removed = docs.join(found, "key").mapInArrow(windows, PACKET).groupBy("bucket").applyInArrow(removed_windows, "key long, row long, starts array<int>")
     removed = removed.groupBy("key").agg(F.collect_list(F.struct("row", "starts")).alias("removed"))
     kind, carried_kind = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "carried"))
     return docs.join(removed, "key", "left").mapInArrow(without, f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_kind}")
