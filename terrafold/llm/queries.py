@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contamination
+from .ngram_join import similar_groups
 from .substring_dedup import deduplicated
 
 
@@ -27,6 +28,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
