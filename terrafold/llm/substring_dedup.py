@@ -36,7 +36,7 @@ from .words import PLAIN, Words, sliced
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Text bytes whose anchors meet in one group.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 48 << 20
 
 def _owners(words: Words, part: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of word positions: the document's key, its text's hash and the position in it."""
@@ -64,7 +64,7 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
     last = F.lit(2**63 - 1)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"), carried.alias("carried"))
     total = documents.select(F.sum(F.octet_length(text))).first()[0] or 0
-    n_buckets = int(min(2**31 - 1, 8 + total // bucket_bytes))
+    n_buckets = int(min(2**31 - 1, 16 + total // bucket_bytes))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
