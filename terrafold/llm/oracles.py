@@ -93,3 +93,13 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (payload_digest)
 """
+
+SQL["op4_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turn_no FROM conversations),
+c AS (
+  SELECT conv_id, count(*) AS n, string_agg(coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)) || chr(2), '' ORDER BY turn_no) AS s FROM t GROUP BY conv_id)
+SELECT t.conv_id, turn_no, role, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN c AS a USING (conv_id)
+WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id <> a.conv_id AND starts_with(b.s, a.s) AND (b.n > a.n OR b.conv_id < a.conv_id))
+"""

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, url_filter
 from .bpe import decoded, encoded
+from .chat_format import rendered
 from .decontaminate import contamination
 from .license_scan import scanned
 from .ngram_join import similar_groups
@@ -71,10 +72,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("carried.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(_table(spark, sf_dir, "conversations"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+#: The rules of op6.
+URL_RULES = (
+    url_filter.Rule("com/en/", "block"),
+    url_filter.Rule("example.com/en/7", "allow"),
+    url_filter.Rule("net/de/", "block"),
+    url_filter.Rule("example.net/de/8", "allow"),
+    url_filter.Rule("org/es/", "block"),
+)
+#: Words of hosts by which urls are labelled for training.
+BAD_HOST_WORDS = "adult|bet|bets|casino|gamble|loans|lottery|pills|poker|porn|spam|viagra|win|xxx"
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.col("url").rlike(rf"(?i)^[^/]*://([^/?#]*[.-])?({BAD_HOST_WORDS})[.-]")
+    model = url_filter.fit(pages.where("url IS NOT NULL").select("url", bad.cast("int").alias("label")))
+    return url_filter.judged(pages, URL_RULES, model).select("carried.page_id", "host", "path", "rule", "verdict")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = deduplicated(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
