@@ -1,5 +1,85 @@
-"""Placeholder of the corpus pipeline."""
+"""From raw documents to token ids, in five stages.
 
+Each stage takes what its predecessor kept, and its decisions take effect: documents that break
+quality rules go, one document of each group of near duplicates stays, passages that an earlier
+document has are cut out, documents that hold benchmark passages go, and the rest is encoded.
+All stages but the last return the columns of ``documents``.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.llm.bpe import decoded, encoded
+from terrafold.llm.decontaminate import contamination
+from terrafold.llm.ngram_join import similar_groups
+from terrafold.llm.quality_rules import judged
+from terrafold.llm.storage import stored
+from terrafold.llm.substring_dedup import deduplicated
+
+#: Ids that are sent to every task at most (of 8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
+
+#: The last stage's ids have no SQL form.
+ORACLE_SQL = None
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids`` with a hint to broadcast them, if they are few."""
+    return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return judged(docs, carry=docs.columns).where("kept").select("carried.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays. Rows with equal ids and texts are one
+    document; rows with null ids all stay."""
+    groups = stored(similar_groups(docs), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    docs = docs.join(_sent(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = stored(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return docs
+    once = docs.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.union(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated windows; documents of which nothing is left go."""
+    rows = deduplicated(docs, carry=docs.columns).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
+    rows = rows.withColumn("carried", F.col("carried").withField("text", text).withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return rows.select("carried.*")
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(docs, benchmark, carry=docs.columns).where(F.size("spans") == 0).select("carried.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, with digests of the ids and of the bytes they decode to."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = decoded(encoded(docs, ranks, pattern), ranks, pattern)
+    ids_sha256 = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_free),
+    ("byte-level BPE", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

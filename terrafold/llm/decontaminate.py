@@ -11,12 +11,13 @@ beyond, fingerprints and windows are joined by shuffles instead, with the same r
 
 Defined results: a null or empty text has no words and no hits; equal items all count; an item
 whose id is null counts under the name ``null``; repeated documents each get their own row; an
-empty benchmark hits nothing. Only the named columns are read, so others may have any name.
+empty benchmark hits nothing. Only the named columns are read; ``carry`` columns are
+handed on whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from .words import LOWER_ALNUM, Words, sliced
 #: Windows times items that are sent to every task at most (about 60 MB).
 MOST_BROADCAST = 2_000_000
 
-_RESULT = "doc_id {}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
+_RESULT = "doc_id {}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, carried {}"
 
 
 def _window_minima(grams: np.ndarray, width: int) -> np.ndarray:
@@ -140,7 +141,7 @@ def _known(rows: list) -> tuple[list[_Known], list[str]]:
     return out, names
 
 
-def _by_broadcast(docs: DataFrame, windows: DataFrame, n: int, k: int, kind: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tuple[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_known(windows.collect()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +155,16 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, n: int, k: int, kind: str
                     for d, w in zip((np.searchsorted(words.offsets, starts, "right") - 1).tolist(), which.tolist()):
                         found[d].update(one.items[one.first[w] : one.first[w + 1]].tolist())
                 items = pa.array([[names[i] for i in sorted(x)] for x in found], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), items], ["doc_id", "n_words", "spans", "item_ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), items, part.column("carried")], ["doc_id", "n_words", "spans", "item_ids", "carried"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, _RESULT.format(kind))
+    return docs.select("doc_id", "text", "carried").mapInArrow(work, _RESULT.format(*kinds))
 
 
-def _by_join(docs: DataFrame, windows: DataFrame, n: int, k: int, kind: str) -> DataFrame:
+def _by_join(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tuple[str, str]) -> DataFrame:
     """For benchmarks of any size: fingerprints first tell which documents matter, and only
     their windows are joined."""
     widths = [r.width for r in windows.select("width").distinct().collect()]
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    docs = docs.select("doc_id", "text", "carried", F.xxhash64("doc_id", "text").alias("key"))
 
     def fingerprints(batches):
         for batch in batches:
@@ -197,24 +198,26 @@ def _by_join(docs: DataFrame, windows: DataFrame, n: int, k: int, kind: str) ->
                 for d, found in enumerate(part.column("places").to_pylist()):
                     for p in found or ():
                         hit[words.offsets[d] + p["start"] : words.offsets[d] + p["start"] + p["width"]] = True
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), part.column("item_ids")], ["doc_id", "n_words", "spans", "item_ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), part.column("item_ids"), part.column("carried")], ["doc_id", "n_words", "spans", "item_ids", "carried"])
 
     marked = docs.select("text", "key").mapInArrow(fingerprints, "fingerprint long, key long").join(windows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("key").distinct()
     found = docs.join(marked, "key", "left_semi").select("text", "key").mapInArrow(places, "width int, hash long, key long, start int").distinct()
     found = found.join(windows.select("width", "hash", "item"), ["width", "hash"])
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", "width")).alias("places"), F.array_sort(F.collect_set("item")).alias("item_ids"))
-    rows = docs.join(found, "key", "left").select("doc_id", "text", "places", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
-    return rows.mapInArrow(spans, _RESULT.format(kind))
+    rows = docs.join(found, "key", "left").select("doc_id", "text", "carried", "places", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return rows.mapInArrow(spans, _RESULT.format(*kinds))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: Sequence[str] = (), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Where windows of ``benchmark`` occur in ``documents``.
 
     Returns, for each document, ``doc_id``, ``n_words``, ``spans`` (runs of words, from 0, that lie in
-    an occurrence: start, end) and ``item_ids`` (items with an occurring window, sorted as strings).
+    an occurrence: start, end), ``item_ids`` (items with an occurring window, sorted as strings) and
+    ``carried``, a struct of the ``carry`` columns.
     """
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), carried.alias("carried"))
     windows = benchmark_windows(benchmark, n, k, item_id, item_text)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = tuple(docs.schema[c].dataType.simpleString() for c in ("doc_id", "carried"))
     few = windows.limit(most_broadcast + 1).count() <= most_broadcast
-    return (_by_broadcast if few else _by_join)(docs, windows, n, k, kind)
+    return (_by_broadcast if few else _by_join)(docs, windows, n, k, kinds)

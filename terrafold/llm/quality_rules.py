@@ -105,7 +105,10 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("windows", F.array_sort(F.transform("alike", window)))
     equal = lambda x, k: (x["w"] == F.get("windows", k + 1)["w"]) | (x["w"] == F.get("windows", k - 1)["w"])
     covered = F.flatten(F.transform(F.filter("windows", equal), lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
-    return rows.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long")).drop("bits", "packed", "alike", "windows")
+    # filters on the counts stay above this projection, as one of its columns isn't deterministic; pushed
+    # down, they would put the arrays above in place of each use of them
+    fence = F.spark_partition_id().alias("fence")
+    return rows.select("*", F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"), fence).drop("bits", "packed", "alike", "windows")
 
 
 def judged(documents: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE, least_words: int = LEAST_WORDS, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -116,4 +119,4 @@ def judged(documents: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[R
         failed = failed | rule.broken()
     names = F.array_compact(F.array(*[F.when(rule.broken(), F.lit(rule.name)) for rule in rules]))
     rows = rows.withColumn("base_failed", failed).withColumn("broken", names)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0) & (F.col("fence") >= 0)).drop("fence")
