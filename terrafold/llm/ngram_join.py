@@ -9,9 +9,10 @@ their union. All links count, none is estimated:
 2. Linked sets share one of their first n - ceil(t n) + 1 shingles in that order. Sets that share
    such a shingle form a tile.
 3. Tiles are cut by size band (linked sizes differ by a factor of t at most). In each, all are
-   compared with the smallest member first; linked members are merged.
+   compared with one member first, that whose prefix others share most: of near copies, one that
+   was hardly edited. Linked members are merged.
 4. Only tiles that still hold several groups are searched for pairs between these, in blocks of
-   at most ``BLOCK`` sets a side for large ones. Two sets of sizes a and b whose hashed bitmaps differ
+   ``BLOCK`` sets a side for large ones. Two sets of sizes a and b whose hashed bitmaps differ
    in d bits share at most (a + b - d) / 2 shingles; what that bound allows is compared exactly, as
    sorted arrays. Pairs in one group, as in a large group of near copies, need no comparison.
 
@@ -40,12 +41,17 @@ from .words import LOWER, Words, mix, sliced
 #: The sketch has 2 ** SKETCH_BITS counters, whatever the input (4 bytes each, sent to every task).
 SKETCH_BITS = 21
 #: Sets on each side of a block of a large tile.
-BLOCK = 512
+BLOCK = 2048
+#: Sets of a tile whose pairs need no bitmaps first.
+SMALL = 8
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Text bytes whose prefix shingles meet in one group.
 BUCKET_BYTES = 96 << 20
 
+#: Bits of the bitmaps that go with the rows of large tiles.
+SHORT_BITS = 4096
+
 _CHUNK = 1 << 15
 
 
@@ -69,35 +75,46 @@ def _set_id(one: np.ndarray) -> int:
     return int(mix(one + np.uint64(len(one))).sum(dtype=np.uint64).view(np.int64))
 
 
-def _bitmap(one: np.ndarray) -> bytes:
+def _bitmap(one: np.ndarray, each: int, most: int) -> bytes:
+    """A bit for each hash: ``each`` times as many bits as hashes or more, up to ``most``."""
     bits = 64
-    while bits < 2 * len(one):
+    while bits < min(each * len(one), most):
         bits *= 2
     out = np.zeros(bits, bool)
     out[(one & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _hamming(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Differing bits of pairs of bitmaps, the larger folded to the smaller's length."""
-    out = np.zeros(len(a), np.int64)
-    sizes = np.array([[len(x) // 8, len(y) // 8] for x, y in zip(a, b)])
-    for p, q in np.unique(sizes, axis=0).tolist() if len(a) else ():
-        at = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))
-        x = np.frombuffer(b"".join(a[i] for i in at), np.uint64).reshape(len(at), p)
-        y = np.frombuffer(b"".join(b[i] for i in at), np.uint64).reshape(len(at), q)
-        m = min(p, q)
-        x, y = (np.bitwise_or.reduce(z.reshape(len(at), -1, m), axis=1) for z in (x, y))
-        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+class _Bitmaps:
+    """A column of bitmaps as 64-bit words."""
+
+    def __init__(self, column: pa.Array):
+        column = pa.concat_arrays([column.cast(pa.large_binary())])
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+        self.first, self.size = at[:-1] // 8, np.diff(at) // 8
+        self.words = np.frombuffer(data, np.uint64, at[-1] // 8) if at[-1] else np.zeros(0, np.uint64)
+
+    def rows(self, which: np.ndarray, size: int, to: int) -> np.ndarray:
+        """Bitmaps of ``size`` words, folded to ``to``."""
+        found = self.words[self.first[which][:, None] + np.arange(size)]
+        return np.bitwise_or.reduce(found.reshape(len(which), -1, to), axis=1)
+
+
+def _possible(na: np.ndarray, nb: np.ndarray, a: _Bitmaps, x: np.ndarray, b: _Bitmaps, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (row x of a, row y of b) can link, by the bound that their bitmaps give on the intersection."""
+    out = np.ones(len(x), bool)
+    sizes = a.size[x] << 32 | b.size[y]
+    for both in np.unique(sizes).tolist():
+        p, q = both >> 32, both & 0xFFFFFFFF
+        at = np.flatnonzero(sizes == both)
+        for part in np.array_split(at, 1 + len(at) * max(p, q) // 4_000_000):
+            differ = np.bitwise_count(a.rows(x[part], p, min(p, q)) ^ b.rows(y[part], q, min(p, q))).sum(axis=1)
+            most = (na[part] + nb[part] - differ) // 2
+            out[part] = 100 * most >= percent * (na[part] + nb[part] - most)
     return out
 
 
-def _possible(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs can link, by the bound that their bitmaps give on the intersection."""
-    most = (na + nb - _hamming(a, b)) // 2
-    return 100 * most >= percent * (na + nb - most)
-
-
 class _Sizes:
     """What the threshold says of set sizes."""
 
@@ -127,18 +144,18 @@ def _sets_table(docs: DataFrame, n: int, kind: str) -> DataFrame:
                 every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
                 cells += np.bincount(every.astype(np.int64), minlength=len(cells)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([_bitmap(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                    ["doc_id", "size", "sid", "bitmap", "part", "cells"],
+                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([_bitmap(x, 4, 1 << 40) if len(x) else None for x in sets], pa.binary()), pa.array([_bitmap(x, 8, SHORT_BITS) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                    ["doc_id", "size", "sid", "bitmap", "short", "part", "cells"],
                 )
         if ids is not None and cells.any():
             parts = [zlib.compress(cells[a : a + _CHUNK].tobytes(), 1) for a in range(0, len(cells), _CHUNK)]
             empty = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(empty, ids.type), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.binary()), pa.array(np.arange(empty, dtype=np.int32)), pa.array(parts, pa.binary())],
-                ["doc_id", "size", "sid", "bitmap", "part", "cells"],
+                [pa.nulls(empty, ids.type), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.binary()), pa.nulls(empty, pa.binary()), pa.array(np.arange(empty, dtype=np.int32)), pa.array(parts, pa.binary())],
+                ["doc_id", "size", "sid", "bitmap", "short", "part", "cells"],
             )
 
-    return docs.mapInArrow(work, f"doc_id {kind}, size long, sid long, bitmap binary, part int, cells binary")
+    return docs.mapInArrow(work, f"doc_id {kind}, size long, sid long, bitmap binary, short binary, part int, cells binary")
 
 
 def _sketch(table: DataFrame) -> np.ndarray:
@@ -227,25 +244,28 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, sizes: _Sizes) -> DataFrame:
     def work(batches):
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            keep = sizes.fit(na, nb) & _possible(na, nb, batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), sizes.percent)
+            every = np.arange(batch.num_rows)
+            keep = sizes.fit(na, nb) & _possible(na, nb, _Bitmaps(batch.column("ma")), every, _Bitmaps(batch.column("mb")), every, sizes.percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda k: nodes.select(F.col("sid").alias(k), F.col("size").alias("n" + k), F.col("bitmap").alias("m" + k))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(work, "a long, b long")
 
 
-def _between_groups(members: DataFrame, sizes: _Sizes) -> DataFrame:
-    """Pairs (a, b) of different groups in one tile that sizes and bitmaps allow.
+def _between_groups(members: DataFrame, nodes: DataFrame, sizes: _Sizes) -> DataFrame:
+    """Pairs (a, b) of different groups in one tile that sizes allow.
 
-    A large tile is cut by size band; a band and the next one up meet in blocks of BLOCK sets a side.
+    A tile of over SMALL sets is cut by size band; a band and the next one up meet in blocks of BLOCK
+    sets a side, and the pairs must pass the bound of short bitmaps, too.
     """
     tiles = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle", "n")
-    rows = members.join(tiles, "shingle")
-    small = rows.where(f"n <= {BLOCK}").select("*", F.lit(-1).alias("low"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    big = rows.where(f"n > {BLOCK}").withColumn("band", sizes.band("size")).withColumn("low", F.explode(F.array("band", F.col("band") - 1)))
+    rows = members.join(tiles, "shingle").select("shingle", "n", "sid", "size", "root")
+    tile = lambda *more: F.xxhash64("shingle", *more).alias("tile")
+    small = rows.where(f"n <= {SMALL}").select(tile(), "sid", "size", "root", F.lit(None).cast("binary").alias("short"))
+    big = rows.where(f"n > {SMALL}").join(nodes.select("sid", "short"), "sid").withColumn("low", F.explode(F.array(sizes.band("size"), sizes.band("size") - 1)))
     blocks = F.ceil(F.col("n") / BLOCK)
     big = big.withColumn("own", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    big = big.select(*rows.columns, "low", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"))
+    big = big.select(tile("low", F.least("own", "other"), F.greatest("own", "other")), "sid", "size", "root", "short")
     rows = small.union(big)
 
     def work(batches):
@@ -267,24 +287,30 @@ def _between_groups(members: DataFrame, sizes: _Sizes) -> DataFrame:
         new = np.ones(len(tile), bool)
         new[1:] = tile[1:] != tile[:-1]
         ends = np.append(np.flatnonzero(new)[1:], len(tile))[np.cumsum(new) - 1]
-        at, maps = np.arange(len(tile)), table.column("bitmap").combine_chunks()
-        found, step = [np.zeros((0, 2), np.int64)], 1
-        while len(at := at[at + step < ends[at]]):
-            hit = at[(root[at] != root[at + step]) & sizes.fit(size[at], size[at + step]) & (sid[at] != sid[at + step])]
-            found.append(np.stack([hit, hit + step], 1))
+        column = table.column("short").combine_chunks()
+        bare, maps = np.asarray(column.is_null()), _Bitmaps(column)
+        at, step, found, n_found = np.arange(len(tile)), 1, [], 0
+        while True:
+            at = at[at + step < ends[at]]
+            hit = at[(root[at] != root[at + step]) & sizes.fit(size[at], size[at + step])]
+            found.append((hit, hit + step))
+            n_found += len(hit)
             step += 1
-        found = np.concatenate(found)
-        a, b = np.minimum(sid[found[:, 0]], sid[found[:, 1]]), np.maximum(sid[found[:, 0]], sid[found[:, 1]])
-        order = np.lexsort((b, a))
-        once = np.ones(len(order), bool)
-        once[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        order = order[once]
-        for part in np.array_split(order, 1 + len(order) // 20_000):
-            x, y = found[part, 0], found[part, 1]
-            ok = _possible(size[x], size[y], maps.take(pa.array(x)).to_pylist(), maps.take(pa.array(y)).to_pylist(), sizes.percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[part][ok]), pa.array(b[part][ok])], ["a", "b"])
-
-    rows = rows.select(F.xxhash64("shingle", "low", "i", "j").alias("tile"), "sid", "size", "root", "bitmap")
+            if not len(at) or n_found > 200_000:
+                x, y = (np.concatenate(z) for z in zip(*found))
+                ok = bare[x].copy()
+                ok[~ok] = _possible(size[x[~ok]], size[y[~ok]], maps, x[~ok], maps, y[~ok], sizes.percent)
+                x, y = sid[x[ok]], sid[y[ok]]
+                a, b = np.minimum(x, y), np.maximum(x, y)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                once = np.ones(len(a), bool)
+                once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
+                found, n_found = [], 0
+            if not len(at):
+                return
+
     spread = rows.repartition("tile").sortWithinPartitions("tile")
     return spread.mapInArrow(work, "a long, b long").distinct()
 
@@ -297,20 +323,23 @@ def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id:
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     table = stored(_sets_table(docs, n, kind), "sets")
-    own = table.where("part IS NULL").select("doc_id", "size", "sid", "bitmap")
-    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "nodes")
+    own = table.where("part IS NULL").select("doc_id", "size", "sid", "bitmap", "short")
+    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("short").alias("short")), "nodes")
     prefixes = stored(_prefixes(docs, n, sizes, _sketch(table), int(min(2**31 - 1, 16 + total // BUCKET_BYTES))), "prefixes")
-    members = stored(prefixes.join(first.select("sid", "size", "bitmap"), "sid"), "members")
-
-    banded = members.select("sid", "shingle", sizes.band("size").alias("band"))
-    centres = banded.groupBy("shingle", "band").agg(F.min("sid").alias("b"), F.max("sid").alias("most")).where("b <> most").drop("most")
-    stars = banded.join(centres, ["shingle", "band"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    # what share of its prefix others have too: most for the least edited of near copies
+    common = prefixes.groupBy("sid").agg(F.count(F.lit(1)).alias("common")).join(first.select("sid", "size"), "sid")
+    common = common.select("sid", "size", (F.col("common") / F.col("size")).alias("common"))
+    members = stored(prefixes.join(common, "sid"), "members")
+
+    banded = members.select("sid", "shingle", "common", sizes.band("size").alias("band"))
+    centres = banded.groupBy("shingle", "band").agg(F.max_by("sid", F.struct("common", "sid")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = banded.join(centres, ["shingle", "band"]).where("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
     stars = stored(_bounded(stars, first, sizes), "stars")
     links = stored(_linked(stars, docs, first, n, percent, kind), "links")
     roots = components(links)
 
     grouped = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rest = stored(_between_groups(grouped, sizes), "rest")
+    rest = stored(_bounded(_between_groups(grouped, first, sizes), first, sizes), "rest")
     more = _linked(rest, docs, first, n, percent, kind)
     roots = components(links.union(more))
 
