@@ -115,7 +115,7 @@ def snapped(points: DataFrame, polygons: DataFrame, cap_m: float = 3000.0) -> Da
     if no other has that name, 4 the one whose centre (``clon``, ``clat``) is nearest within ``cap_m``, for named points.
     Returns ``point_id``, ``key``, ``rule``; points that no rule places are missing.
     """
-    contained = inside(points, polygons, how="first").where("key IS NOT NULL").select("point_id", "key", F.lit(1).alias("rule"), F.lit(0.0).alias("d"))
+    contained = inside(points.select("point_id", "lon", "lat"), polygons.select("key", "pos", "rings"), how="first").where("key IS NOT NULL").select("point_id", "key", F.lit(1).alias("rule"), F.lit(0.0).alias("d"))
     names = polygons.select("key", F.col("name").alias("p_name"), F.col("parent").alias("p_parent"))
     by_both = points.join(names, (F.col("name") == F.col("p_name")) & (F.col("parent") == F.col("p_parent"))).select("point_id", "key", F.lit(2).alias("rule"), F.lit(0.0).alias("d"))
     unique = names.groupBy("p_name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n = 1")

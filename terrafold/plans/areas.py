@@ -1,0 +1,287 @@
+"""Queries over polygons, distances, lattices, scores and assignments (§2.4, 2.6, 2.8, 2.13 of the inventory)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrafold.functions import geo
+from terrafold.operators import forcefit, lattice, review, shapes, siting, spatial, territory
+
+from .fixtures import IN_BOX, METRES, frame, polygons, with_
+from .registry import query
+
+
+def _k(c, scale=1000):
+    return F.floor(c * float(scale) + 0.5).cast("long")
+
+
+@query("join5_geo1_geo2_containing", with_("outlets", "boxes") + f" SELECT o.point_id, (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) AS key FROM outlets o")
+def _(spark, d):
+    return spatial.inside(frame(spark, d, "outlets").select("point_id", "lon", "lat"), polygons(spark, d).select("key", "pos", "rings"), how="first").select("point_id", "key")
+
+
+@query("join6_join23_all_containing", with_("sites", "boxes") + f" SELECT b.key, o.kind, count(*) AS n FROM sites o JOIN boxes b ON {IN_BOX} GROUP BY ALL")
+def _(spark, d):
+    rows = spatial.inside(frame(spark, d, "sites"), polygons(spark, d).select("key", "pos", "rings"))
+    return rows.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join8_smallest_containing", with_("outlets", "boxes") + f""" SELECT o.point_id, coalesce((SELECT min(b.key) FROM boxes b WHERE {IN_BOX}), 100) AS key FROM outlets o""")
+def _(spark, d):
+    shape = polygons(spark, d).select("key", "pos", "area_km2", "rings")
+    whole = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((100.0, -10.0), (110.0, -10.0), (110.0, 0.0), (100.0, 0.0))])
+    # one polygon around all of them: its cells are wide, so it has a grid of its own
+    around = spark.range(1).select(F.lit(100).alias("key"), F.lit(-1).alias("pos"), F.lit(1000).alias("area_km2"), F.array(whole).alias("rings"))
+    points = frame(spark, d, "outlets").select("point_id", "lon", "lat")
+    return spatial.inside(points, shape.unionByName(around), size=0.25, how="smallest").select("point_id", "key")
+
+
+@query("join9_join10_nearest", with_("outlets", "sites") + f""" SELECT point_id, arg_min(site, (m, site)) AS nearest_id, CAST(floor(min(m) + 0.5) AS BIGINT) AS metres FROM (SELECT o.point_id, p.point_id AS site, {METRES} AS m FROM outlets o, sites p) GROUP BY point_id""")
+def _(spark, d):
+    rows = spatial.nearest(frame(spark, d, "outlets").select("point_id", "lon", "lat"), frame(spark, d, "sites").select("point_id", "lon", "lat"), 10_000)
+    return rows.select("point_id", "nearest_id", _k(F.col("metres"), 1).alias("metres"))
+
+
+@query("join11_nearest_capped", with_("outlets", "boxes") + f""" SELECT point_id, arg_min(key, (m, key)) AS nearest_id FROM (SELECT o.point_id, p.key, {METRES} AS m FROM outlets o, (SELECT key, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM boxes) p) WHERE m <= 3000 GROUP BY point_id""")
+def _(spark, d):
+    centres = polygons(spark, d).select(F.col("key").alias("point_id"), F.col("clon").alias("lon"), F.col("clat").alias("lat"))
+    rows = spatial.nearest(frame(spark, d, "outlets").select("point_id", "lon", "lat"), centres, 3000, rounds=1)
+    return rows.where("nearest_id IS NOT NULL").select("point_id", "nearest_id")
+
+
+@query("join12_join26_snap_cascade", with_("outlets", "boxes") + f""", o AS (SELECT point_id, lon, lat, CASE WHEN point_id % 3 > 0 THEN 'B' || nation END AS name, CASE WHEN point_id % 3 = 1 THEN 'P' || nation END AS parent FROM outlets),
+ c AS (SELECT o.point_id, b.key, 1 AS rule, 0.0 AS d FROM o JOIN boxes b ON {IN_BOX} UNION ALL SELECT point_id, key, 2, 0.0 FROM o JOIN boxes b ON o.name = 'B' || b.key AND o.parent = 'P' || b.key UNION ALL SELECT point_id, key, 3, 0.0 FROM o JOIN boxes b ON o.name = 'B' || b.key)
+SELECT rule, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rule, key) AS r FROM c) WHERE r = 1 GROUP BY rule""")
+def _(spark, d):
+    shape = polygons(spark, d).withColumns({"name": F.concat(F.lit("B"), "key"), "parent": F.concat(F.lit("P"), "key")})
+    m = F.col("point_id") % 3
+    points = frame(spark, d, "outlets").select("point_id", "lon", "lat", F.when(m > 0, F.concat(F.lit("B"), "nation")).alias("name"), F.when(m == 1, F.concat(F.lit("P"), "nation")).alias("parent"))
+    return spatial.snapped(points, shape).where("rule < 4").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
+
+
+@query("join13_within_radius", with_("sites") + f""" SELECT o.point_id, p.kind, count(*) AS n FROM sites o, sites p WHERE {METRES} <= 15000 GROUP BY ALL""")
+def _(spark, d):
+    rows = frame(spark, d, "sites").select("point_id", "kind", "lon", "lat")
+    return spatial.counts_within(rows, rows, 15000)
+
+
+@query("join20_adjacency", with_("boxes") + """ SELECT a.key AS a, b.key AS b FROM boxes a JOIN boxes b ON a.key < b.key AND a.x0 - 0.006 <= b.x1 + 0.006 AND b.x0 - 0.006 <= a.x1 + 0.006 AND a.y0 - 0.006 <= b.y1 + 0.006 AND b.y0 - 0.006 <= a.y1 + 0.006""")
+def _(spark, d):
+    return spatial.adjacent(polygons(spark, d), pad=0.006)
+
+
+@query("join21_overlap_shares", with_("boxes") + """, s AS (SELECT key, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j) WHERE NOT holed)
+SELECT key, region AS cover, count(*) FILTER (WHERE lon >= 106.6 + region * 0.2 AND lon < 106.6 + region * 0.2 + 0.2) AS n_in, count(*) AS n_all FROM s, (SELECT DISTINCT region FROM boxes) r GROUP BY key, cover HAVING n_in >= 0.005 * n_all""")
+def _(spark, d):
+    covers = frame(spark, d, "boxes").select("region").distinct()
+    x = F.lit(106.6) + F.col("region") * 0.2
+    corners = F.array(*[F.array(x + a, F.lit(b)) for a, b in ((0.0, -8.0), (0.2, -8.0), (0.2, -5.0), (0.0, -5.0))])
+    covers = covers.select(F.col("region").alias("key"), F.array(corners).alias("rings"))
+    whole = polygons(spark, d).where(F.size("rings") == 1)
+    return spatial.overlap_shares(whole, covers)
+
+
+@query("join22_scr7_population_within", with_("sites", "boxes") + f""", p AS (SELECT key, population, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j) WHERE NOT holed)
+SELECT point_id, CAST(sum(population * n / 100) AS BIGINT) AS population FROM (SELECT o.point_id, p.key, any_value(p.population) AS population, count(*) AS n FROM (SELECT * FROM sites WHERE point_id <= 40) o, p WHERE {METRES} <= 2000 GROUP BY ALL) GROUP BY point_id""".replace("sum(population * n / 100)", "floor(sum(CAST(population AS DOUBLE) * n / 2500) + 0.5)"))
+def _(spark, d):
+    whole = polygons(spark, d).where(F.size("rings") == 1)
+    rows = spatial.population_within(frame(spark, d, "sites").where("point_id <= 40").select("point_id", "lon", "lat"), whole, 2000)
+    return rows.select("point_id", _k(F.col("population"), 1).alias("population"))
+
+
+@query("join25_what_is_here", with_("boxes", "sites") + f""" SELECT b.key, count(*) AS n FROM sites o JOIN boxes b ON {IN_BOX} WHERE b.key IN (SELECT b.key FROM (SELECT CAST(106.62 AS DOUBLE) AS lon, CAST(-6.6 AS DOUBLE) AS lat) o JOIN boxes b ON {IN_BOX}) GROUP BY b.key""")
+def _(spark, d):
+    shape = polygons(spark, d).select("key", "pos", "rings")
+    here = spark.range(1).select(F.lit(106.62).alias("lon"), F.lit(-6.6).alias("lat"))
+    hit = spatial.inside(here, shape).select("key")
+    return spatial.inside(frame(spark, d, "sites"), shape.join(hit, "key", "left_semi")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("geo3_inner_points", with_("boxes") + """ SELECT key, CAST(floor((CASE WHEN holed THEN x0 + (x1 - x0) / 6 ELSE (x0 + x1) / 2 END) * 1000 + 0.25) AS BIGINT) AS lon_e3 FROM boxes WHERE NOT holed""")
+def _(spark, d):
+    rows = polygons(spark, d).where(F.size("rings") == 1).select("key", shapes.inner_point(F.col("rings")).alias("p"))
+    return rows.select("key", F.floor(F.col("p.lon") * 1000.0 + 0.25).cast("long").alias("lon_e3"))
+
+
+@query("geo4_areas", with_("boxes") + """ SELECT key, CAST(floor((x1 - x0) * (y1 - y0) * cos(radians((y0 + y1) / 2)) * 111320.0 * 111320.0 / 1e6 * (CASE WHEN holed THEN CAST(8 AS DOUBLE) / 9 ELSE 1 END) * 100 + 0.5) AS BIGINT) AS hectares FROM boxes""")
+def _(spark, d):
+    return polygons(spark, d).select("key", _k(geo.polygon_area_km2(F.col("rings"), F.col("clat")), 100).alias("hectares"))
+
+
+def _metric_points(spark, d):
+    rows = frame(spark, d, "outlets")
+    return rows.select(F.col("rep").alias("owner"), ((F.col("point_id") * 7919) % 110000).cast("double").alias("x"), ((F.col("point_id") * 104729) % 80000).cast("double").alias("y"))
+
+
+_STAMPS = """WITH p AS (SELECT CAST(c_custkey % 97 AS BIGINT) AS owner, CAST((c_custkey * 7919) % 110000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 80000 AS DOUBLE) AS y FROM customer),
+ s AS (SELECT owner, CAST(floor(x / 500) AS INTEGER) + a AS i, CAST(floor(y / 500) AS INTEGER) + b AS j, x, y FROM p, range(-2, 3) r(a), range(-2, 3) t(b)),
+ c AS (SELECT owner, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pow((i + CAST(0.5 AS DOUBLE)) * 500 - x, 2) + pow((j + CAST(0.5 AS DOUBLE)) * 500 - y, 2) AS d2 FROM s WHERE pow((i + CAST(0.5 AS DOUBLE)) * 500 - x, 2) + pow((j + CAST(0.5 AS DOUBLE)) * 500 - y, 2) <= 1000000)"""
+
+
+@query("geo6_set6_coverage", _STAMPS + """, u AS (SELECT DISTINCT owner, i, j FROM c) SELECT count(*) AS cells, count(DISTINCT (i, j)) AS distinct_cells FROM u""")
+def _(spark, d):
+    return lattice.overlap(lattice.covered(_metric_points(spark, d), 500.0, 1000.0)).select("cells", "distinct_cells")
+
+
+@query("geo7_exclusive_cells", _STAMPS + """ SELECT i, j, arg_min(owner, (d2, owner)) AS owner FROM c GROUP BY i, j""")
+def _(spark, d):
+    return lattice.owned(_metric_points(spark, d), 500.0, 1000.0)
+
+
+@query("geo8_islands")
+def _(spark, d):
+    return lattice.absorbed(lattice.owned(_metric_points(spark, d), 500.0, 1000.0))
+
+
+@query("geo9_geo11_outlines")
+def _(spark, d):
+    return lattice.outlines(lattice.owned(_metric_points(spark, d), 500.0, 1000.0), 500.0, 2)
+
+
+@query("geo10_hulls")
+def _(spark, d):
+    return lattice.hulls(_metric_points(spark, d))
+
+
+@query("geo12_dissolve", with_("boxes") + """, f AS (SELECT region, x0 AS a, y0 AS b, x1 AS c, y1 AS d, holed FROM boxes), e AS (SELECT region, 4 + CASE WHEN holed THEN 4 ELSE 0 END AS n FROM f) SELECT region, CAST(sum(n) AS BIGINT) AS edges FROM e GROUP BY region""")
+def _(spark, d):
+    return lattice.outer_edges(polygons(spark, d), "region").groupBy("region").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("geo14_geo15_simplified", with_("boxes") + """ SELECT key, 4 AS points FROM boxes""")
+def _(spark, d):
+    # a point added in the middle of the first side goes again
+    outer = F.element_at("rings", 1)
+    middle = F.array((outer[0][0] + outer[1][0]) / 2, outer[0][1])
+    rows = polygons(spark, d).select("key", F.concat(F.slice(outer, 1, 1), F.array(middle), F.slice(outer, 2, 3)).alias("ring"))
+    return rows.select("key", F.size(shapes.thinned_ring(shapes.simplified(F.col("ring"), 1e-4), 1e-4)).alias("points"))
+
+
+@query("join28_merged_parts", with_("boxes") + """ SELECT region, count(*) AS parts FROM boxes GROUP BY region""")
+def _(spark, d):
+    rows = polygons(spark, d).select("region", F.array("rings").alias("polys"))
+    return shapes.merged_parts(rows, "region").select("region", F.size("polys").cast("long").alias("parts"))
+
+
+@query("win1_win2_percentiles", with_("outlets") + """, t AS (SELECT point_id, nation, CASE WHEN point_id % 10 = 0 THEN NULL ELSE value % 50 END AS v FROM outlets),
+ r AS (SELECT *, rank() OVER (PARTITION BY nation, v IS NOT NULL ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY nation, v IS NOT NULL, v) AS k, count(*) OVER (PARTITION BY nation, v IS NOT NULL) AS n FROM t)
+SELECT point_id, CAST(floor((CASE WHEN v IS NULL OR n = 1 THEN CAST(0.5 AS DOUBLE) ELSE (CAST(r AS DOUBLE) + CAST(k - 1 AS DOUBLE) / 2) / (n - 1) END) * 10000 + 0.5) AS BIGINT) AS pct FROM r""")
+def _(spark, d):
+    rows = frame(spark, d, "outlets").select("point_id", "nation", F.when(F.col("point_id") % 10 != 0, F.expr("CAST(value AS BIGINT) % 50")).alias("v"))
+    return rows.select("point_id", _k(siting.percentile(F.col("v"), "nation"), 10000).alias("pct"))
+
+
+@query("win3_percentile_against", with_("outlets") + """, a AS (SELECT point_id, CAST(nation AS BIGINT) AS g, CAST(weight AS BIGINT) AS v FROM outlets WHERE point_id % 2 = 0), b AS (SELECT CAST(nation AS BIGINT) AS g, CAST(weight AS BIGINT) AS v FROM outlets WHERE point_id % 2 = 1)
+SELECT point_id, CAST(floor(coalesce((count(*) FILTER (WHERE b.v < a.v) + count(*) FILTER (WHERE b.v <= a.v)) / CAST(2 AS DOUBLE) / nullif(count(b.v), 0), 0.5) * 10000 + 0.5) AS BIGINT) AS pct FROM a LEFT JOIN b USING (g) GROUP BY point_id""")
+def _(spark, d):
+    rows = frame(spark, d, "outlets").select("point_id", F.col("nation").cast("long").alias("g"), F.col("weight").alias("v"))
+    out = siting.percentile_against(rows.where("point_id % 2 = 0"), rows.where("point_id % 2 = 1"), "v", "g", "pct")
+    return out.select("point_id", _k(F.col("pct"), 10000).alias("pct"))
+
+
+def _areas(spark, d):
+    """Areas with every input of the model, from whole numbers."""
+    k = F.col("c_custkey")
+    n = lambda a, m: ((k * a) % m).cast("double")
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return rows.select(k.alias("area_key"), F.when(k % 3 == 0, "urban").otherwise("rural").alias("profile"), n(7919, 50000).alias("population"), n(7919, 977).alias("pop_density"), (n(104729, 200000)).alias("vlr"), F.when(k % 7 != 0, n(31, 100) / 100).alias("ms_ioh"), n(17, 61).alias("atm_den"), n(19, 53).alias("bank_den"), n(23, 71).alias("minimarket_den"), n(29, 83).alias("vlr_per_site"), n(37, 13).alias("site_count"), n(41, 20).alias("km_hybrid"))
+
+
+@query("win4_win5_scr1_scr4_ranking", """WITH a AS (SELECT c_custkey AS area_key, c_custkey % 3 = 0 AS urban, CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr FROM customer) SELECT count(*) AS n, count(*) FILTER (WHERE vlr >= 80000) AS vlr_passes FROM a""")
+def _(spark, d):
+    rows = siting.scored(_areas(spark, d), siting.Params().merged({"strategy": "densify", "unknown": 1}))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.array_contains("gate_fails", "vlr")).alias("vlr_passes"))
+
+
+@query("scr2_scr3_scores")
+def _(spark, d):
+    rows = siting.scored(_areas(spark, d))
+    return rows.select("area_key", "profile", _k(F.col("score"), 100).alias("score_x100"), _k(F.col("score_other"), 100).alias("other_x100"), "eligible", "rank", "rank_in_profile", F.array_join("gate_fails", ",").alias("fails"))
+
+
+@query("agg25_gate_counts", """WITH a AS (SELECT CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr FROM customer) SELECT 'distance' AS gate, count(*) AS passes FROM a UNION ALL SELECT 'vlr', count(*) FILTER (WHERE vlr >= 80000) FROM a""")
+def _(spark, d):
+    return siting.gate_counts(siting.scored(_areas(spark, d))).where("gate IN ('distance', 'vlr')")
+
+
+@query("agg26_summary")
+def _(spark, d):
+    return siting.summary(siting.scored(_areas(spark, d)))
+
+
+@query("agg27_availability", with_("outlets") + """ SELECT avg(CASE WHEN point_id % 2 = 0 THEN 1.0 ELSE 0.0 END) >= 0.6 AS pasar, true AS atm FROM outlets""")
+def _(spark, d):
+    found = siting.availability(frame(spark, d, "outlets"), {"pasar": 0.6}, {"pasar": F.col("point_id") % 2 == 0, "atm": F.col("point_id") % 3 == 0})
+    return spark.createDataFrame([(found["pasar"], found["atm"])], "pasar boolean, atm boolean")
+
+
+@query("scr5_candidates", with_("sites", "boxes") + f""" SELECT o.point_id, CASE WHEN (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) IS NULL THEN 'outside' ELSE 'ok' END AS state FROM sites o""")
+def _(spark, d):
+    rows = spatial.inside(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d).select("key", "pos", "rings"), how="first")
+    scored = rows.withColumn("score", F.when(F.col("key").isNotNull(), siting.candidate_score(F.col("key").cast("double"), F.lit(0.5))))
+    return siting.ranked(scored.withColumn("all", F.lit(1)), "score", "point_id", "all").select("point_id", F.when(F.col("rank").isNull(), "outside").otherwise("ok").alias("state"))
+
+
+@query("agg10_agg11_placement", with_("outlets", "boxes") + f""", p AS (SELECT o.*, (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) AS key FROM outlets o) SELECT coalesce(key, -1) AS key, count(*) AS outlets, count(DISTINCT rep) AS reps, CAST(sum(value) AS BIGINT) AS value FROM p GROUP BY 1""")
+def _(spark, d):
+    placed = spatial.inside(frame(spark, d, "outlets"), polygons(spark, d).select("key", "pos", "rings"), how="first")
+    return placed.groupBy(F.coalesce("key", F.lit(-1)).alias("key")).agg(F.count(F.lit(1)).alias("outlets"), F.count_distinct("rep").alias("reps"), F.sum("value").alias("value"))
+
+
+@query("agg12_coverage_summary", with_("outlets", "boxes") + f""", p AS (SELECT o.*, (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) AS key FROM outlets o) SELECT count(*) AS outlets, count(key) AS placed, count(DISTINCT key) AS areas, count(DISTINCT rep) AS reps FROM p""")
+def _(spark, d):
+    placed = spatial.inside(frame(spark, d, "outlets"), polygons(spark, d).select("key", "pos", "rings"), how="first")
+    return placed.agg(F.count(F.lit(1)).alias("outlets"), F.count("key").alias("placed"), F.count_distinct("key").alias("areas"), F.count_distinct("rep").alias("reps"))
+
+
+@query("geo13_join30_force_fit")
+def _(spark, d):
+    shape = polygons(spark, d)
+    placed = spatial.inside(frame(spark, d, "outlets"), shape.select("key", "pos", "rings"), how="first").where("key IS NOT NULL").withColumn("rep", F.col("rep") % 9)
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("outlets"))
+    owner = territory.majority(placed.withColumn("one", F.lit(1)), "key", "rep", F.col("one")).select("key", F.col("rep").alias("owner"))
+    villages = sizes.join(owner, "key").select(F.col("key").alias("village"), "owner", "outlets", F.when(F.col("key") % 2 == 0, "urban").otherwise("rural").alias("stratum"))
+    return forcefit.rebalanced(villages, spatial.adjacent(shape, pad=0.006))
+
+
+@query("scr8_violation", with_("outlets") + """, v AS (SELECT nation % 6 AS owner, nation AS village, count(*) AS outlets, nation % 2 = 1 AS rural FROM outlets GROUP BY nation), s AS (SELECT owner, count(*) AS nv, CAST(sum(outlets) AS BIGINT) AS no, count(*) FILTER (WHERE rural) * 2 > count(*) AS rural FROM v GROUP BY owner)
+SELECT owner, nv AS n_villages, no AS n_outlets, CAST(floor((CASE WHEN rural THEN CASE WHEN nv > 5 THEN (nv - 5) * (CASE WHEN nv > 7 THEN 3 ELSE 1 END) WHEN nv < 1 THEN 1 - nv ELSE 0 END ELSE CASE WHEN nv > 3 THEN (nv - 3) * (CASE WHEN nv > 4 THEN 3 ELSE 1 END) WHEN nv < 1 THEN 1 - nv ELSE 0 END END
+ + greatest(0, no - (CASE WHEN rural THEN 60 ELSE 70 END), 50 - no) / CAST(20 AS DOUBLE)) * 1000 + 0.5) AS BIGINT) AS violation FROM s""")
+def _(spark, d):
+    rows = frame(spark, d, "outlets").groupBy(F.col("nation").alias("village")).agg(F.count(F.lit(1)).alias("outlets"))
+    rows = rows.withColumns({"owner": F.col("village") % 6, "stratum": F.when(F.col("village") % 2 == 1, "rural").otherwise("urban")})
+    return forcefit.state(rows).select("owner", "n_villages", "n_outlets", _k(F.col("violation")).alias("violation"))
+
+
+@query("join19_strays", with_("outlets") + f""", o AS (SELECT point_id, rep, lon, lat FROM outlets), n AS (SELECT o.point_id, min({METRES}) FILTER (WHERE p.point_id <> o.point_id) AS m FROM o JOIN o p ON o.rep = p.rep GROUP BY o.point_id) SELECT point_id, CASE WHEN m <= 20000 THEN CAST(floor(m + 0.5) AS BIGINT) END AS metres FROM n WHERE m > 4000""")
+def _(spark, d):
+    rows = review.strays(frame(spark, d, "outlets"), F.lit(4.0))
+    return rows.select("point_id", _k(F.col("km_own"), 1000).alias("metres"))
+
+
+@query("join19_agg23_receivers")
+def _(spark, d):
+    outlets = frame(spark, d, "outlets")
+    stray = review.strays(outlets, F.lit(4.0))
+    return review.receivers(review.offers(stray, outlets, 5.0))
+
+
+@query("geo18_seam_outlets", with_("outlets", "boxes") + f""" SELECT count(*) AS n FROM outlets o JOIN boxes b ON {IN_BOX} WHERE b.key <> o.nation""")
+def _(spark, d):
+    rows = spatial.inside(frame(spark, d, "outlets"), polygons(spark, d).select("key", "pos", "rings"), how="first")
+    return rows.agg(F.count_if(F.col("key") != F.col("nation")).alias("n"))
+
+
+@query("src4_live_radius", with_("sites") + f""" SELECT o.point_id, CAST(floor({METRES} + 0.5) AS BIGINT) AS metres FROM sites o, (SELECT CAST(-6.2 AS DOUBLE) AS lat, CAST(107.1 AS DOUBLE) AS lon) p WHERE {METRES} <= 30000 ORDER BY {METRES}, o.point_id LIMIT 40""")
+def _(spark, d):
+    from terrafold.sources.files import around
+
+    return around(frame(spark, d, "sites"), -6.2, 107.1, 30000, 40).select("point_id", _k(F.col("metres"), 1).alias("metres"))
+
+
+@query("src13_src14_tiles", """WITH t AS (SELECT 0.8 / (2000 / 111320.0) AS rows_) SELECT CAST(ceil(rows_) AS BIGINT) AS across FROM t""")
+def _(spark, d):
+    from terrafold.sources.files import tiles
+
+    box = spark.createDataFrame([("aoi", -6.65, 106.60, -5.85, 107.70)], "box string, south double, west double, north double, east double")
+    return tiles(box, 2.0).agg(F.count_distinct("lat").alias("across"))

@@ -1,0 +1,59 @@
+"""Queries over entity resolution (JOIN-2 to 4, GEO-19, WIN-7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrafold.operators import resolve
+
+from .fixtures import METRES, frame, with_
+from .registry import query
+
+_METRES = 2000.0
+
+
+def _places(spark, d):
+    """Two sources of places on the same ground."""
+    a = frame(spark, d, "outlets").select(F.col("point_id").alias("place_id"), "name", F.lit(None).cast("string").alias("brand"), F.when(F.col("point_id") % 2 == 0, "bank").otherwise("retail").alias("class"), "lon", "lat")
+    b = frame(spark, d, "sites").select(F.col("point_id").alias("place_id"), F.when(F.col("point_id") % 5 != 0, F.concat(F.lit("Customer "), F.lpad(F.col("point_id").cast("string"), 9, "0"))).alias("name"), F.lit(None).cast("string").alias("brand"), F.when(F.col("point_id") % 2 == 0, "bank").otherwise("retail").alias("class"), "lon", "lat")
+    return a, b
+
+
+@query("join2_candidates", with_("outlets", "sites") + f""" SELECT o.point_id AS place_id, p.point_id AS r_place_id, CAST(floor({METRES} + 0.5) AS BIGINT) AS metres FROM outlets o, sites p WHERE {METRES} <= 2000""")
+def _(spark, d):
+    a, b = _places(spark, d)
+    return resolve.candidates(a, b, _METRES).select("place_id", "r_place_id", F.floor(F.col("metres") + 0.5).cast("long").alias("metres"))
+
+
+@query("join2_self_candidates", with_("outlets") + f""" SELECT count(*) AS n FROM outlets o JOIN outlets p ON o.point_id < p.point_id WHERE {METRES} <= 500""")
+def _(spark, d):
+    a, _ = _places(spark, d)
+    return resolve.candidates(a, a, 500.0, same=True).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join3_scoring", with_("outlets", "sites") + f""", c AS (SELECT o.point_id AS a, p.point_id AS b, {METRES} AS m FROM outlets o, sites p WHERE {METRES} <= 2000) SELECT a AS place_id, b AS r_place_id, CASE WHEN a % 2 <> b % 2 THEN 0 WHEN b % 5 = 0 THEN CASE WHEN m <= 25 THEN 500 ELSE 0 END ELSE -1 END AS told FROM c WHERE a % 2 <> b % 2 OR b % 5 = 0""")
+def _(spark, d):
+    a, b = _places(spark, d)
+    rows = resolve.scored(resolve.candidates(a, b, _METRES), _METRES)
+    rows = rows.where("class <> r_class OR r_name IS NULL")
+    return rows.select("place_id", "r_place_id", F.floor(F.col("score") * 1000 + 0.5).cast("int").alias("told"))
+
+
+@query("join4_one_to_one")
+def _(spark, d):
+    a, b = _places(spark, d)
+    pairs = resolve.scored(resolve.candidates(a, b, _METRES), _METRES).where("score > 0.2")
+    return resolve.one_to_one(pairs)
+
+
+@query("geo19_clusters", with_("outlets") + """ SELECT rep AS node, rep % 10 AS cluster FROM outlets GROUP BY rep""")
+def _(spark, d):
+    reps = frame(spark, d, "outlets").select(F.col("rep").alias("node")).distinct()
+    edges = reps.where("node >= 10").select(F.col("node").alias("a"), (F.col("node") - 10).alias("b"))
+    return resolve.clusters(reps, edges)
+
+
+@query("win7_winners", with_("outlets") + """ SELECT cluster, point_id AS place_id FROM (SELECT nation AS cluster, point_id, row_number() OVER (PARTITION BY nation ORDER BY point_id % 3, point_id) AS r FROM outlets) WHERE r = 1""")
+def _(spark, d):
+    rows = frame(spark, d, "outlets").select(F.col("nation").alias("cluster"), F.col("point_id").alias("place_id"), "name")
+    return resolve.winners(rows, F.col("place_id") % 3).select("cluster", "place_id")

@@ -196,9 +196,9 @@ def _(spark, d):
 
 
 @query("flt1_flt9_table", with_("parts") + r"""
-SELECT point_id, name, brand FROM parts WHERE lower(name) LIKE '%1%' AND brand = 'Brand#2' ORDER BY coalesce(brand, name) NULLS FIRST, point_id LIMIT 5000""")
+SELECT point_id, name, brand FROM parts WHERE lower(name) LIKE '%ring%' AND brand = 'Brand#2' ORDER BY coalesce(brand, name) NULLS FIRST, point_id LIMIT 5000""")
 def _(spark, d):
-    rows = frame(spark, d, "parts").where(F.lower("name").like("%1%") & (F.col("brand") == "Brand#2"))
+    rows = frame(spark, d, "parts").where(F.lower("name").like("%ring%") & (F.col("brand") == "Brand#2"))
     return rows.orderBy(F.coalesce("brand", "name").asc_nulls_first(), "point_id").select("point_id", "name", "brand").limit(5000)
 
 
