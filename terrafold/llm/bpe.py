@@ -6,7 +6,7 @@ that is, if BPE applied to the two tokens' bytes gives just these two. Where no
 one is taken back and its next shorter prefix tried; a bit for each position that has failed keeps
 this linear. Compatibility of two tokens is memoised, and so are whole pieces.
 
-Tokens are found with an Aho-Corasick automaton over the bytes read as Latin-1 characters.
+Tokens are found in an Aho-Corasick automaton's trie, over the bytes read as Latin-1 characters.
 
 Defined results: a null text counts as empty and has no tokens; text is split by the given pattern
 only, and no special tokens exist. Ranks must come from BPE training (each token of two or more
@@ -16,8 +16,8 @@ bytes is the merge of two others), as in the public rank files. Only the named c
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .words import sliced
 
-#: Pieces and pairs whose results a task keeps at most; beyond, it starts anew.
-MOST_KEPT = 200_000
+#: Pieces, units and pairs whose results a worker keeps at most, of each; beyond, it starts anew.
+MOST_KEPT = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,16 +46,22 @@ class Encoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern)
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.names = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.most = max(self.lengths.values())
         self.automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+        for name, rank in self.names.items():
+            self.automaton.add_word(name, rank)
         self.automaton.make_automaton()
         #: The longest proper prefix of a token that is a token itself.
         self.shorter = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), None) for token, rank in ranks.items()}
-        self.merged: dict[tuple[int, int], int] = {}
+        #: Of pairs, as a * 2 ** 32 + b: the token they merge to; whether they are compatible.
+        self.merged: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
-        self.encoded: dict[str, list[int]] = {}
+        self.known: dict[int, bool] = {}
+        #: Ids of pieces and of longer parts of texts, as bytes of 32-bit numbers.
+        self.encoded: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
         for rank in sorted(self.tokens):
             self._learn(rank)
         self.known.clear()
@@ -66,24 +72,24 @@ class Encoder:
         for k in range(len(token) - 1, 0, -1):
             a, b = self.ranks.get(token[:k], rank), self.ranks.get(token[k:], rank)
             if a < rank and b < rank and self._stands(a, b):
-                self.merged[a, b] = rank
+                self.merged[a << 32 | b] = rank
                 self.parts[rank] = (a, b)
                 return
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the bytes of the two tokens gives these two tokens."""
-        found = self.known.get((a, b))
+        found = self.known.get(a << 32 | b)
         if found is None:
             if len(self.known) >= MOST_KEPT:
                 self.known.clear()
-            found = self.known[a, b] = self._stands(a, b)
+            found = self.known[a << 32 | b] = self._stands(a, b)
         return found
 
     def _stands(self, a: int, b: int) -> bool:
         # undo merges of the two tokens, latest first; no merge across the border may come before one undone
         limit = len(self.tokens) + 1
         while True:
-            if self.merged.get((a, b), limit) < limit:
+            if self.merged.get(a << 32 | b, limit) < limit:
                 return False
             if a > b:
                 left, right = self.parts.get(a), None
@@ -100,48 +106,71 @@ class Encoder:
             else:
                 return True
 
-    def _longest(self, piece: str) -> list[int]:
-        """The longest token that starts at each byte."""
-        found = [-1] * len(piece)
-        for end, (length, rank) in self.automaton.iter(piece):
-            found[end - length + 1] = rank
-        return found
+    def _longest(self, piece: str, at: int) -> int:
+        """The longest token that starts at a place."""
+        k = self.automaton.longest_prefix(piece[at : at + self.most])
+        name = piece[at : at + k]
+        while name not in self.names:
+            name = name[:-1]
+        return self.names[name]
 
     def _encode(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        longest, tokens, shorter = self._longest(piece.decode("latin-1")), self.tokens, self.shorter
-        failed, out, at = bytearray(len(piece) + 1), [], 0
-        token: int | None = longest[0]
-        while at < len(piece):
-            end = at + len(tokens[token]) if token is not None else -1
+        text, size = piece.decode("latin-1"), len(piece)
+        lengths, shorter, known, stands = self.lengths, self.shorter, self.known, self.compatible
+        longest, failed, out, at, last = self._longest, None, [], 0, -1
+        token: int | None = longest(text, 0)
+        while True:
             if token is None:
+                if failed is None:
+                    failed = bytearray(size + 1)
                 failed[at] = 1
                 token = out.pop()
-                at -= len(tokens[token])
-                token = shorter[token]
-            elif not failed[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else None
-            else:
+                at -= lengths[token]
+                last = out[-1] if out else -1
                 token = shorter[token]
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        kept = self.encoded
+                continue
+            end = at + lengths[token]
+            if failed is None or not failed[end]:
+                fits = True if last < 0 else known.get(last << 32 | token)
+                if fits is None:
+                    fits = stands(last, token)
+                if fits:
+                    out.append(token)
+                    if end == size:
+                        return out
+                    at, last = end, token
+                    token = longest(text, at)
+                    continue
+            token = shorter[token]
+
+    def encoded_bytes(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        out, kept = [], self.encoded
         for piece in self.pieces.findall(text):
             ids = kept.get(piece)
             if ids is None:
-                ids = self._encode(piece.encode())
-                if len(piece) < 100:
+                ids = array("i", self._encode(piece.encode())).tobytes()
+                if len(piece) < 60:
                     if len(kept) >= MOST_KEPT:
                         kept.clear()
                     kept[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def unit(self, unit: bytes) -> bytes:
+        """The ids of a part of a text that the pattern splits by itself, as 32-bit numbers."""
+        ids = self.encoded_bytes(unit.decode())
+        if len(unit) < 60:
+            if len(self.units) >= MOST_KEPT:
+                self.units.clear()
+            self.units[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encoded_bytes(text)).tolist()
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -201,25 +230,16 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
     shared = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, kept = _encoder(shared, ranks_path, pattern), {}
+        encoder = _encoder(shared, ranks_path, pattern)
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, most=4 << 20):
                 units, owners = _units(part.column("text"))
                 coded = units.dictionary_encode()
-                each = []
-                for unit in coded.dictionary.to_pylist():
-                    ids = kept.get(unit)
-                    if ids is None:
-                        ids = encoder.encode(unit.decode())
-                        if len(kept) >= MOST_KEPT:
-                            kept.clear()
-                        if len(unit) < 100:
-                            kept[unit] = ids
-                    each.append(ids)
+                kept, unit = encoder.units.get, encoder.unit
+                each = [kept(x) or unit(x) for x in coded.dictionary.to_pylist()]
                 bounds = np.zeros(len(each) + 1, np.int64)
-                np.cumsum(np.fromiter(map(len, each), np.int64, len(each)), out=bounds[1:])
-                flat = np.fromiter(chain.from_iterable(each), np.int32, bounds[-1])
-                ids, ends = _gathered(flat, bounds, np.asarray(coded.indices).astype(np.int64))
+                np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4, out=bounds[1:])
+                ids, ends = _gathered(np.frombuffer(b"".join(each), np.int32), bounds, np.asarray(coded.indices).astype(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(ends[owners].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 

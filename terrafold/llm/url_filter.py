@@ -22,8 +22,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Labelled urls that the trees are fitted on at most.
 MOST_ROWS = 20_000
+#: Suffixes whose statistics are sent to every task at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CHARACTERS = _LOWER + "0123456789-._/?=&%:#"
@@ -89,7 +93,8 @@ def _split(frame: DataFrame, url: str, *more: Column) -> DataFrame:
 
 
 def _with_suffixes(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-    rows = rows.join(suffixes, "suffix", "left")
+    few = suffixes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(suffixes) if few else suffixes, "suffix", "left")
     return rows.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5))).withColumn("suffix_count", F.coalesce("suffix_count", F.lit(0.0)))
 
 
@@ -98,6 +103,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", most_rows:
     rows = _lexical(_split(labelled, url, F.col(label).cast("double").alias("label")).where("label IS NOT NULL"))
     blocked = F.sum("label")
     suffixes = rows.groupBy("suffix").agg(((blocked + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1)).cast("double")).alias("suffix_count"))
+    suffixes = stored(suffixes, "suffixes")
     if rows.agg(F.min("label") == F.max("label")).first()[0] is not False:
         return Model(None, suffixes)
     sample = rows.orderBy(F.xxhash64("url"), "url").limit(most_rows)

@@ -53,10 +53,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def sliced(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_BYTES`` of text each."""
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
