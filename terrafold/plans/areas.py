@@ -70,22 +70,20 @@ def _(spark, d):
     return spatial.adjacent(polygons(spark, d), pad=0.006)
 
 
-@query("join21_overlap_shares", with_("boxes") + """, s AS (SELECT key, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j) WHERE NOT holed)
-SELECT key, region AS cover, count(*) FILTER (WHERE lon >= 106.6 + region * 0.2 AND lon < 106.6 + region * 0.2 + 0.2) AS n_in, count(*) AS n_all FROM s, (SELECT DISTINCT region FROM boxes) r GROUP BY key, cover HAVING n_in >= 0.005 * n_all""")
+@query("join21_overlap_shares", with_("boxes") + """, s AS (SELECT key, x0, x1, y0, y1, holed, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j)), h AS (SELECT * FROM s WHERE NOT (holed AND lon >= x0 + (x1 - x0) / 3.0 AND lon < x1 - (x1 - x0) / 3.0 AND lat >= y0 + (y1 - y0) / 3.0 AND lat < y1 - (y1 - y0) / 3.0))
+SELECT key, region AS cover, count(*) FILTER (WHERE lon >= 106.6 + region * 0.2 AND lon < 106.6 + region * 0.2 + 0.2) AS n_in, count(*) AS n_all FROM h, (SELECT DISTINCT region FROM boxes) r GROUP BY key, cover HAVING n_in >= 0.005 * n_all""")
 def _(spark, d):
     covers = frame(spark, d, "boxes").select("region").distinct()
     x = F.lit(106.6) + F.col("region") * 0.2
     corners = F.array(*[F.array(x + a, F.lit(b)) for a, b in ((0.0, -8.0), (0.2, -8.0), (0.2, -5.0), (0.0, -5.0))])
     covers = covers.select(F.col("region").alias("key"), F.array(corners).alias("rings"))
-    whole = polygons(spark, d).where(F.size("rings") == 1)
-    return spatial.overlap_shares(whole, covers)
+    return spatial.overlap_shares(polygons(spark, d), covers)
 
 
-@query("join22_scr7_population_within", with_("sites", "boxes") + f""", p AS (SELECT key, population, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j) WHERE NOT holed)
-SELECT point_id, CAST(sum(population * n / 100) AS BIGINT) AS population FROM (SELECT o.point_id, p.key, any_value(p.population) AS population, count(*) AS n FROM (SELECT * FROM sites WHERE point_id <= 40) o, p WHERE {METRES} <= 2000 GROUP BY ALL) GROUP BY point_id""".replace("sum(population * n / 100)", "floor(sum(CAST(population AS DOUBLE) * n / 2500) + 0.5)"))
+@query("join22_scr7_population_within", with_("sites", "boxes") + f""", q AS (SELECT key, population, x0, x1, y0, y1, holed, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j)), p AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_all FROM q WHERE NOT (holed AND lon >= x0 + (x1 - x0) / 3.0 AND lon < x1 - (x1 - x0) / 3.0 AND lat >= y0 + (y1 - y0) / 3.0 AND lat < y1 - (y1 - y0) / 3.0))
+SELECT point_id, CAST(sum(population * n / 100) AS BIGINT) AS population FROM (SELECT o.point_id, p.key, any_value(p.population) AS population, any_value(p.n_all) AS n_all, count(*) AS n FROM sites o, p WHERE {METRES} <= 2000 GROUP BY ALL) GROUP BY point_id""".replace("sum(population * n / 100)", "floor(sum(CAST(population AS DOUBLE) * n / n_all) + 0.5)"))
 def _(spark, d):
-    whole = polygons(spark, d).where(F.size("rings") == 1)
-    rows = spatial.population_within(frame(spark, d, "sites").where("point_id <= 40").select("point_id", "lon", "lat"), whole, 2000)
+    rows = spatial.population_within(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d), 2000)
     return rows.select("point_id", _k(F.col("population"), 1).alias("population"))
 
 
@@ -97,10 +95,11 @@ def _(spark, d):
     return spatial.inside(frame(spark, d, "sites"), shape.join(hit, "key", "left_semi")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("geo3_inner_points", with_("boxes") + """ SELECT key, CAST(floor((CASE WHEN holed THEN x0 + (x1 - x0) / 6 ELSE (x0 + x1) / 2 END) * 1000 + 0.25) AS BIGINT) AS lon_e3 FROM boxes WHERE NOT holed""")
+@query("geo3_inner_points", with_("boxes") + """ SELECT key, CASE WHEN holed THEN 70 ELSE 0 END AS off_e3, CAST(floor((y0 + y1) / 2 * 1000 + 0.25) AS BIGINT) AS lat_e3 FROM boxes""")
 def _(spark, d):
-    rows = polygons(spark, d).where(F.size("rings") == 1).select("key", shapes.inner_point(F.col("rings")).alias("p"))
-    return rows.select("key", F.floor(F.col("p.lon") * 1000.0 + 0.25).cast("long").alias("lon_e3"))
+    # in a box with a hole, the spans on either side of it are equally wide
+    rows = polygons(spark, d).select("key", "clon", shapes.inner_point(F.col("rings")).alias("p"))
+    return rows.select("key", _k(F.abs(F.col("p.lon") - F.col("clon"))).alias("off_e3"), F.floor(F.col("p.lat") * 1000.0 + 0.25).cast("long").alias("lat_e3"))
 
 
 @query("geo4_areas", with_("boxes") + """ SELECT key, CAST(floor((x1 - x0) * (y1 - y0) * cos(radians((y0 + y1) / 2)) * 111320.0 * 111320.0 / 1e6 * (CASE WHEN holed THEN CAST(8 AS DOUBLE) / 9 ELSE 1 END) * 100 + 0.5) AS BIGINT) AS hectares FROM boxes""")
@@ -171,12 +170,12 @@ def _(spark, d):
     return rows.select("point_id", _k(siting.percentile(F.col("v"), "nation"), 10000).alias("pct"))
 
 
-@query("win3_percentile_against", with_("outlets") + """, a AS (SELECT point_id, CAST(nation AS BIGINT) AS g, CAST(weight AS BIGINT) AS v FROM outlets WHERE point_id % 2 = 0), b AS (SELECT CAST(nation AS BIGINT) AS g, CAST(weight AS BIGINT) AS v FROM outlets WHERE point_id % 2 = 1)
+@query("win3_percentile_against", with_("outlets", "sites") + """, a AS (SELECT point_id, CAST(nation AS BIGINT) AS g, CAST(weight AS BIGINT) AS v FROM outlets), b AS (SELECT CAST(point_id % 25 AS BIGINT) AS g, CAST(point_id % 7 + 1 AS BIGINT) AS v FROM sites)
 SELECT point_id, CAST(floor(coalesce((count(*) FILTER (WHERE b.v < a.v) + count(*) FILTER (WHERE b.v <= a.v)) / CAST(2 AS DOUBLE) / nullif(count(b.v), 0), 0.5) * 10000 + 0.5) AS BIGINT) AS pct FROM a LEFT JOIN b USING (g) GROUP BY point_id""")
 def _(spark, d):
     rows = frame(spark, d, "outlets").select("point_id", F.col("nation").cast("long").alias("g"), F.col("weight").alias("v"))
-    out = siting.percentile_against(rows.where("point_id % 2 = 0"), rows.where("point_id % 2 = 1"), "v", "g", "pct")
-    return out.select("point_id", _k(F.col("pct"), 10000).alias("pct"))
+    sample = frame(spark, d, "sites").select((F.col("point_id") % 25).alias("g"), (F.col("point_id") % 7 + 1).alias("v"))
+    return siting.percentile_against(rows, sample, "v", "g", "pct").select("point_id", _k(F.col("pct"), 10000).alias("pct"))
 
 
 def _areas(spark, d):
