@@ -116,15 +116,19 @@ def outlines(cells: DataFrame, cell: float, rounds: int = 0) -> DataFrame:
     return cells.groupBy("owner").applyInPandas(trace, f"owner {kind}, ring int, is_hole boolean, points array<array<double>>")
 
 
-def hulls(points: DataFrame, least: int = 3) -> DataFrame:
-    """Convex hulls of each owner's points, for owners with at least ``least`` of them (GEO-10, GEO-11).
+def hulls(points: DataFrame, least: int = 3, strip: float = 1000.0) -> DataFrame:
+    """Convex hulls of each owner's points, for owners with at least ``least`` different ones (GEO-10, GEO-11); points
+    on one line have none.
 
-    Only the points that are extreme among those with the same x, rounded to a metre, reach the group.
+    Of points with one x only the lowest and the highest can be corners. Hulls are made of strips of the ground
+    first; the corners of those, few in number, make the owner's.
     """
-    ends = points.groupBy("owner", F.floor("x").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("x", "y"), "y").alias("low"), F.max_by(F.struct("x", "y"), "y").alias("high"), F.min(F.struct("x", "y")).alias("left"), F.max(F.struct("x", "y")).alias("right"))
-    few = ends.select("owner", "n", F.explode(F.array_distinct(F.array("low", "high", "left", "right"))).alias("p")).select("owner", "p.*")
+    ends = points.groupBy("owner", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count_distinct("y").alias("n"))
+    enough = ends.groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("owner")
+    spots = ends.join(enough, "owner", "left_semi").select("owner", "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
+    kind = points.schema["owner"].dataType.simpleString()
 
-    def hull(group: pd.DataFrame) -> pd.DataFrame:
+    def ring(group: pd.DataFrame) -> list[tuple[float, float]]:
         spots = sorted(set(zip(group["x"].tolist(), group["y"].tolist())))
 
         def half(order):
@@ -135,11 +139,17 @@ def hulls(points: DataFrame, least: int = 3) -> DataFrame:
                 chain.append(p)
             return chain[:-1]
 
-        ring = half(spots) + half(spots[::-1]) if len(spots) >= least else []
-        return pd.DataFrame([(group["owner"].iloc[0], [list(p) for p in ring])] if len(ring) > 2 else [], columns=["owner", "ring"])
+        return half(spots) + half(spots[::-1]) if len(spots) > 1 else spots
 
-    kind = points.schema["owner"].dataType.simpleString()
-    return few.groupBy("owner").applyInPandas(hull, f"owner {kind}, ring array<array<double>>")
+    def corners(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(group["owner"].iloc[0], *p) for p in ring(group)], columns=["owner", "x", "y"])
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        found = ring(group)
+        return pd.DataFrame([(group["owner"].iloc[0], [list(p) for p in found])] if len(found) > 2 else [], columns=["owner", "ring"])
+
+    strips = spots.groupBy("owner", F.floor(F.col("x") / strip).alias("strip")).applyInPandas(lambda g: corners(g), f"owner {kind}, x double, y double")
+    return strips.groupBy("owner").applyInPandas(whole, f"owner {kind}, ring array<array<double>>")
 
 
 def outer_edges(polygons: DataFrame, group: str) -> DataFrame:

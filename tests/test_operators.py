@@ -168,9 +168,10 @@ def test_simplified_keeps_corners(spark):
     assert [list(p) for p in row[0].r] == [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]] and row[1].r is None
 
 
-def test_force_fit_never_gets_worse(spark):
+@pytest.mark.parametrize("stratum", ["urban", "rural"])
+def test_force_fit_never_gets_worse(spark, stratum):
     rnd = random.Random(6)
-    villages = [(v, rnd.randrange(3), rnd.randrange(5, 40), "urban" if v % 2 else "rural") for v in range(14)]
+    villages = [(v, rnd.randrange(3), rnd.randrange(5, 40), stratum) for v in range(14)]
     frame = spark.createDataFrame(villages, "village long, owner long, outlets long, stratum string")
     out = forcefit.rebalanced(frame, spark.createDataFrame([(v, v + 1) for v in range(13)], "a long, b long")).collect()
     after = {r.village: r.owner for r in out}
