@@ -37,6 +37,9 @@ CELLS = 1 << 20
 LEAST_SHARDS = 128
 SHARD_BYTES = 256 << 20
 
+#: Bytes that are unpacked at a time; what follows a record in them is copied.
+_PIECE = 1 << 16
+
 _MANIFEST = "file string, records long, bytes long, sha256 string"
 _RECORD = "file string, record_id string, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -192,7 +195,11 @@ def _records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the files in ``folder``'s manifest. Payload digests of responses are computed anew, and
     a file or record that doesn't agree with its digest is an error."""
-    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file", "sha256")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    count, total = manifest.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    # names are few bytes, so tasks must be dealt out by what they stand for
+    tasks = max(1, min(count, max(LEAST_SHARDS, (total or 0) // SHARD_BYTES)))
+    files = manifest.select("file", "sha256").repartition(tasks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +209,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
                 def pieces():
                     with store.open_input_stream(f"{root}/{name}", compression=None) as file:
-                        while piece := file.read(1 << 20):
+                        while piece := file.read(_PIECE):
                             digest.update(piece)
                             yield piece
 
@@ -226,4 +233,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     text, whole = pa.string(), pa.int64()
     schema = pa.schema([("file", text), ("record_id", text), ("record_type", text), ("page_id", whole), ("target_uri", text), ("payload_bytes", whole), ("payload_digest", text), ("refers_to", whole)])
-    return files.repartition("file").mapInArrow(work, _RECORD)
+    return files.mapInArrow(work, _RECORD)
