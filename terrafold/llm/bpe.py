@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from .words import sliced
 
 #: Pieces, units and pairs whose results a worker keeps at most, of each; beyond, it starts anew.
-MOST_KEPT = 300_000
+MOST_KEPT = 150_000
+
+#: Token ids that are decoded at a time; a row with more is a slice of its own.
+SLICE_IDS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -232,7 +235,7 @@ def encoded(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, ranks_path, pattern)
         for batch in batches:
-            for part in sliced(batch, most=4 << 20):
+            for part in sliced(batch):
                 units, owners = _units(part.column("text"))
                 coded = units.dictionary_encode()
                 kept, unit = encoder.units.get, encoder.unit
@@ -259,8 +262,11 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
         np.cumsum(bounds, out=bounds)
         values = np.frombuffer(b"".join(sorted(names, key=names.__getitem__)), np.uint8)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0))
+            turn = np.cumsum(sizes) // SLICE_IDS
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
                 lists = part.column(ids)
                 chars, ends = _gathered(values, bounds, lists.flatten().to_numpy().astype(np.int64))
                 lengths = np.asarray(lists.value_lengths().fill_null(0))
