@@ -287,6 +287,38 @@ def test_license_scan(spark, empty):
     assert license_scan.scanned(empty).count() == 0
 
 
+LICENSED = {
+    **{f"// SPDX-License-Identifier: {tag}": want for tag, want in {"MIT": "mit", "Apache-2.0": "apache-2.0", "ISC": "isc", "MPL-2.0": "mpl-2.0", "LGPL-2.1-or-later": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "EPL-2.0": "epl-2.0", "Zlib": "zlib", "BSL-1.0": "boost-1.0", "BSD-3-Clause": "bsd-3-clause", "CC-BY-SA-4.0": "cc-by,cc-by-sa", "(MIT OR Apache-2.0) AND Zlib": "apache-2.0,mit,zlib", "GPL-2.0-only WITH Linux-syscall-note OR BSD-2-Clause": "bsd-2-clause,gpl-2.0"}.items()},
+    "Licensed under LGPL v2.1": "lgpl-2.1",
+    "subject to the terms under the MPL 2.0": "mpl-2.0",
+    "Apache 2.0 license": "apache-2.0",
+    "released under the Apache 2.0": "apache-2.0",
+    "License: MPL-2.0": "mpl-2.0",
+    'license = "ISC"': "isc",
+    "available under the terms of the MIT.": "mit",
+    "Apache License, v. 2.0": "apache,apache-2.0",
+    "code is EPLv2": "epl-2.0",
+    "Redistribution and use in source and\n * binary forms, with or without modification, are permitted": "bsd",
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "Permission is hereby\n# granted, free of charge, to any person or organization obtaining a copy": "boost-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"": "0bsd",
+    "The origin of this software must not be misrepresented; you must not claim": "zlib",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License": "lgpl-2.1",
+    "a simple example of MPLx, an MIT professor, replied in Apache 2.0 and under ISC 9001; permission granted for a fee": "",
+    "SPDX-License-Identifier: none; see zlib or mit there": "",
+}
+
+
+def test_license_scan_knows_tags_short_names_and_texts(spark):
+    texts = list(LICENSED)
+    rows = license_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.carried.doc_id]: ",".join(r.labels) for r in rows} == LICENSED
+    assert all((r.score >= 0.8) == bool(r.labels) for r in rows)
+
+
 def test_url_filter(spark):
     rules = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow")]
     told = [("http://a.example.com/en/71?x#y", "a.example.com", "/en/71", "example.com/en/7", "allow"), ("https://EXAMPLE.com/en/8", "example.com", "/en/8", "com/en/", "block"), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"), ("http://x.com?/en/", "x.com", "", None, None), ("x.com/en/", "", "", None, None), (None, "", "", None, None), ("http://", "", "", None, None), ("http://x.com/EN/", "x.com", "/EN/", None, None)]
