@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ VITALITY_WEIGHTS = {"finance": 0.35, "minimarket": 0.35, "pasar": 0.30}
 FINANCE_WEIGHTS = {"atm_den": 0.60, "bank_den": 0.40}
 COMPETITION_WEIGHTS = {"primary": 0.65, "comp_den": 0.35}
 NETWORK_WEIGHTS = {"vlr_per_site": 0.60, "site_count": 0.40}
+PASAR_MIN_COVERAGE = 0.60
 CANDIDATE_WEIGHTS = {"district": 0.50, "local": 0.50}
 
 
@@ -35,6 +37,12 @@ class Params:
     dist_zero_km: float = 2.0
     dist_full_km: float = 15.0
     min_km_hybrid: float = 10.0
+    min_km_im3: float = 10.0
+    min_km_3id: float = 10.0
+    g1_mode: str = "min"
+    hybrid_own: bool = True
+    use_cpi: bool = False
+    pop_metric: str = "density"
     scope: str = "stratum"
     top_n: int = 25
 
@@ -45,6 +53,9 @@ class Params:
         out = {k: read[kinds[k]](v) for k, v in known.items()}
         if "strategy" in out:
             out["strategy"] = out["strategy"].upper() if out["strategy"].upper() in ("DENSIFY", "ATTACK") else "DENSIFY"
+        for name, usual, other in (("pop_metric", "density", "total"), ("g1_mode", "min", "max"), ("scope", "stratum", "territory")):
+            if name in out:
+                out[name] = other if out[name].lower() == other else usual
         return replace(self, **out)
 
 
@@ -94,30 +105,51 @@ def densities(rows: DataFrame, counts: Sequence[str], area: str = "area_km2") ->
     return rows.withColumn("rsov_gap", F.col("ms_ioh") - F.col("retail_sov"))
 
 
-def terms(p: Params, *partition: str) -> dict[str, Column]:
-    """The model's terms from percentiles within a partition (WIN-4)."""
+def supported(rows: DataFrame, p: Params) -> dict[str, bool]:
+    """Which terms, and parts of the vitality, rows and settings support (AGG-27); ``distance`` among them."""
+    some = lambda c: F.coalesce(c, F.lit(False))
+    seen = {
+        "population": F.col("population").isNotNull(),
+        "vlr_total": some(F.col("vlr") != 0),
+        "ms_score": F.col("ms_ioh").isNotNull(),
+        "cpi": some(F.col("own_stores") > 0) | some(F.col("comp_stores") > 0),
+        "network": some(F.col("site_count") != 0),
+        "pasar": some(F.col("pasar_n") > 0),
+        "distance": F.col("km_hybrid").isNotNull(),
+    }
+    found = availability(rows, {"pasar": PASAR_MIN_COVERAGE}, seen)
+    return found | {"cpi": found["cpi"] and p.use_cpi, "distance": found["distance"] and p.dist_term}
+
+
+def terms(p: Params, *partition: str, available: Mapping[str, bool]) -> dict[str, Column]:
+    """The model's terms from percentiles within a partition (WIN-4); an unknown ``vlr`` ranks as 0."""
     r = lambda c: percentile(F.col(c), *partition)
     densify = p.strategy == "DENSIFY"
-    finance = sum(r(k) * w for k, w in FINANCE_WEIGHTS.items())
-    cvi_weights = renormalised(VITALITY_WEIGHTS, {"pasar": False})
+    parts = {"finance": sum(r(k) * w for k, w in FINANCE_WEIGHTS.items()), "minimarket": r("minimarket_den"), "pasar": r("pasar_den")}
+    primary = r("rsov_gap") if densify else 1 - r("retail_sov")
     return {
-        "population": F.when(F.col("population").isNotNull(), r("pop_density")),
-        "vlr_total": r("vlr"),
+        "population": F.when(F.col("population").isNotNull(), r("population" if p.pop_metric == "total" else "pop_density")),
+        "vlr_total": percentile(F.coalesce("vlr", F.lit(0.0)), *partition),
         "ms_score": r("ms_ioh") if densify else 1 - r("ms_ioh"),
-        "cvi": finance * cvi_weights["finance"] + r("minimarket_den") * cvi_weights["minimarket"],
+        "cvi": sum(parts[k] * w for k, w in renormalised(VITALITY_WEIGHTS, {"pasar": available["pasar"]}).items()),
+        "cpi": primary * COMPETITION_WEIGHTS["primary"] + r("comp_den") * COMPETITION_WEIGHTS["comp_den"],
         "network": sum(r(k) * w for k, w in NETWORK_WEIGHTS.items()),
-        "distance": distance_ramp(F.col("km_hybrid"), p.dist_zero_km, p.dist_full_km),
+        "distance": distance_ramp(F.col("km_hybrid" if p.hybrid_own else "km_own"), p.dist_zero_km, p.dist_full_km),
     }
 
 
 def scored(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """Scores within strata and over all, gates, eligibility and ranks (WIN-4, WIN-5, SCR-3, SCR-4).
 
-    Rows need ``area_key``, ``profile`` and the inputs that ``terms`` names. A term that a row lacks is left out of its sum.
+    Rows need ``area_key``, ``profile`` and the inputs that ``supported``, ``terms`` and ``gate_fails`` name. A term that
+    too few rows tell shares its weight among the others; one that a single row lacks is left out of its sum. Neither
+    scores nor percentiles are rounded, and equal scores rank by key.
     """
-    weights = renormalised(TERM_WEIGHTS, {"cpi": False}, p.dist_weight if p.dist_term else 0.0)
-    total = lambda *by: sum((F.coalesce(c * weights[k], F.lit(0.0)) for k, c in terms(p, *by).items() if k in weights), F.lit(0.0)) * 100
-    rows = rows.withColumns({"score_stratum": total("profile"), "score_territory": total(), "vlr_pct": percentile(F.col("vlr")) * 100, "ms_pct": F.when(F.col("ms_ioh").isNotNull(), percentile(F.col("ms_ioh")) * 100)})
+    available = supported(rows, p)
+    weights = renormalised(TERM_WEIGHTS, available, p.dist_weight if available["distance"] else 0.0)
+    total = lambda *by: sum((F.coalesce(c * weights[k], F.lit(0.0)) for k, c in terms(p, *by, available=available).items() if k in weights), F.lit(0.0)) * 100
+    vlr = F.coalesce("vlr", F.lit(0.0))
+    rows = rows.withColumns({"score_stratum": total("profile"), "score_territory": total(), "vlr_pct": percentile(vlr) * 100, "ms_pct": F.when(F.col("ms_ioh").isNotNull(), percentile(F.col("ms_ioh")) * 100)})
     rows = rows.withColumn("gate_fails", gate_fails(p))
     rows = rows.withColumn("eligible", (F.size("gate_fails") == 0) | (not p.gates))
     chosen, other = ("score_stratum", "score_territory") if p.scope == "stratum" else ("score_territory", "score_stratum")
@@ -126,12 +158,15 @@ def scored(rows: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def gate_fails(p: Params) -> Column:
-    """Names of the gates a row fails (SCR-3)."""
+    """Names of the gates a row fails (SCR-3): a limit of 0 opens a gate, and the distance gate is shut off by the distance term."""
+    limits = {"km_hybrid": p.min_km_hybrid} if p.hybrid_own else {"km_im3": p.min_km_im3, "km_3id": p.min_km_3id}
+    far = [F.coalesce(F.col(k) > v if p.g1_mode == "max" else F.col(k) < v, F.lit(False)) for k, v in limits.items() if v and not p.dist_term]
+    share, limit = (F.col("ms_pct") < p.ms_pct_min, p.ms_pct_min) if p.strategy == "DENSIFY" else (F.col("ms_pct") > p.ms_pct_max, p.ms_pct_max)
     gates = {
-        "distance": (F.col("km_hybrid") < p.min_km_hybrid) & (not p.dist_term),
-        "vlr": F.coalesce(F.col("vlr"), F.lit(0.0)) < p.vlr_min,
-        "vlr_pct": F.col("vlr_pct") < p.vlr_pct_min,
-        "share": (F.col("ms_pct") < p.ms_pct_min) if p.strategy == "DENSIFY" else (F.col("ms_pct") > p.ms_pct_max),
+        "distance": reduce(Column.__or__, far, F.lit(False)),
+        "vlr": (F.coalesce(F.col("vlr"), F.lit(0.0)) < p.vlr_min) & bool(p.vlr_min),
+        "vlr_pct": (F.col("vlr_pct") < p.vlr_pct_min) & bool(p.vlr_pct_min),
+        "share": share & bool(limit),
     }
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(k)) for k, test in gates.items()]))
 

@@ -183,7 +183,8 @@ def _areas(spark, d):
     k = F.col("c_custkey")
     n = lambda a, m: ((k * a) % m).cast("double")
     rows = spark.read.parquet(f"{d}/customer.parquet")
-    return rows.select(k.alias("area_key"), F.when(k % 3 == 0, "urban").otherwise("rural").alias("profile"), n(7919, 50000).alias("population"), n(7919, 977).alias("pop_density"), (n(104729, 200000)).alias("vlr"), F.when(k % 7 != 0, n(31, 100) / 100).alias("ms_ioh"), n(17, 61).alias("atm_den"), n(19, 53).alias("bank_den"), n(23, 71).alias("minimarket_den"), n(29, 83).alias("vlr_per_site"), n(37, 13).alias("site_count"), n(41, 20).alias("km_hybrid"))
+    rows = rows.select(k.alias("area_key"), F.when(k % 3 == 0, "urban").otherwise("rural").alias("profile"), n(7919, 50000).alias("population"), n(7919, 977).alias("pop_density"), (n(104729, 200000)).alias("vlr"), F.when(k % 7 != 0, n(31, 100) / 100).alias("ms_ioh"), n(17, 61).alias("atm_den"), n(19, 53).alias("bank_den"), n(23, 71).alias("minimarket_den"), n(29, 83).alias("vlr_per_site"), n(37, 13).alias("site_count"), n(41, 20).alias("km_hybrid"), n(43, 10).alias("pasar_n"), (n(43, 10) / (k % 9 + 1)).alias("pasar_den"), n(47, 3).alias("own_stores"), n(53, 4).alias("comp_stores"), (n(53, 4) / (k % 9 + 1)).alias("comp_den"), n(61, 23).alias("km_im3"), n(67, 29).alias("km_3id"), F.least(n(61, 23), n(67, 29)).alias("km_own"), (k % 9 + 1).alias("area_km2"))
+    return siting.densities(rows, [])
 
 
 @query("win4_win5_scr1_scr4_ranking", """WITH a AS (SELECT c_custkey AS area_key, c_custkey % 3 = 0 AS urban, CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr FROM customer) SELECT count(*) AS n, count(*) FILTER (WHERE vlr >= 80000) AS vlr_passes FROM a""")

@@ -211,6 +211,78 @@ def test_params_and_weights():
     assert siting.renormalised({"a": 1.0}, {"a": False}) == {}
 
 
+def _places_of(values):
+    """Average positions from 0 to 1, 0.5 for an unknown or a lone value."""
+    known = sorted(v for v in values if v is not None)
+    n = len(known)
+    return [0.5 if v is None or n == 1 else (sum(x < v for x in known) + (sum(x == v for x in known) - 1) / 2) / (n - 1) for v in values]
+
+
+def _model(rows, p):
+    """The scoring model row by row: {area_key: (score, other score, rank, rank in profile, failed gates)}."""
+    share = lambda f: sum(map(f, rows)) / len(rows)
+    weights = {"population": 0.20, "vlr": 0.20, "ms": 0.12, "cvi": 0.28, "cpi": 0.12, "network": 0.08}
+    if not (p.use_cpi and share(lambda r: r["own_stores"] > 0 or r["comp_stores"] > 0) > 0):
+        del weights["cpi"]
+    vitality = {"finance": 0.35, "mini": 0.35, "pasar": 0.30}
+    if share(lambda r: r["pasar_n"] > 0) < 0.6:
+        del vitality["pasar"]
+    far = p.dist_weight if p.dist_term else 0.0
+    weights = {k: w / sum(weights.values()) * (1 - far) for k, w in weights.items()}
+    vitality = {k: w / sum(vitality.values()) for k, w in vitality.items()}
+    dense = p.strategy == "DENSIFY"
+
+    def scores(group):
+        at = {k: _places_of([r[k] for r in group]) for k in group[0].asDict() if k not in ("profile", "vlr")} | {"vlr": _places_of([r["vlr"] or 0 for r in group])}
+        out = {}
+        for i, r in enumerate(group):
+            q = {k: v[i] for k, v in at.items()}
+            part = {"finance": 0.6 * q["atm_den"] + 0.4 * q["bank_den"], "mini": q["minimarket_den"], "pasar": q["pasar_den"]}
+            term = {"vlr": q["vlr"], "ms": q["ms_ioh"] if dense else 1 - q["ms_ioh"], "cvi": sum(w * part[k] for k, w in vitality.items()), "network": 0.6 * q["vlr_per_site"] + 0.4 * q["site_count"]}
+            term["cpi"] = 0.65 * (q["rsov_gap"] if dense else 1 - q["retail_sov"]) + 0.35 * q["comp_den"]
+            if r["population"] is not None:
+                term["population"] = q["population" if p.pop_metric == "total" else "pop_density"]
+            km = r["km_hybrid"] if p.hybrid_own else r["km_own"]
+            ramp = far * max(0.0, min(1.0, (km - p.dist_zero_km) / (p.dist_full_km - p.dist_zero_km))) if km is not None else 0.0
+            out[r["area_key"]] = 100 * (ramp + sum(w * term[k] for k, w in weights.items() if k in term))
+        return out
+
+    whole = scores(rows)
+    strata = {k: v for name in {r["profile"] for r in rows} for k, v in scores([r for r in rows if r["profile"] == name]).items()}
+    chosen, other = (strata, whole) if p.scope == "stratum" else (whole, strata)
+    vlr, ms = _places_of([r["vlr"] or 0 for r in rows]), _places_of([r["ms_ioh"] for r in rows])
+    fails = {}
+    for r, v, m in zip(rows, vlr, ms):
+        tests = [("km_hybrid", p.min_km_hybrid)] if p.hybrid_own else [("km_im3", p.min_km_im3), ("km_3id", p.min_km_3id)]
+        near = any(not p.dist_term and r[k] is not None and (r[k] < x if p.g1_mode == "min" else r[k] > x) for k, x in tests)
+        low = r["ms_ioh"] is not None and (100 * m < p.ms_pct_min if dense else 100 * m > p.ms_pct_max)
+        fails[r["area_key"]] = [n for n, t in (("distance", near), ("vlr", (r["vlr"] or 0) < p.vlr_min), ("vlr_pct", 100 * v < p.vlr_pct_min), ("share", low)) if t]
+    order = sorted((k for k in chosen if not (fails[k] and p.gates)), key=lambda k: (-round(chosen[k], 9), k))
+    profile = {r["area_key"]: r["profile"] for r in rows}
+    out = {k: (None, round(other[k], 6), None, None, fails[k]) for k in chosen}
+    for i, k in enumerate(order, 1):
+        out[k] = (round(chosen[k], 6), round(other[k], 6), i, sum(profile[x] == profile[k] for x in order[:i]), fails[k])
+    return out
+
+
+@pytest.mark.parametrize(
+    "told, markets",
+    [({}, True), ({}, False), ({"use_cpi": "yes", "strategy": "attack", "scope": "territory", "gates": "no"}, True), ({"use_cpi": 1, "dist_term": "no", "g1_mode": "max", "hybrid_own": "off", "min_km_im3": 12, "pop_metric": "total", "vlr_min": 20000}, False)],
+)
+def test_scores_are_the_models(spark, told, markets):
+    from terrafold.plans.areas import _areas
+    from tests.conftest import SF
+
+    rows = _areas(spark, SF).where("area_key <= 60")
+    blank = lambda c, n: F.when(F.col("area_key") % n != 0, F.col(c))
+    rows = rows.withColumns({"vlr": blank("vlr", 11), "population": blank("population", 13), "km_hybrid": blank("km_hybrid", 8), "km_im3": blank("km_im3", 9)})
+    if not markets:
+        rows = rows.withColumn("pasar_n", F.when(F.col("area_key") % 2 == 0, F.col("pasar_n")).otherwise(0.0))
+    p = siting.Params().merged(told)
+    got = {r.area_key: (r.score if r.score is None else round(r.score, 6), round(r.score_other, 6), r.rank, r.rank_in_profile, r.gate_fails) for r in siting.scored(rows, p).collect()}
+    assert got == _model(rows.collect(), p)
+
+
 def test_even_stride(spark):
     rows = spark.createDataFrame([(k % 7, k) for k in range(100)], "g long, k long")
     want = [k for n, (_, k) in enumerate(sorted((k % 7, k) for k in range(100))) if n % 9 == 0]
