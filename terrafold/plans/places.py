@@ -39,6 +39,14 @@ def _(spark, d):
     return rows.select("place_id", "r_place_id", F.floor(F.col("score") * 1000 + 0.5).cast("int").alias("told"))
 
 
+@query("join3_all_scores")
+def _(spark, d):
+    # every candidate pair with its verdict; join3_scoring tells the vetoed and unnamed ones only, as its SQL does
+    a, b = _places(spark, d)
+    rows = resolve.scored(resolve.candidates(a, b, _METRES), _METRES)
+    return rows.select("place_id", "r_place_id", F.floor(F.col("score") * 1000 + 0.5).cast("int").alias("score_x1000"), "verdict")
+
+
 @query("join4_one_to_one")
 def _(spark, d):
     a, b = _places(spark, d)

@@ -1,6 +1,8 @@
 """Territory operators that SQL cannot express, against brute force on small rows."""
 
 import random
+import re
+from math import asin, cos, floor, radians, sin, sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,39 @@ def test_scores_forbid_and_review(spark):
     assert got == {1: (1.0, "match"), 2: (0.0, "no"), 3: (0.5, "review"), 4: (0.0, "no"), 5: (0.0, "no")}
 
 
+def test_every_pair_has_its_score_and_verdict(spark):
+    from terrafold.plans import places, registry
+    from tests.test_queries import LARGER
+
+    a, b = places._places(spark, LARGER)
+    words = lambda n: set(re.findall("[a-z0-9]+", n.lower()))
+
+    def told(p, q):
+        h = sin(radians(q.lat - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians(q.lat)) * sin(radians(q.lon - p.lon) / 2) ** 2
+        metres = 2 * 6371008.8 * asin(sqrt(h))
+        if metres > 2000:
+            return None
+        if p["class"] != q["class"]:
+            return 0, "no"
+        if q.name is None:
+            return (500, "review") if metres <= 25 else (0, "no")
+        score = 0.35 * (1 - metres / 2000) + 0.55 * len(words(p.name) & words(q.name)) / len(words(p.name) | words(q.name))
+        return floor(score * 1000 + 0.5), "match" if score >= 0.72 else "review" if score >= 0.55 else "no"
+
+    want = {(p.place_id, q.place_id): told(p, q) for p in a.collect() for q in b.collect()}
+    want = {k: v for k, v in want.items() if v}
+    got = {(r.place_id, r.r_place_id): (r.score_x1000, r.verdict) for r in registry.queries()["join3_all_scores"](spark, LARGER).collect()}
+    assert got == want and any(0 < score < 500 for score, _ in got.values())
+
+
+def test_named_pairs_match_by_name_brand_and_distance(spark):
+    a = spark.createDataFrame([(1, "Bank BCA Kota", "BCA", "bank", 106.8, -6.2), (2, "Toko Rajawali Lima", None, "retail", 106.8, -6.2)], "place_id long, name string, brand string, class string, lon double, lat double")
+    b = spark.createDataFrame([(11, "Bank BCA Kota", "BCA", "bank", 106.8, -6.2), (12, "Rajawali Lima Baru Jaya", None, "retail", 106.8, -6.2), (13, "Rajawali Toko Lima", None, "retail", 106.8, -6.2)], a.schema)
+    rows = resolve.scored(resolve.candidates(a, b, 100.0), 100.0).where("class = r_class").collect()
+    got = {(r.place_id, r.r_place_id): (round(r.score, 4), r.verdict) for r in rows}
+    assert got == {(1, 11): (1.0, "match"), (2, 12): (round(0.35 + 0.55 * 2 / 4, 4), "review"), (2, 13): (round(0.35 + 0.55, 4), "match")}
+
+
 # places in polygons
 
 
