@@ -318,6 +318,16 @@ def test_scores_are_the_models(spark, told, markets):
     assert got == _model(rows.collect(), p)
 
 
+def test_ranking_query_is_the_models(spark):
+    from terrafold.plans import areas, registry
+    from tests.conftest import SF
+
+    want = {k: (None if s is None else s * 100, i, j, ",".join(f)) for k, (s, _, i, j, f) in _model(areas._areas(spark, SF).collect(), siting.Params()).items()}
+    got = {r.area_key: (r.score_x100, r.rank, r.rank_in_profile, r.fails) for r in registry.queries()["scr2_scr3_scores"](spark, SF).collect()}
+    assert set(got) == set(want) and all(got[k][1:] == want[k][1:] for k in want)
+    assert all((got[k][0] is None) == (want[k][0] is None) and abs((got[k][0] or 0) - (want[k][0] or 0)) <= 0.51 for k in want)
+
+
 def test_even_stride(spark):
     rows = spark.createDataFrame([(k % 7, k) for k in range(100)], "g long, k long")
     want = [k for n, (_, k) in enumerate(sorted((k % 7, k) for k in range(100))) if n % 9 == 0]
