@@ -12,11 +12,15 @@ is no task's burden. Only the bucket totals (``BUCKETS`` rows at most) pass thro
 
 Defined results: a null text has size 8 and the checksum of the empty text; null ids are a key like
 others; repeated rows get different slots; an empty table gives an empty result. Only the named
-columns are read.
+columns are read. Columns to ``carry`` move along with their rows and may be of any type that can be
+grouped; rows of one key that differ in them are numbered in their order, so a row's place needs no
+join back. ``write_shards`` lays rows down by shard and slot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,10 +71,14 @@ def permuted(number: Column, count: int, seed: int = 0) -> Column:
     return F.element_at(F.transform(out, lambda x: F.when(x < count, x).otherwise(error)), 1)
 
 
-def row_numbers(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` aggregated by ``keys`` and spread again, with a gapless ``number`` from 0; and their count."""
+def row_numbers(rows: DataFrame, keys: list[str], carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """``rows`` aggregated by ``keys`` and ``carry`` and spread again, with a gapless ``number`` from 0; and their count.
+
+    The keys alone choose the bucket, so a key's rows have the same numbers whatever is carried.
+    """
+    first, keys = keys, [*keys, *carry]
     spark = rows.sparkSession
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.pmod(F.xxhash64(*first), F.lit(BUCKETS)).cast("int"))
     before = Window.partitionBy("bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
     counted = stored(counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), "numbered")
     totals = sorted((r.bucket, r.n) for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
@@ -85,9 +93,18 @@ def row_numbers(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     return runs.select(*keys, "start", "before", one.alias("repeat")).select(*keys, (F.col("start") + F.col("before") + F.col("repeat")).alias("number")), total
 
 
-def sharded(documents: DataFrame, shards: int, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's ``doc_id``, ``size`` (UTF-8 bytes and 8), ``text_crc32``, ``number``, ``shard`` and ``slot``."""
-    rows = documents.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"))
-    rows, count = row_numbers(rows, ["doc_id", "size", "text_crc32"])
+def sharded(documents: DataFrame, shards: int, seed: int = 0, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Each document's ``doc_id``, ``size`` (UTF-8 bytes and 8), ``text_crc32``, ``number``, ``shard`` and ``slot``,
+    and with ``carry`` a struct ``carried`` of these columns."""
+    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    rows = documents.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"), *carried)
+    names = ["carried"] if carry else []
+    rows, count = row_numbers(rows, ["doc_id", "size", "text_crc32"], names)
     rows = rows.withColumn("place", permuted(F.col("number"), count, seed))
-    return rows.select("doc_id", "size", "text_crc32", "number", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {shards}").alias("slot"))
+    return rows.select("doc_id", "size", "text_crc32", "number", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {shards}").alias("slot"), *names)
+
+
+def write_shards(rows: DataFrame, folder: str, shards: int) -> None:
+    """Write what ``sharded`` gives with ``carry``: a folder ``shard=k`` with one file for each shard, its rows by slot."""
+    placed = rows.select("shard", "slot", "carried.*").repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    placed.write.partitionBy("shard").parquet(folder)

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -264,6 +266,24 @@ def test_sharding(spark, docs, empty):
     assert sorted(r.number for r in sharding.sharded(hot, 3).collect()) == list(range(9001))
 
 
+def test_shards_hold_the_rows(spark):
+    told = [(k % 40 if k % 9 else None, None if k % 11 == 0 else f"text {k % 40}", f"lang {k % 3}") for k in range(300)]
+    rows = spark.createDataFrame(told, "doc_id long, text string, lang string")
+    placed = sharding.sharded(rows, 7, carry=["doc_id", "text", "lang"])
+    plain = lambda d: sorted(((r.doc_id, r.size, r.text_crc32, r.number, r.shard, r.slot) for r in d.collect()), key=str)
+    assert plain(placed) == plain(sharding.sharded(rows, 7))
+    assert sorted(map(tuple, (r.carried for r in placed.collect())), key=str) == sorted(told, key=str)
+    again = sharding.sharded(rows.repartition(5), 7, carry=["doc_id", "text", "lang"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, placed.collect()))
+    folder = new_dir(spark, "shards-test")
+    sharding.write_shards(placed, folder, 7)
+    assert sorted(map(tuple, spark.read.parquet(folder).select("doc_id", "text", "lang").collect()), key=str) == sorted(told, key=str)
+    for shard in range(7):
+        (file,) = Path(folder, f"shard={shard}").glob("*.parquet")
+        slots = pq.read_table(file, partitioning=None).column("slot").to_pylist()
+        assert slots == list(range(len(slots))) and len(slots) in (300 // 7, 300 // 7 + 1)
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(spark, count):
     got = [r[0] for r in spark.range(count).select(sharding.permuted(F.col("id"), count, 5)).collect()]
