@@ -6,7 +6,8 @@ that is, if BPE applied to the two tokens' bytes gives just these two. Where no
 one is taken back and its next shorter prefix tried; a bit for each position that has failed keeps
 this linear. Compatibility of two tokens is memoised, and so are whole pieces.
 
-Tokens are found in an Aho-Corasick automaton's trie, over the bytes read as Latin-1 characters.
+An Aho-Corasick automaton, over the bytes read as Latin-1 characters, gives the longest matches of a
+piece in one pass; the search starts at the first two of them that are not compatible.
 
 Defined results: a null text counts as empty and has no tokens; text is split by the given pattern
 only, and no special tokens exist. Ranks must come from BPE training (each token of two or more
@@ -27,10 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean, small_batches
 from .words import sliced
 
-#: Pieces, units and pairs whose results a worker keeps at most, of each; beyond, it starts anew.
-MOST_KEPT = 150_000
+#: Pieces and pairs whose results a task keeps at most, of each.
+MOST_KEPT = 320_000
+
+#: Text bytes whose parts are told apart, and then encoded once, at a time.
+SLICE_BYTES = 8 << 20
 
 #: Token ids that are decoded at a time; a row with more is a slice of its own.
 SLICE_IDS = 1 << 18
@@ -42,6 +47,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+class _Recent:
+    """Results by key, in two generations: when the younger one is full, the older one goes and what
+    is still asked for comes back from it."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= MOST_KEPT // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class Encoder:
     """Encodes and decodes by the ranks of byte sequences, as merging by rank would."""
 
@@ -56,18 +84,24 @@ class Encoder:
         for name, rank in self.names.items():
             self.automaton.add_word(name, rank)
         self.automaton.make_automaton()
+        #: The longest token that starts each prefix of tokens met so far.
+        self.prefixes: dict[str, int] = {}
         #: The longest proper prefix of a token that is a token itself.
         self.shorter = {rank: next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), None) for token, rank in ranks.items()}
         #: Of pairs, as a * 2 ** 32 + b: the token they merge to; whether they are compatible.
         self.merged: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
-        #: Ids of pieces and of longer parts of texts, as bytes of 32-bit numbers.
-        self.encoded: dict[str, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
+        #: Ids of pieces, as bytes of 32-bit numbers.
+        self.encoded = _Recent()
         for rank in sorted(self.tokens):
             self._learn(rank)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what the texts so far have left behind."""
         self.known.clear()
+        self.encoded.clear()
 
     def _learn(self, rank: int) -> None:
         """Which two tokens merge into this one: the split whose sides stand when all merges before it are done."""
@@ -111,11 +145,11 @@ class Encoder:
 
     def _longest(self, piece: str, at: int) -> int:
         """The longest token that starts at a place."""
-        k = self.automaton.longest_prefix(piece[at : at + self.most])
-        name = piece[at : at + k]
-        while name not in self.names:
-            name = name[:-1]
-        return self.names[name]
+        name = piece[at : at + self.automaton.longest_prefix(piece[at : at + self.most])]
+        token = self.prefixes.get(name)
+        if token is None:
+            token = self.prefixes[name] = next(self.names[name[:k]] for k in range(len(name), 0, -1) if name[:k] in self.names)
+        return token
 
     def _encode(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
@@ -123,8 +157,20 @@ class Encoder:
             return [rank]
         text, size = piece.decode("latin-1"), len(piece)
         lengths, shorter, known, stands = self.lengths, self.shorter, self.known, self.compatible
-        longest, failed, out, at, last = self._longest, None, [], 0, -1
-        token: int | None = longest(text, 0)
+        out, at, last = [], 0, -1
+        for _, token in self.automaton.iter_long(text):
+            if last >= 0:
+                fits = known.get(last << 32 | token)
+                if fits is None:
+                    fits = stands(last, token)
+                if not fits:
+                    break
+            out.append(token)
+            at, last = at + lengths[token], token
+        if at == size:
+            return out
+        longest, failed = self._longest, None
+        token = longest(text, at)
         while True:
             if token is None:
                 if failed is None:
@@ -157,21 +203,10 @@ class Encoder:
             if ids is None:
                 ids = array("i", self._encode(piece.encode())).tobytes()
                 if len(piece) < 60:
-                    if len(kept) >= MOST_KEPT:
-                        kept.clear()
-                    kept[piece] = ids
+                    kept.put(piece, ids)
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
-    def unit(self, unit: bytes) -> bytes:
-        """The ids of a part of a text that the pattern splits by itself, as 32-bit numbers."""
-        ids = self.encoded_bytes(unit.decode())
-        if len(unit) < 60:
-            if len(self.units) >= MOST_KEPT:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
         return array("i", self.encoded_bytes(text)).tolist()
 
@@ -223,56 +258,73 @@ def _encoder(shared, path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def encoded(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class _Decoder:
+    """Token ids to bytes, many at a time."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bounds = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)
+        for token, rank in ranks.items():
+            self.bounds[rank + 1] = len(token)
+        np.cumsum(self.bounds, out=self.bounds)
+        self.chars = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; null for null."""
+        chars, ends = _gathered(self.chars, self.bounds, lists.flatten().to_numpy().astype(np.int64))
+        at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[at]), pa.py_buffer(chars)]).cast(pa.binary())
+        return pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary()))
+
+
+def encoded(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """Each document's ``doc_id`` and ``ids``, the tokens of its whole text.
 
+    With ``decode`` also ``decoded``, the bytes that the ids stand for, without a second way to Python.
     ``pattern`` must, as that of the public rank files does, end a match before each space that a
     character other than white space follows.
     """
+    spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, ranks_path, pattern)
-        for batch in batches:
-            for part in sliced(batch):
-                units, owners = _units(part.column("text"))
-                coded = units.dictionary_encode()
-                kept, unit = encoder.units.get, encoder.unit
-                each = [kept(x) or unit(x) for x in coded.dictionary.to_pylist()]
-                bounds = np.zeros(len(each) + 1, np.int64)
-                np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4, out=bounds[1:])
-                ids, ends = _gathered(np.frombuffer(b"".join(each), np.int32), bounds, np.asarray(coded.indices).astype(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(ends[owners].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
-
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+        encoder, decoder = _encoder(shared, ranks_path, pattern), _Decoder(shared.value) if decode else None
+        try:
+            for batch in batches:
+                for part in sliced(batch, most=SLICE_BYTES):
+                    units, owners = _units(part.column("text"))
+                    coded = units.dictionary_encode()
+                    each = list(map(encoder.encoded_bytes, coded.dictionary.cast(pa.large_string()).to_pylist()))
+                    bounds = np.zeros(len(each) + 1, np.int64)
+                    np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4, out=bounds[1:])
+                    ids, ends = _gathered(np.frombuffer(b"".join(each), np.int32), bounds, np.asarray(coded.indices).astype(np.int64))
+                    lists = pa.ListArray.from_arrays(pa.array(ends[owners].astype(np.int32)), pa.array(ids))
+                    if decoder is None:
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoder.texts(lists)], ["doc_id", "ids", "decoded"])
+        finally:
+            encoder.forget()
+
+    more = ", decoded binary" if decode else ""
+    return docs.mapInArrow(lean(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>{more}")
 
 
 def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the bytes of each row's token ids (null for null)."""
+    small_batches(tokens.sparkSession)
     rows = tokens.withColumn("decoded", F.lit(None).cast("binary"))
     shared = tokens.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value
-        bounds = np.zeros(max(names.values()) + 2, np.int64)
-        for token, rank in names.items():
-            bounds[rank + 1] = len(token)
-        np.cumsum(bounds, out=bounds)
-        values = np.frombuffer(b"".join(sorted(names, key=names.__getitem__)), np.uint8)
+        decoder = _Decoder(shared.value)
         for batch in batches:
             sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0))
             turn = np.cumsum(sizes) // SLICE_IDS
             cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
-                lists = part.column(ids)
-                chars, ends = _gathered(values, bounds, lists.flatten().to_numpy().astype(np.int64))
-                lengths = np.asarray(lists.value_lengths().fill_null(0))
-                at = np.concatenate([[0], np.cumsum(lengths)])
-                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends[at]), pa.py_buffer(chars)]).cast(pa.binary())
-                made = pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary()))
-                yield part.set_column(part.schema.get_field_index("decoded"), "decoded", made)
-
-    return rows.mapInArrow(work, rows.schema)
+                yield part.set_column(part.schema.get_field_index("decoded"), "decoded", decoder.texts(part.column(ids)))
+
+    return rows.mapInArrow(lean(work), rows.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles, url_filter
-from .bpe import decoded, encoded
+from .bpe import encoded
 from .chat_format import rendered
 from .decontaminate import contamination
 from .license_scan import scanned
@@ -58,8 +58,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = encoded(_table(spark, sf_dir, "documents"), ranks, pattern)
-    return decoded(tokens, ranks, pattern).select(
+    return encoded(_table(spark, sf_dir, "documents"), ranks, pattern, decode=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
