@@ -34,20 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .lean import lean, lean_group, small_batches
 from .packets import PACKET, offered, shared
 from .storage import stored
 from .words import LOWER, Words, mix, sliced
 
-#: The sketch has 2 ** SKETCH_BITS counters, whatever the input (4 bytes each, sent to every task).
-SKETCH_BITS = 21
+#: The sketch has 2 ** LEAST_BITS counters (4 bytes each, sent to every task) up to 64 GB of text,
+#: and twice as many for each doubling beyond, up to 2 ** MOST_BITS.
+LEAST_BITS, MOST_BITS = 21, 24
 #: Sets on each side of a block of a large tile.
 BLOCK = 2048
 #: Sets of a tile whose pairs need no bitmaps first.
 SMALL = 8
 #: Ids that are sent to every task at most; more are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000
 #: Text bytes whose prefix shingles meet in one group.
-BUCKET_BYTES = 96 << 20
+BUCKET_BYTES = 24 << 20
 
 #: Bits of the bitmaps that go with the rows of large tiles.
 SHORT_BITS = 4096
@@ -131,34 +133,34 @@ class _Sizes:
         return F.floor(F.log(F.col(column).cast("double")) / F.log(F.lit(100.0 / self.percent)) + 1e-9).cast("int")
 
 
-def _sets_table(docs: DataFrame, n: int, kind: str) -> DataFrame:
-    """(doc_id, size, sid, bitmap) of each document, and (part, cells): the sketch of each task."""
+def _sets_table(docs: DataFrame, n: int, bits: int, kind: str) -> DataFrame:
+    """(doc_id, row, size, sid, bitmap, short) of each document, and (part, cells): the sketch of each task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+        cells = np.zeros(1 << bits, np.uint32)
         empty = ids = None
         for batch in batches:
             for part in sliced(batch):
                 ids = part.column("doc_id")
                 sets = list(_sets(Words(part.column("text"), LOWER), n))
-                every = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
-                cells += np.bincount(every.astype(np.int64), minlength=len(cells)).astype(np.uint32)
+                every, counts = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                cells[every] += counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([_bitmap(x, 4, 1 << 40) if len(x) else None for x in sets], pa.binary()), pa.array([_bitmap(x, 8, SHORT_BITS) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                    ["doc_id", "size", "sid", "bitmap", "short", "part", "cells"],
+                    [ids, part.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([_bitmap(x, 4, 1 << 40) if len(x) else None for x in sets], pa.binary()), pa.array([_bitmap(x, 8, SHORT_BITS) if len(x) else None for x in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                    ["doc_id", "row", "size", "sid", "bitmap", "short", "part", "cells"],
                 )
         if ids is not None and cells.any():
             parts = [zlib.compress(cells[a : a + _CHUNK].tobytes(), 1) for a in range(0, len(cells), _CHUNK)]
             empty = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(empty, ids.type), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.binary()), pa.nulls(empty, pa.binary()), pa.array(np.arange(empty, dtype=np.int32)), pa.array(parts, pa.binary())],
-                ["doc_id", "size", "sid", "bitmap", "short", "part", "cells"],
+                [pa.nulls(empty, ids.type), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.binary()), pa.nulls(empty, pa.binary()), pa.array(np.arange(empty, dtype=np.int32)), pa.array(parts, pa.binary())],
+                ["doc_id", "row", "size", "sid", "bitmap", "short", "part", "cells"],
             )
 
-    return docs.mapInArrow(work, f"doc_id {kind}, size long, sid long, bitmap binary, short binary, part int, cells binary")
+    return docs.mapInArrow(lean(work), f"doc_id {kind}, row long, size long, sid long, bitmap binary, short binary, part int, cells binary")
 
 
-def _sketch(table: DataFrame) -> np.ndarray:
+def _sketch(table: DataFrame, bits: int) -> np.ndarray:
     """The sum of the tasks' sketches: a fixed number of counters."""
 
     def add(group: pa.Table) -> pa.Table:
@@ -176,16 +178,16 @@ def _sketch(table: DataFrame) -> np.ndarray:
         for k, x in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["part", "cells"])
 
-    rows = table.where("part IS NOT NULL").select("part", "cells").mapInArrow(halve, "part int, cells binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in rows.groupBy("part").applyInArrow(add, "part int, cells binary").collect():
+    rows = table.where("part IS NOT NULL").select("part", "cells").mapInArrow(lean(halve), "part int, cells binary")
+    out = np.zeros(1 << bits, np.uint32)
+    for r in rows.groupBy("part").applyInArrow(lean_group(add), "part int, cells binary").collect():
         out[r.part * _CHUNK : (r.part + 1) * _CHUNK] = np.frombuffer(r.cells, np.uint32)
     return out
 
 
 def _prefixes(docs: DataFrame, n: int, sizes: _Sizes, sketch: np.ndarray, n_buckets: int) -> DataFrame:
     """(sid, shingle) of the prefix shingles that several sets have."""
-    counts = docs.sparkSession.sparkContext.broadcast(sketch)
+    counts, bits = docs.sparkSession.sparkContext.broadcast(sketch), len(sketch).bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,32 +198,37 @@ def _prefixes(docs: DataFrame, n: int, sizes: _Sizes, sketch: np.ndarray, n_buck
                         continue
                     seen.add(sid)
                     k = sizes.prefix(len(one))
-                    order = np.argsort(counts.value[(one >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]
+                    order = np.argsort(counts.value[(one >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")[:k]
                     grams.append(one[order])
                     keys.append(np.full(k, sid, np.int64))
                 if grams:
                     yield from offered(np.concatenate(grams), np.concatenate(keys), n_buckets)
 
-    found = docs.select("text").mapInArrow(work, PACKET).groupBy("bucket").applyInArrow(shared, "key long, grams array<long>")
+    found = docs.select("text").mapInArrow(lean(work), PACKET).groupBy("bucket").applyInArrow(lean_group(shared), "key long, grams array<long>")
     return found.select(F.col("key").alias("sid"), F.explode("grams").alias("shingle")).distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, percent: int, kind: str) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets link, compared exactly."""
+def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, again: DataFrame | None, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets link, compared exactly.
+
+    One document stands for each set. Only where its id and text are repeated (``again``: sid) must
+    one of several rows be chosen.
+    """
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = stored(first.join(wanted, "sid", "left_semi").select("doc_id", "sid"), "wanted")
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set("sid").alias("sids"))
+    wanted = stored(first.join(wanted, "sid", "left_semi").select("sid", F.col("pick.doc_id").alias("doc_id"), F.col("pick.row").alias("row")), "wanted")
+    few = wanted.count() <= MOST_BROADCAST
 
     def work(batches):
         for batch in batches:
             for part in sliced(batch):
-                sids, arrays = [], []
-                for one, own in zip(_sets(Words(part.column("text"), LOWER), n), part.column("sids").to_pylist()):
-                    if len(one) and (sid := _set_id(one)) in own:
+                sids, arrays, seen = [], [], set()
+                for one, sid in zip(_sets(Words(part.column("text"), LOWER), n), part.column("sid").to_pylist()):
+                    if len(one) and _set_id(one) == sid and sid not in seen:
+                        seen.add(sid)
                         sids.append(sid)
                         arrays.append(one.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(arrays, pa.binary())], ["sid", "shingles"])
+                if sids:
+                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(arrays, pa.binary())], ["sid", "shingles"])
 
     def compare(batches):
         for batch in batches:
@@ -232,10 +239,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, percent
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("sids", "text")
-    sets = stored(texts.mapInArrow(work, "sid long, shingles binary").dropDuplicates(["sid"]), "sets")
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row"] == wanted["row"])
+    texts = docs.join(F.broadcast(wanted) if few else wanted, same).select("sid", "text")
+    sets = stored(texts.mapInArrow(lean(work), "sid long, shingles binary"), "sets")
+    if again is not None:
+        sets = sets.join(again, "sid", "left_anti").union(sets.join(again, "sid", "left_semi").dropDuplicates(["sid"]))
     rows = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, sizes: _Sizes) -> DataFrame:
@@ -249,7 +259,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, sizes: _Sizes) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda k: nodes.select(F.col("sid").alias(k), F.col("size").alias("n" + k), F.col("bitmap").alias("m" + k))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(work, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(lean(work), "a long, b long")
 
 
 def _between_groups(members: DataFrame, nodes: DataFrame, sizes: _Sizes) -> DataFrame:
@@ -312,20 +322,25 @@ def _between_groups(members: DataFrame, nodes: DataFrame, sizes: _Sizes) -> Data
                 return
 
     spread = rows.repartition("tile").sortWithinPartitions("tile")
-    return spread.mapInArrow(work, "a long, b long").distinct()
+    return spread.mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document ``doc_id``, ``n_shingles`` (its set's size) and ``component_id``, the smallest id
     that links lead to."""
+    small_batches(documents.sparkSession)
     sizes = _Sizes(percent)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    table = stored(_sets_table(docs, n, kind), "sets")
-    own = table.where("part IS NULL").select("doc_id", "size", "sid", "bitmap", "short")
-    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("short").alias("short")), "nodes")
-    prefixes = stored(_prefixes(docs, n, sizes, _sketch(table), int(min(2**31 - 1, 16 + total // BUCKET_BYTES))), "prefixes")
+    bits = max(LEAST_BITS, min(MOST_BITS, LEAST_BITS + (total >> 36).bit_length()))
+    table = stored(_sets_table(docs, n, bits, kind), "sets")
+    own = table.where("part IS NULL").select("doc_id", "row", "size", "sid", "bitmap", "short")
+    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "row")).alias("pick"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("short").alias("short")), "nodes")
+    prefixes = stored(_prefixes(docs, n, sizes, _sketch(table, bits), int(min(2**31 - 1, 16 + total // BUCKET_BYTES))), "prefixes")
+    twice = own.where("sid IS NOT NULL").groupBy("sid", "doc_id", "row").count().where("count > 1").select("sid").distinct()
+    twice = stored(twice, "again")
+    again = None if twice.isEmpty() else twice
     # what share of its prefix others have too: most for the least edited of near copies
     common = prefixes.groupBy("sid").agg(F.count(F.lit(1)).alias("common")).join(first.select("sid", "size"), "sid")
     common = common.select("sid", "size", (F.col("common") / F.col("size")).alias("common"))
@@ -335,12 +350,12 @@ def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id:
     centres = banded.groupBy("shingle", "band").agg(F.max_by("sid", F.struct("common", "sid")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = banded.join(centres, ["shingle", "band"]).where("sid <> centre").select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
     stars = stored(_bounded(stars, first, sizes), "stars")
-    links = stored(_linked(stars, docs, first, n, percent, kind), "links")
+    links = stored(_linked(stars, docs, first, again, n, percent), "links")
     roots = components(links)
 
     grouped = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rest = stored(_bounded(_between_groups(grouped, first, sizes), first, sizes), "rest")
-    more = _linked(rest, docs, first, n, percent, kind)
+    more = _linked(rest, docs, first, again, n, percent)
     roots = components(links.union(more))
 
     smallest = first.select("sid", "doc_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
