@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean, lean_group, small_batches
 from .packets import PACKET, bucket_of, by_key, groups, offered, opened, packets, shared
 from .words import PLAIN, Words, sliced
 
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Text bytes whose anchors meet in one group.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 
 def _owners(words: Words, part: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of word positions: the document's key, its text's hash and the position in it."""
@@ -59,6 +60,7 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
     """
     if period not in COVERS or period > n:
         raise ValueError("period must be one of COVERS and at most n")
+    small_batches(documents.sparkSession)
     anchor = n - period + 1
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     last = F.lit(2**63 - 1)
@@ -128,9 +130,9 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
                 kept = pa.array([t if ok else None for t, ok in zip(texts, part.column("text").is_valid().to_pylist())], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), pa.array(n_removed, pa.int64()), kept, part.column("carried")], ["doc_id", "n_words", "n_removed", "kept_text", "carried"])
 
-    found = docs.select("key", "row", "text").mapInArrow(anchors, PACKET).groupBy("bucket").applyInArrow(shared, "key long, grams array<long>")
+    found = docs.select("key", "row", "text").mapInArrow(lean(anchors), PACKET).groupBy("bucket").applyInArrow(lean_group(shared), "key long, grams array<long>")
     found = found.groupBy("key").agg(F.flatten(F.collect_list("grams")).alias("anchors"))
-    removed = docs.join(found, "key").mapInArrow(windows, PACKET).groupBy("bucket").applyInArrow(removed_windows, "key long, row long, starts array<int>")
+    removed = docs.join(found, "key").mapInArrow(lean(windows), PACKET).groupBy("bucket").applyInArrow(lean_group(removed_windows), "key long, row long, starts array<int>")
     removed = removed.groupBy("key").agg(F.collect_list(F.struct("row", "starts")).alias("removed"))
     kind, carried_kind = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "carried"))
-    return docs.join(removed, "key", "left").mapInArrow(without, f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_kind}")
+    return docs.join(removed, "key", "left").mapInArrow(lean(without), f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_kind}")
