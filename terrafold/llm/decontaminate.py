@@ -22,13 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import lean, small_batches
 from .words import LOWER_ALNUM, Words, sliced
 
-#: Windows times items that are sent to every task at most (about 60 MB).
-MOST_BROADCAST = 2_000_000
+#: Windows times items that are sent to every task at most (about 30 bytes each).
+MOST_BROADCAST = 1_000_000
 
 _RESULT = "doc_id {}, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, carried {}"
 
@@ -70,7 +72,7 @@ def benchmark_windows(benchmark: DataFrame, n: int, k: int, item_id: str, text:
                     )
 
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "width int, hash long, fingerprint long, item string").distinct()
+    return rows.mapInArrow(lean(work), "width int, hash long, fingerprint long, item string").distinct()
 
 
 @dataclass
@@ -127,22 +129,22 @@ def _spans(words: Words, hit: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), runs)
 
 
-def _known(rows: list) -> tuple[list[_Known], list[str]]:
-    names = sorted({r.item for r in rows})
-    number = {x: i for i, x in enumerate(names)}
+def _known(rows: pa.Table) -> tuple[list[_Known], list[str]]:
+    names = sorted(rows.column("item").unique().to_pylist())
+    items = pc.index_in(rows.column("item"), pa.array(names, pa.string())).to_numpy()
+    widths, hashes, fingerprints = (rows.column(c).to_numpy() for c in ("width", "hash", "fingerprint"))
     out = []
-    for width in sorted({r.width for r in rows}):
-        mine = [r for r in rows if r.width == width]
-        hashes = np.array([r.hash for r in mine], np.int64).view(np.uint64)
-        items = np.array([number[r.item] for r in mine], np.int64)
-        order = np.argsort(hashes, kind="stable")
-        each, first = np.unique(hashes[order], return_index=True)
-        out.append(_Known(width, each, np.unique(np.array([r.fingerprint for r in mine], np.int64).view(np.uint64)), np.append(first, len(order)), items[order]))
+    for width in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == width)
+        own = hashes[mine].view(np.uint64)
+        order = np.argsort(own, kind="stable")
+        each, first = np.unique(own[order], return_index=True)
+        out.append(_Known(width, each, np.unique(fingerprints[mine].view(np.uint64)), np.append(first, len(order)), items[mine][order]))
     return out, names
 
 
 def _by_broadcast(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tuple[str, str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_known(windows.collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(_known(windows.toArrow()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = shared.value
@@ -157,7 +159,7 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tu
                 items = pa.array([[names[i] for i in sorted(x)] for x in found], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), items, part.column("carried")], ["doc_id", "n_words", "spans", "item_ids", "carried"])
 
-    return docs.select("doc_id", "text", "carried").mapInArrow(work, _RESULT.format(*kinds))
+    return docs.select("doc_id", "text", "carried").mapInArrow(lean(work), _RESULT.format(*kinds))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tuple[str, str]) -> DataFrame:
@@ -200,12 +202,12 @@ def _by_join(docs: DataFrame, windows: DataFrame, n: int, k: int, kinds: tuple[s
                         hit[words.offsets[d] + p["start"] : words.offsets[d] + p["start"] + p["width"]] = True
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), _spans(words, hit), part.column("item_ids"), part.column("carried")], ["doc_id", "n_words", "spans", "item_ids", "carried"])
 
-    marked = docs.select("text", "key").mapInArrow(fingerprints, "fingerprint long, key long").join(windows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("key").distinct()
-    found = docs.join(marked, "key", "left_semi").select("text", "key").mapInArrow(places, "width int, hash long, key long, start int").distinct()
+    marked = docs.select("text", "key").mapInArrow(lean(fingerprints), "fingerprint long, key long").join(windows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("key").distinct()
+    found = docs.join(marked, "key", "left_semi").select("text", "key").mapInArrow(lean(places), "width int, hash long, key long, start int").distinct()
     found = found.join(windows.select("width", "hash", "item"), ["width", "hash"])
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", "width")).alias("places"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     rows = docs.join(found, "key", "left").select("doc_id", "text", "carried", "places", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
-    return rows.mapInArrow(spans, _RESULT.format(*kinds))
+    return rows.mapInArrow(lean(spans), _RESULT.format(*kinds))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: Sequence[str] = (), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -215,6 +217,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, k: in
     an occurrence: start, end), ``item_ids`` (items with an occurring window, sorted as strings) and
     ``carried``, a struct of the ``carry`` columns.
     """
+    small_batches(documents.sparkSession)
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), carried.alias("carried"))
     windows = benchmark_windows(benchmark, n, k, item_id, item_text)
