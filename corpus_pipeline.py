@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.bpe import decoded, encoded
+from terrafold.llm.bpe import encoded
 from terrafold.llm.decontaminate import contamination
 from terrafold.llm.ngram_join import similar_groups
 from terrafold.llm.quality_rules import judged
@@ -64,7 +64,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with digests of the ids and of the bytes they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = decoded(encoded(docs, ranks, pattern), ranks, pattern)
+    rows = encoded(docs, ranks, pattern, decode=True)
     ids_sha256 = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
