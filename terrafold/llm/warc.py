@@ -1,39 +1,45 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Records are ranged by id: a histogram of the ids (``CELLS`` cells at most, the only thing that passes
-the driver) is cut into shards of about equal payload bytes. Each shard is sorted and written as
-gzip members, and a new file begins when one has ``roll_bytes`` compressed bytes. The same input gives
-the same files byte for byte, however Spark deals out the work: names come from shard and file
-numbers, headers and digests are made anew, and dates are a parameter.
+Records are ranged by id and digest. A histogram over prefixes of that key (a few cells a shard, the
+only thing that passes the driver) is cut into shards of about equal payload bytes; a cell that
+alone outweighs half a shard is cut again by longer prefixes, so that outlying, wide or repeated
+ids change nothing. Each shard is sorted and written as gzip members, and a new file begins when
+one has ``roll_bytes`` compressed bytes. The same input gives the same files byte for byte, however
+Spark deals out the work: names come from shard and file numbers, headers and digests are made
+anew, and dates are a parameter.
 
 A file is written under a temporary name and renamed when it is whole; a task that is run again
 writes the same bytes under the same name. What counts are the files in the manifest, a table that
-Spark commits after all tasks have ended.
+Spark commits after all tasks have ended; what failed tasks left behind is then removed.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, the one with the smallest id is a
 ``response``; the others are ``revisit`` records that refer to it and carry no payload.
 
 Defined results: a null payload is empty; a null url is written as a urn of the id; rows with a null
-id come first, in a shard of their own, and never are what others refer to unless all copies have
-null ids; of repeated rows the first is the response. Ids are integers. An empty table gives a
-manifest without files. Only the named columns are read.
+id come first and never are what others refer to unless all copies have null ids; of repeated rows
+the first is the response, and rows with equal ids and payloads are in one shard. Ids are any 64-bit
+integers. An empty table gives a manifest without files. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELLS = 1 << 20
-#: Shards that are made at least, where there is a cell for each; their size at most.
+from .lean import lean, small_batches
+from .storage import stored
+
+#: Shards that are made at least, where keys allow it; their size at most.
 LEAST_SHARDS = 128
 SHARD_BYTES = 256 << 20
 
@@ -89,32 +95,64 @@ class _File:
         return pa.RecordBatch.from_pylist([{"file": self.name, "records": self.records, "bytes": self.bytes, "sha256": self.digest.hexdigest()}])
 
 
-def _shards(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """(cell, shard) of the histogram's cells, and the smallest id and width that give a row's cell."""
-    spark = rows.sparkSession
-    low, high, total = rows.select(F.min("page_id"), F.max("page_id"), F.sum(F.col("payload_bytes") + 200)).first()
-    shards = max(LEAST_SHARDS, (total or 0) // SHARD_BYTES)
-    low = 0 if low is None else low
-    width = 1 if high is None else -(-(high - low + 1) // min(CELLS, 16 * shards))
-    cells = rows.groupBy(_cell(low, width).alias("cell")).agg(F.sum(F.col("payload_bytes") + 200).alias("n")).collect()
+#: Characters of a key: a mark of null ids, the id's 64 bits and the digest, in hexadecimal.
+_KEY_LENGTH = 1 + 16 + 64
+
+
+def _key() -> Column:
+    """Text that sorts as (page_id, digest) does."""
+    bits = F.col("page_id").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 63))
+    return F.concat(F.when(F.col("page_id").isNull(), "0" * 17).otherwise(F.concat(F.lit("1"), F.lpad(F.hex(bits), 16, "0"))), "digest")
+
+
+def _shards(small: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What gives rows with ``page_id`` and ``digest`` their ``shard``, and the number of shards."""
+    spark = small.sparkSession
+    rows = small.select(_key().alias("key"), (F.col("payload_bytes") + 200).alias("n"), F.lit("").alias("cell"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    shards = max(LEAST_SHARDS, total // SHARD_BYTES)
+    cells, steps, heavy = {}, [], {"": 0}
+    while heavy:
+        # prefixes grow by so much that there are a few cells a shard
+        more = max(1, int(math.log(4 * shards / len(heavy), 16)))
+        ends = [(cell, min(_KEY_LENGTH, size + more)) for cell, size in heavy.items()]
+        steps.append(spark.createDataFrame(ends, "own string, size int"))
+        rows = _stepped(rows, steps[-1]).where("size IS NOT NULL").drop("size")
+        found = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).toArrow().to_pylist()
+        cells |= {r["cell"]: r["n"] for r in found}
+        # of keys that begin alike, the next prefix goes beyond what they share
+        heavy = {r["cell"]: len(os.path.commonprefix([r["low"], r["high"]])) for r in found if 2 * r["n"] * shards > total and r["low"] < r["high"]}
+        for cell in heavy:
+            del cells[cell]
     done, out = 0, []
-    for cell, n in sorted((r.cell, r.n) for r in cells):
-        out.append((cell, int(done * shards // total)))
-        done += n
-    return spark.createDataFrame(out, "cell long, shard int"), low, width
+    for cell in sorted(cells):
+        out.append((cell, done * shards // total))
+        done += cells[cell]
+    found = spark.createDataFrame(out, "cell string, shard int")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("key", _key()).withColumn("cell", F.lit(""))
+        for step in steps:
+            rows = _stepped(rows, step).drop("size")
+        return rows.join(F.broadcast(found), "cell").drop("cell", "key")
+
+    return placed, shards
 
 
-def _cell(low: int, width: int):
-    return F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(-1).cast("long"))
+def _stepped(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """Rows of the cells in ``step`` in smaller cells."""
+    rows = rows.join(F.broadcast(step), F.col("cell") == F.col("own"), "left").drop("own")
+    return rows.withColumn("cell", F.when(F.col("size").isNotNull(), F.expr("substring(key, 1, size)")).otherwise(F.col("cell")))
 
 
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 100, roll_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write ``pages`` as WARC files in ``folder``; returns the manifest, which is in ``folder``/manifest."""
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    small = rows.select("page_id", "digest", "payload_bytes")
-    cells, low, width = _shards(small)
+    small = stored(rows.select("page_id", "digest", "payload_bytes"), "digests")
+    placed, shards = _shards(small)
 
     long = small.where(F.col("payload_bytes") >= least_bytes).select("page_id", "digest")
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -122,8 +160,9 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     # what a row is comes just before it in the sort order, so that payloads are shuffled once
     told = revisits.select("page_id", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     both = told.union(rows.select("page_id", "digest", F.lit(1), F.lit(None).cast("long"), "url", "payload"))
-    placed = both.withColumn("cell", _cell(low, width)).join(F.broadcast(cells), "cell").drop("cell")
-    ordered = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    both = placed(both)
+    both = both.repartition(shards, "shard") if shards > LEAST_SHARDS else both.repartition("shard")
+    ordered = both.sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, shard, number, last, first, repeat = None, None, 0, None, None, 0
@@ -170,7 +209,11 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
         if file is not None:
             yield file.close()
 
-    ordered.select("page_id", "digest", "kind", "first", "url", "payload", "shard").mapInArrow(work, _MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.select("page_id", "digest", "kind", "first", "url", "payload", "shard").mapInArrow(lean(work), _MANIFEST).write.parquet(f"{folder}/manifest")
+    store, root = _filesystem(folder)
+    for one in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if one.base_name.startswith("_") and one.base_name.endswith(".tmp"):
+            store.delete_file(one.path)
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -233,4 +276,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     text, whole = pa.string(), pa.int64()
     schema = pa.schema([("file", text), ("record_id", text), ("record_type", text), ("page_id", whole), ("target_uri", text), ("payload_bytes", whole), ("payload_digest", text), ("refers_to", whole)])
-    return files.mapInArrow(work, _RECORD)
+    return files.mapInArrow(lean(work), _RECORD)
