@@ -87,7 +87,8 @@ URL_RULES = (
     url_filter.Rule("example.net/de/8", "allow"),
     url_filter.Rule("org/es/", "block"),
 )
-#: Words of hosts by which urls are labelled for training.
+#: Weak labels: there is no table of labelled urls, so these words in a host say block. No feature of
+#: the trees holds a word; what they carry over to other hosts is their form and their suffix.
 BAD_HOST_WORDS = "adult|bet|bets|casino|gamble|loans|lottery|pills|poker|porn|spam|viagra|win|xxx"
 
 
