@@ -7,14 +7,21 @@ slice has settled itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .lean import lean_group
 
 PACKET = "bucket int, known boolean, grams array<long>, keys array<long>, rows array<long>, runs array<int>, starts array<int>"
 
 
+_FIELDS = [c.split()[0] for c in PACKET.split(", ")]
+
+
 def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
@@ -92,8 +99,44 @@ def offered(grams: np.ndarray, keys: np.ndarray, n_buckets: int) -> Iterator[pa.
         yield packets(bucket_of(k[told].view(np.uint64), n_buckets), True, g[told], k[told], zero[told], None)
 
 
+def least(grams: np.ndarray, keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a slice tells of its grams, so that those under a larger key than their smallest are found.
+
+    A gram goes to its bucket under its smallest key; under all others it is told directly, to the
+    bucket of the row.
+    """
+    order, first, group = groups(grams, keys)
+    if not len(first):
+        return
+    g, k, r, s = grams[order], keys[order], rows[order], starts[order]
+    low = k == k[first][group]
+    yield packets(bucket_of(g[low], n_buckets), False, g[low], k[low], r[low], s[low])
+    if not low.all():
+        yield packets(bucket_of(r[~low].view(np.uint64), n_buckets), True, g[~low], k[~low], r[~low], s[~low])
+
+
+def combined(found: DataFrame, fan_in: int, tell: Callable[..., Iterator[pa.RecordBatch]], n_buckets: int) -> DataFrame:
+    """Packets with those of ``fan_in`` parts of the input settled among themselves first.
+
+    A gram that all slices have is one entry for each of them in its bucket; after this it is one
+    for each part. With one part there is nothing to do.
+    """
+    if fan_in <= 1:
+        return found
+
+    def work(table: pa.Table) -> pa.Table:
+        known = table.column("known").to_numpy()
+        done = table.filter(pa.array(known)).select(_FIELDS).to_batches()
+        grams, keys, rows, starts = opened(table.filter(pa.array(~known)))
+        given = (grams.view(np.uint64), keys) if tell is offered else (grams.view(np.uint64), keys, rows, starts.astype(np.int32))
+        return pa.Table.from_batches([*done, *tell(*given, n_buckets)], schema=table.select(_FIELDS).schema)
+
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(fan_in))
+    return found.withColumn("part", part).groupBy("part", "bucket").applyInArrow(lean_group(work), PACKET)
+
+
 def shared(table: pa.Table) -> pa.Table:
-    """Of a bucket's packets: each key with its grams that other keys have too (key, grams)."""
+    """Of a bucket's packets: each key with its grams that other keys have too (key, grams), each once."""
     known = table.column("known").to_numpy()
     g, k, _, _ = opened(table.filter(pa.array(~known)))
     order, first, group = groups(g, k)
@@ -102,4 +145,9 @@ def shared(table: pa.Table) -> pa.Table:
         several = sorted_k[first] != sorted_k[np.append(first[1:], len(g)) - 1]
         order = order[several[group]]
     g2, k2, _, _ = opened(table.filter(pa.array(known)))
-    return by_key(("key", "grams"), np.concatenate([k[order], k2]), None, np.concatenate([g[order], g2]))
+    g, k = np.concatenate([g[order], g2]), np.concatenate([k[order], k2])
+    order, _, _ = groups(g, k)
+    g, k = g[order], k[order]
+    once = np.ones(len(g), bool)
+    once[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    return by_key(("key", "grams"), k[once], None, g[once])
