@@ -325,9 +325,13 @@ def _between_groups(members: DataFrame, nodes: DataFrame, sizes: _Sizes) -> Data
     return spread.mapInArrow(lean(work), "a long, b long").distinct()
 
 
-def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", chosen: bool = False) -> DataFrame:
     """For each document ``doc_id``, ``n_shingles`` (its set's size) and ``component_id``, the smallest id
-    that links lead to."""
+    that links lead to.
+
+    With ``chosen`` also ``row``, xxhash64 of the text, and ``stays``: of each component the rows with one id and text,
+    those with the smallest id (nulls last), and all documents that are linked with nothing.
+    """
     small_batches(documents.sparkSession)
     sizes = _Sizes(percent)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
@@ -336,7 +340,7 @@ def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id:
     bits = max(LEAST_BITS, min(MOST_BITS, LEAST_BITS + (total >> 36).bit_length()))
     table = stored(_sets_table(docs, n, bits, kind), "sets")
     own = table.where("part IS NULL").select("doc_id", "row", "size", "sid", "bitmap", "short")
-    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "row")).alias("pick"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("short").alias("short")), "nodes")
+    first = stored(own.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("pick"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("short").alias("short")), "nodes")
     prefixes = stored(_prefixes(docs, n, sizes, _sketch(table, bits), int(min(2**31 - 1, 16 + total // BUCKET_BYTES))), "prefixes")
     twice = own.where("sid IS NOT NULL").groupBy("sid", "doc_id", "row").count().where("count > 1").select("sid").distinct()
     twice = stored(twice, "again")
@@ -358,7 +362,10 @@ def similar_groups(documents: DataFrame, n: int = 5, percent: int = 80, doc_id:
     more = _linked(rest, docs, first, again, n, percent)
     roots = components(links.union(more))
 
-    smallest = first.select("sid", "doc_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = smallest.join(named, "root").select("sid", "component_id")
-    return own.join(named, "sid", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = first.select("sid", "doc_id", "pick").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("pick").alias("pick"))
+    named = smallest.select("sid", "root").join(named, "root").select("sid", "component_id", "pick")
+    rows = own.join(named, "sid", "left")
+    stays = F.col("sid").isNull() | (F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("row") == F.col("pick.row")))
+    more = [F.col("row"), stays.alias("stays")] if chosen else []
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
