@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
+    """A folder of this application that the driver and all executors see, below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local one, as in tests) gets one of its own.
+    Only a local session without that setting, as in tests, gets one of its own; on a cluster every executor would
+    write to its own disk, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/terrafold"
+    return f"{found.rstrip('/')}/terrafold/{spark.sparkContext.applicationId}"
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -25,8 +28,14 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a
-    lost executor costs nothing that was already computed."""
+    lost executor costs nothing that was already computed. ``clear`` removes it."""
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored; to be called when results are written, as they are lazy until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
