@@ -128,10 +128,23 @@ def dot_class(category: Column, exact: Mapping[str, str], parts: Sequence[tuple[
     return F.coalesce(_first(told), F.lit(other))
 
 
+#: How folders and names of phone shops' counters read.
+COUNTER_FOLDER = r"\bipp\b|konter|\bcounter\b|pulsa"
+COUNTER_NAME = r"\bcell\b|\bcel\b|\bponsel\b|\bselular\b|\bseluler\b|konter"
+
+
 def operator(*texts: Column) -> Column:
-    """Operator of a service point from all its texts; counters of phone shops are IPP (PRJ-7)."""
+    """Operator of a service point from all its texts."""
     text = F.lower(F.concat_ws(" ", *texts))
-    return F.when(text.rlike(r"\b(x|cell|counter)\s+cell\b|\bcounter\b"), "IPP").otherwise(F.coalesce(_first([(text.rlike(p), k) for k, p in OPERATORS]), F.lit("OTHER")))
+    return F.coalesce(_first([(text.rlike(p), k) for k, p in OPERATORS]), F.lit("OTHER"))
+
+
+def service_point(raw: Column, folder: Column, name: Column, kind: Column) -> tuple[Column, Column]:
+    """Operator and class of a service point (PRJ-7): a counter's folder tells it at once, a counter's name only
+    where no operator is named; counters are IPP outlets."""
+    by_text = operator(raw, folder, name, kind)
+    counter = matches(folder, COUNTER_FOLDER) | ((by_text == "OTHER") & matches(name, COUNTER_NAME))
+    return F.when(counter, "IPP").otherwise(by_text), F.when(counter, "outlet").when(by_text == "OTHER", "unknown").otherwise("operator")
 
 
 def density(population: Column, area_km2: Column) -> Column:

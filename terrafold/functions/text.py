@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Words that say nothing about which place a name means.
 NOISE_WORDS = (
@@ -86,6 +90,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b)))
 
 
+@F.pandas_udf(DoubleType())
+def _matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def name_similarity(a: Column, b: Column, where: Column | None = None) -> Column:
+    """The larger of two word arrays' Jaccard share and the share of their joined texts that lies in matching
+    blocks (PRJ-17); null if either is null or empty. No built-in finds such blocks, so texts that differ, and
+    only those for which ``where`` holds, go to Python in Arrow batches."""
+    words = jaccard(a, b)
+    ask = words.isNotNull() & (words < 1) & (F.lit(True) if where is None else where)
+    texts = [F.when(ask, F.array_join(c, " ")) for c in (a, b)]
+    return F.greatest(words, _matched_share(*texts))
+
+
 def composed_address(full: Column, *parts: Column) -> Column:
     """The full address, or its parts joined, or null (PRJ-30)."""
     joined = F.concat_ws(", ", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])

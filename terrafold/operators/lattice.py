@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.geo import haversine_m
+
 from .resolve import clusters
 
 
@@ -116,40 +118,59 @@ def outlines(cells: DataFrame, cell: float, rounds: int = 0) -> DataFrame:
     return cells.groupBy("owner").applyInPandas(trace, f"owner {kind}, ring int, is_hole boolean, points array<array<double>>")
 
 
-def hulls(points: DataFrame, least: int = 3, strip: float = 1000.0) -> DataFrame:
-    """Convex hulls of each owner's points, for owners with at least ``least`` different ones (GEO-10, GEO-11); points
-    on one line have none.
+def _half_hull(order: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    chain: list[tuple[float, float]] = []
+    for p in order:
+        while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+            chain.pop()
+        chain.append(p)
+    return chain[:-1]
+
+
+def _hull(group: pd.DataFrame) -> list[tuple[float, float]]:
+    spots = sorted(set(zip(group["x"].tolist(), group["y"].tolist())))
+    return _half_hull(spots) + _half_hull(spots[::-1]) if len(spots) > 1 else spots
 
-    Of points with one x only the lowest and the highest can be corners. Hulls are made of strips of the ground
-    first; the corners of those, few in number, make the owner's.
+
+def corners(points: DataFrame, strip: float) -> DataFrame:
+    """(owner, x, y): of each owner's points some few among which are all corners of its convex hull.
+
+    Of points with one x only the lowest and the highest can be corners, and of those of a strip of the ground only
+    the corners of the strip's hull.
     """
-    ends = points.groupBy("owner", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count_distinct("y").alias("n"))
-    enough = ends.groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("owner")
-    spots = ends.join(enough, "owner", "left_semi").select("owner", "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
+    ends = points.groupBy("owner", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    spots = ends.select("owner", "x", F.explode(F.array_distinct(F.array("low", "high"))).alias("y"))
     kind = points.schema["owner"].dataType.simpleString()
 
-    def ring(group: pd.DataFrame) -> list[tuple[float, float]]:
-        spots = sorted(set(zip(group["x"].tolist(), group["y"].tolist())))
+    def of_strip(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(group["owner"].iloc[0], *p) for p in _hull(group)], columns=["owner", "x", "y"])
 
-        def half(order):
-            chain = []
-            for p in order:
-                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                    chain.pop()
-                chain.append(p)
-            return chain[:-1]
+    return spots.groupBy("owner", F.floor(F.col("x") / strip).alias("strip")).applyInPandas(lambda g: of_strip(g), f"owner {kind}, x double, y double")
 
-        return half(spots) + half(spots[::-1]) if len(spots) > 1 else spots
 
-    def corners(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(group["owner"].iloc[0], *p) for p in ring(group)], columns=["owner", "x", "y"])
+def hulls(points: DataFrame, least: int = 3, strip: float = 1000.0) -> DataFrame:
+    """Convex hulls of each owner's points, for owners with at least ``least`` different ones (GEO-10, GEO-11); points
+    on one line have none. Made of the corners of strips."""
+    enough = points.groupBy("owner", "x").agg(F.count_distinct("y").alias("n")).groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("owner")
+    kind = points.schema["owner"].dataType.simpleString()
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        found = ring(group)
+        found = _hull(group)
         return pd.DataFrame([(group["owner"].iloc[0], [list(p) for p in found])] if len(found) > 2 else [], columns=["owner", "ring"])
 
-    strips = spots.groupBy("owner", F.floor(F.col("x") / strip).alias("strip")).applyInPandas(lambda g: corners(g), f"owner {kind}, x double, y double")
-    return strips.groupBy("owner").applyInPandas(whole, f"owner {kind}, ring array<array<double>>")
+    return corners(points.join(enough, "owner", "left_semi"), strip).groupBy("owner").applyInPandas(whole, f"owner {kind}, ring array<array<double>>")
+
+
+def spans(points: DataFrame, strip: float = 0.01) -> DataFrame:
+    """(owner, far_m): the distance between each owner's farthest two points (``x`` longitude, ``y`` latitude)."""
+    kind = points.schema["owner"].dataType.simpleString()
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(group["owner"].iloc[0], *p) for p in _hull(group)], columns=["owner", "x", "y"])
+
+    rows = corners(points, strip).groupBy("owner").applyInPandas(whole, f"owner {kind}, x double, y double")
+    pairs = rows.join(rows.select("owner", F.col("x").alias("u"), F.col("y").alias("v")), "owner")
+    return pairs.groupBy("owner").agg(F.max(haversine_m(F.col("y"), F.col("x"), F.col("v"), F.col("u"))).alias("far_m"))
 
 
 def outer_edges(polygons: DataFrame, group: str) -> DataFrame:
@@ -163,3 +184,66 @@ def outer_edges(polygons: DataFrame, group: str) -> DataFrame:
     ends = edges.select(group, point(F.col("e.p")).alias("p"), point(F.col("e.q")).alias("q")).where("p <> q")
     ends = ends.select(group, F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     return ends.groupBy(group, "p", "q").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(group, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+def _loops(edges: list[tuple]) -> list[list[tuple]]:
+    """Closed rings of undirected edges; where more than two meet, the sharpest turn to the left is taken."""
+    at = defaultdict(set)
+    for p, q in edges:
+        at[p].add(q)
+        at[q].add(p)
+    out = []
+    for start in sorted(at):
+        while at[start]:
+            ring, here, heading = [start], start, None
+            while True:
+                options = at[here]
+                if heading is None or len(options) == 1:
+                    step = min(options)
+                else:
+                    step = max(options, key=lambda q: (math.atan2(q[1] - here[1], q[0] - here[0]) - heading + math.pi) % math.tau)
+                at[here].discard(step)
+                at[step].discard(here)
+                heading = math.atan2(step[1] - here[1], step[0] - here[0])
+                here = step
+                if here == start or not at[here]:
+                    break
+                ring.append(here)
+            if len(ring) > 2:
+                out.append(ring)
+    return out
+
+
+def _twice_area(ring: list[tuple]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+
+
+def _holds(ring: list[tuple], p: tuple) -> bool:
+    hit = False
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
+            hit = not hit
+    return hit
+
+
+def dissolved(polygons: DataFrame, group: str) -> DataFrame:
+    """The union of each group's polygons (GEO-12): ``part`` and ``rings``, outer ones to the left, holes to the right.
+
+    Shared edges cancel in a shuffle; only outlines come together for a group, are stitched to rings, and a ring
+    that an odd number of others hold is a hole of the smallest of these.
+    """
+    kind = polygons.schema[group].dataType.simpleString()
+
+    def stitch(rows: pd.DataFrame) -> pd.DataFrame:
+        rings = _loops(sorted(set(zip(zip(rows["x1"].tolist(), rows["y1"].tolist()), zip(rows["x2"].tolist(), rows["y2"].tolist())))))
+        sizes = [abs(_twice_area(r)) for r in rings]
+        spot = [((r[0][0] + r[1][0]) / 2, (r[0][1] + r[1][1]) / 2) for r in rings]
+        around = [[k for k in range(len(rings)) if sizes[k] > sizes[i] and _holds(rings[k], spot[i])] for i in range(len(rings))]
+        parts = {i: [rings[i] if _twice_area(rings[i]) > 0 else rings[i][::-1]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+        for i, r in enumerate(rings):
+            if len(around[i]) % 2:
+                parts[min(around[i], key=sizes.__getitem__)].append(r if _twice_area(r) < 0 else r[::-1])
+        name = rows[group].iloc[0]
+        return pd.DataFrame([(name, n + 1, [[[x / 1e7, y / 1e7] for x, y in r] for r in parts[i]]) for n, i in enumerate(sorted(parts, key=lambda i: (-sizes[i], min(rings[i]))))], columns=[group, "part", "rings"])
+
+    return outer_edges(polygons, group).groupBy(group).applyInPandas(stitch, f"{group} {kind}, part int, rings array<array<array<double>>>")

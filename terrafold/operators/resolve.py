@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrafold.functions.text import jaccard, name_tokens
+from terrafold.functions.text import name_similarity, name_tokens
 
 from .spatial import near
 
@@ -45,13 +45,14 @@ def scored(pairs: DataFrame, metres: float) -> DataFrame:
     Different brands or classes forbid a match. Without a name on one side only places of one class within 25 m
     go to review.
     """
-    similarity = jaccard(name_tokens(F.col("name")), name_tokens(F.col("r_name")))
-    rows = pairs.withColumn("similarity", similarity)
+    veto = _differ("brand") | _differ("class") | (F.col("metres") > metres)
+    rows = pairs.withColumn("veto", veto)
+    rows = rows.withColumn("similarity", name_similarity(name_tokens(F.col("name")), name_tokens(F.col("r_name")), ~F.col("veto")))
     close, name, brand = WEIGHTS
     same_brand = F.coalesce(F.col("brand") == F.col("r_brand"), F.lit(False)).cast("double")
     full = (1 - F.col("metres") / metres) * close + F.col("similarity") * name + same_brand * brand
     unnamed = (F.col("metres") <= UNNAMED_M) & F.coalesce(F.col("class") == F.col("r_class"), F.lit(False))
-    veto = _differ("brand") | _differ("class") | (F.col("metres") > metres)
+    veto = F.col("veto")
     rows = rows.withColumn("score", F.when(veto, 0.0).when(F.col("similarity").isNull(), F.when(unnamed, UNNAMED_SCORE).otherwise(0.0)).otherwise(full))
     by_score = F.when(F.col("score") >= MATCH, "match").when(F.col("score") >= REVIEW, "review").otherwise("no")
     return rows.withColumn("verdict", F.when(veto, "no").when(F.col("similarity").isNull(), F.when(unnamed, "review").otherwise("no")).otherwise(by_score))

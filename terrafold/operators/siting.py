@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from terrafold.functions.geo import distance_ramp
 
+from .order import numbered, percentiles
+
 #: Fixed values of the scoring model.
 TERM_WEIGHTS = {"population": 0.20, "vlr_total": 0.20, "ms_score": 0.12, "cvi": 0.28, "cpi": 0.12, "network": 0.08}
 VITALITY_WEIGHTS = {"finance": 0.35, "minimarket": 0.35, "pasar": 0.30}
@@ -60,7 +62,8 @@ class Params:
 
 
 def percentile(value: Column, *partition: str | Column) -> Column:
-    """Average position among the group's known values, from 0 to 1; 0.5 alone or unknown (WIN-1, WIN-2)."""
+    """Average position among the known values of a partition that fits a task, from 0 to 1; 0.5 alone or unknown
+    (WIN-1, WIN-2). Over whole tables ``order.percentiles`` gives the same."""
     groups = [*partition, value.isNotNull()]
     order = Window.partitionBy(*groups).orderBy(value)
     n = F.count(F.lit(1)).over(Window.partitionBy(*groups))
@@ -121,15 +124,14 @@ def supported(rows: DataFrame, p: Params) -> dict[str, bool]:
     return found | {"cpi": found["cpi"] and p.use_cpi, "distance": found["distance"] and p.dist_term}
 
 
-def terms(p: Params, *partition: str, available: Mapping[str, bool]) -> dict[str, Column]:
-    """The model's terms from percentiles within a partition (WIN-4); an unknown ``vlr`` ranks as 0."""
-    r = lambda c: percentile(F.col(c), *partition)
+def terms(p: Params, r: Callable[[str], Column], available: Mapping[str, bool]) -> dict[str, Column]:
+    """The model's terms from percentiles (WIN-4): ``r`` gives that of an input."""
     densify = p.strategy == "DENSIFY"
     parts = {"finance": sum(r(k) * w for k, w in FINANCE_WEIGHTS.items()), "minimarket": r("minimarket_den"), "pasar": r("pasar_den")}
     primary = r("rsov_gap") if densify else 1 - r("retail_sov")
     return {
         "population": F.when(F.col("population").isNotNull(), r("population" if p.pop_metric == "total" else "pop_density")),
-        "vlr_total": percentile(F.coalesce("vlr", F.lit(0.0)), *partition),
+        "vlr_total": r("vlr"),
         "ms_score": r("ms_ioh") if densify else 1 - r("ms_ioh"),
         "cvi": sum(parts[k] * w for k, w in renormalised(VITALITY_WEIGHTS, {"pasar": available["pasar"]}).items()),
         "cpi": primary * COMPETITION_WEIGHTS["primary"] + r("comp_den") * COMPETITION_WEIGHTS["comp_den"],
@@ -138,18 +140,31 @@ def terms(p: Params, *partition: str, available: Mapping[str, bool]) -> dict[str
     }
 
 
+#: Inputs that enter the model as percentiles.
+RANKED = ("population", "pop_density", "vlr", "ms_ioh", "rsov_gap", "retail_sov", "comp_den", "atm_den", "bank_den", "minimarket_den", "pasar_den", "vlr_per_site", "site_count")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    return F.floor(value * float(10**digits) + 0.5) / float(10**digits)
+
+
 def scored(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """Scores within strata and over all, gates, eligibility and ranks (WIN-4, WIN-5, SCR-3, SCR-4).
 
-    Rows need ``area_key``, ``profile`` and the inputs that ``supported``, ``terms`` and ``gate_fails`` name. A term that
-    too few rows tell shares its weight among the others; one that a single row lacks is left out of its sum. Neither
-    scores nor percentiles are rounded, and equal scores rank by key.
+    Rows need ``area_key``, which tells them apart, ``profile`` and the inputs that ``supported``, ``terms`` and
+    ``gate_fails`` name. A term that too few rows tell shares its weight among the others; one that a single row lacks is
+    left out of its sum; an unknown ``vlr`` ranks as 0, other unknown inputs in the middle. Scores have two digits,
+    percentiles of gates one; equal scores rank by key.
     """
     available = supported(rows, p)
     weights = renormalised(TERM_WEIGHTS, available, p.dist_weight if available["distance"] else 0.0)
-    total = lambda *by: sum((F.coalesce(c * weights[k], F.lit(0.0)) for k, c in terms(p, *by, available=available).items() if k in weights), F.lit(0.0)) * 100
-    vlr = F.coalesce("vlr", F.lit(0.0))
-    rows = rows.withColumns({"score_stratum": total("profile"), "score_territory": total(), "vlr_pct": percentile(vlr) * 100, "ms_pct": F.when(F.col("ms_ioh").isNotNull(), percentile(F.col("ms_ioh")) * 100)})
+    values = {c: F.col(c) for c in RANKED} | {"vlr": F.coalesce("vlr", F.lit(0.0))}
+    places = percentiles(rows, "area_key", values, {"all": F.lit(""), "profile": F.col("profile")})
+    rows = rows.join(places, "area_key", "left")
+    r = lambda scope: lambda c: F.coalesce(F.col(f"`{c}@{scope}`"), F.lit(0.5))
+    total = lambda scope: rounded(sum((F.coalesce(c * weights[k], F.lit(0.0)) for k, c in terms(p, r(scope), available).items() if k in weights), F.lit(0.0)) * 100, 2)
+    ms_pct = F.when(F.col("ms_ioh").isNotNull(), rounded(r("all")("ms_ioh") * 100, 1))
+    rows = rows.withColumns({"score_stratum": total("profile"), "score_territory": total("all"), "vlr_pct": rounded(r("all")("vlr") * 100, 1), "ms_pct": ms_pct}).drop(*[c for c in places.columns if c != "area_key"])
     rows = rows.withColumn("gate_fails", gate_fails(p))
     rows = rows.withColumn("eligible", (F.size("gate_fails") == 0) | (not p.gates))
     chosen, other = ("score_stratum", "score_territory") if p.scope == "stratum" else ("score_territory", "score_stratum")
@@ -173,11 +188,10 @@ def gate_fails(p: Params) -> Column:
 
 def ranked(rows: DataFrame, score: str, key: str, group: str) -> DataFrame:
     """Ranks from 1 by descending score, overall and in the group; null without a score (WIN-5)."""
-    has = F.col(score).isNotNull()
-    order = [F.col(score).desc(), F.col(key)]
-    overall = F.when(has, F.row_number().over(Window.partitionBy(has).orderBy(*order)))
-    within = F.when(has, F.row_number().over(Window.partitionBy(has, group).orderBy(*order)))
-    return rows.withColumn("rank", overall).withColumn("rank_in_profile", within)
+    order = [F.col("_no_score"), F.col(score).desc(), F.col(key)]
+    rows = numbered(rows.withColumn("_no_score", F.col(score).isNull()), order, "rank")
+    rows = numbered(rows, order, "rank_in_profile", [group])
+    return rows.withColumns({c: F.when(~F.col("_no_score"), F.col(c)) for c in ("rank", "rank_in_profile")}).drop("_no_score")
 
 
 def gate_counts(rows: DataFrame) -> DataFrame:
@@ -189,7 +203,8 @@ def gate_counts(rows: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame) -> DataFrame:
     """Counts and means of a ranking (AGG-26)."""
-    mean = lambda c: F.floor(F.avg(c) * 100 + 0.5).cast("long")
+    # of hundredths, which are whole numbers, so that the order of adding them up doesn't matter
+    mean = lambda c: F.floor(F.sum(F.floor(c * 100.0 + 0.5)) / F.count(c) + 0.5).cast("long")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_eligible"), mean(F.col("score")).alias("mean_x100"), mean(F.when(F.col("profile") == "urban", F.col("score"))).alias("urban_x100"), mean(F.when(F.col("profile") == "rural", F.col("score"))).alias("rural_x100"))
 
 

@@ -11,6 +11,8 @@ ring is an array of [lon, lat]) and a position ``pos`` that says which of overla
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,8 +58,9 @@ def inside(points: DataFrame, polygons: DataFrame, size: float = CELL, how: str
     return points.join(best, "point_id", "left").select(*points.columns, "hit.*")
 
 
-def near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs within a distance, with ``metres`` (JOIN-2, JOIN-13); columns of the right side get the prefix ``r_``.
+def near(left: DataFrame, right: DataFrame, metres: float, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs within a distance, with ``metres`` (JOIN-2, JOIN-13); columns of the right side get the prefix ``r_``. With
+    ``within`` only pairs that agree in these columns.
 
     Cells are as wide as the distance in latitude; in longitude they are wider by the cosine at the highest
     latitude that can occur (60 degrees), so that the nine cells around a point always hold all that is near.
@@ -68,25 +71,31 @@ def near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     others = others.withColumn("ci", _cell(F.col("r_lon"), wide)).withColumn("cj", _cell(F.col("r_lat"), size))
     around = lambda c, s: F.explode(F.sequence(_cell(F.col(c), s) - 1, _cell(F.col(c), s) + 1))
     spots = left.withColumn("ci", around("lon", wide)).withColumn("cj", around("lat", size))
-    pairs = spots.join(others, ["ci", "cj"]).drop("ci", "cj")
+    same = [spots[c] == others[r] for c, r in [("ci", "ci"), ("cj", "cj"), *((c, f"r_{c}") for c in within)]]
+    pairs = spots.join(others, same).select(*[spots[c] for c in left.columns], *[others[c] for c in others.columns if c not in ("ci", "cj")])
     pairs = pairs.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.where(F.col("metres") <= metres)
 
 
-def nearest(left: DataFrame, right: DataFrame, reach_m: float, rounds: int = 12) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, reach_m: float, rounds: int = 12, within: Sequence[str] = (), other: bool = False) -> DataFrame:
     """Each left point (``point_id``) with the nearest right one and its distance, ties by ``point_id`` (JOIN-9, 10, 11).
 
     Rings grow: points without a neighbour within ``reach_m`` look twice as far in the next round, so the
     work follows the density of the right side. After ``rounds`` doublings (half the globe from 5 km) the
-    rest has none; a smaller number of rounds caps the distance.
+    rest has none; a smaller number of rounds caps the distance. With ``within`` only points that agree in these columns
+    count, with ``other`` only those with another id. Rounds are checkpointed.
     """
     todo, out, reach = left, None, reach_m
     for k in range(rounds):
-        best = near(todo, right, reach).groupBy("point_id").agg(F.min_by(F.struct(F.col("r_point_id").alias("nearest_id"), "metres"), F.struct("metres", "r_point_id")).alias("best"))
+        pairs = near(todo, right, reach, within)
+        pairs = pairs.where("point_id <> r_point_id") if other else pairs
+        best = pairs.groupBy("point_id").agg(F.min_by(F.struct(F.col("r_point_id").alias("nearest_id"), "metres"), F.struct("metres", "r_point_id")).alias("best"))
         found = best.select("point_id", "best.nearest_id", "best.metres")
+        if k + 1 < rounds:
+            found = found.checkpoint()
         out = found if out is None else out.union(found)
         if k + 1 < rounds:
-            todo = todo.join(found.select("point_id"), "point_id", "left_anti")
+            todo = todo.join(found.select("point_id"), "point_id", "left_anti").checkpoint()
             if todo.isEmpty():
                 break
             reach *= 2

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lattice import spans
+
 #: First and last number of villages of each slab.
 SLABS = (("1", 1, 1), ("2", 2, 2), ("3", 3, 3), ("4-5", 4, 5), ("6-7", 6, 7), ("8-10", 8, 10), (">10", 11, None))
 
@@ -77,19 +79,22 @@ def slabs(outlets: DataFrame, rep: str, village: str, district: str, level: str)
     return villages.join(home, rep).join(where, district).groupBy(level, slab(F.col("n_villages")).alias("slab")).agg(F.count(F.lit(1)).alias("reps"), F.sum("n_villages").alias("assignments"))
 
 
-def id_conflicts(outlets: DataFrame, code: str, rep: str, far_km: float = 0.5) -> DataFrame:
-    """What rows with one outlet code are: ``conflict`` (several reps), else by the largest distance between them
-    ``different place`` or ``same place``, ``repeat`` at one spot (AGG-21, JOIN-27).
+def id_conflicts(outlets: DataFrame, code: str, rep: str, brand: str, same_km: float = 0.5) -> DataFrame:
+    """Outlet codes on several rows (AGG-21, JOIN-27): rows, reps, brands, the largest distance, and two findings.
 
-    The distance is that of the corners of the rows' bounding box, an upper bound of the farthest pair, so that a
-    code with very many rows needs no pairs; a box of at most ``far_km`` proves the same place.
+    ``kind`` is of codes with several reps: ``conflict`` with one brand, else ``same place`` or ``different place`` by the
+    farthest two rows. ``n_repeat`` counts rows whose brand and rep have the code more than once. Blank codes are none;
+    unknown brands are one, and so are unknown reps. The farthest two are sought among the corners of a code's hull.
     """
-    from terrafold.functions.geo import haversine_m
-
-    told = outlets.where(F.trim(F.col(code).cast("string")) != "").groupBy(code).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(rep).alias("n_reps"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)])
-    told = told.where("n_rows > 1").withColumn("span_m", haversine_m(F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon")))
-    kind = F.when(F.col("n_reps") > 1, "conflict").when(F.col("span_m") == 0, "repeat").when(F.col("span_m") <= far_km * 1000, "same place").otherwise("different place")
-    return told.select(code, "n_rows", "n_reps", kind.alias("kind"))
+    told = outlets.withColumns({code: F.trim(F.col(code).cast("string")), brand: F.coalesce(brand, F.lit("-")), rep: F.coalesce(F.col(rep).cast("string"), F.lit("-"))}).where(F.col(code) != "")
+    each = told.groupBy(code, brand, rep).agg(F.count(F.lit(1)).alias("n"))
+    codes = each.groupBy(code).agg(F.sum("n").alias("n_rows"), F.count_distinct(rep).alias("n_reps"), F.count_distinct(brand).alias("n_brands"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_repeat"))
+    codes = codes.where("n_reps > 1 OR n_repeat > 0")
+    several = told.join(codes.where("n_reps > 1").select(code), code, "left_semi")
+    span = spans(several.select(F.col(code).alias("owner"), F.col("lon").alias("x"), F.col("lat").alias("y"))).withColumnRenamed("owner", code)
+    place = F.when(F.col("far_m") <= same_km * 1000, "same place").otherwise("different place")
+    kind = F.when(F.col("n_reps") > 1, F.when(F.col("n_brands") < 2, "conflict").otherwise(place))
+    return codes.join(span, code, "left").withColumn("kind", kind)
 
 
 def gaps(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
@@ -102,11 +107,14 @@ def bounds(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)])
 
 
-def tree(rows: DataFrame, top: str, middle: str, leaf: str) -> DataFrame:
-    """Counts nested two levels deep, children in name order (AGG-17)."""
-    leaves = rows.groupBy(top, middle, leaf).agg(F.count(F.lit(1)).alias("n"))
-    inner = leaves.groupBy(top, middle).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(leaf).alias("name"), F.col("n")))).alias("children"))
-    return inner.groupBy(top).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(middle).alias("name"), F.col("n"), F.col("children")))).alias("children"))
+def tree(rows: DataFrame, *levels: str) -> DataFrame:
+    """Counts nested as deep as there are levels (AGG-17): a row for each name of the first one, with ``n`` and ``children``
+    (name, n, children) in name order. A node's children are as many as the names below it."""
+    out = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
+    for k in range(len(levels) - 1, 0, -1):
+        child = [F.col(levels[k]).alias("name"), F.col("n"), *([F.col("children")] if "children" in out.columns else [])]
+        out = out.groupBy(*levels[:k]).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(*child))).alias("children"))
+    return out
 
 
 def options(rows: DataFrame, column: str, others: Column) -> DataFrame:

@@ -49,14 +49,18 @@ def _(spark, d):
     return rows.where("nearest_id IS NOT NULL").select("point_id", "nearest_id")
 
 
-@query("join12_join26_snap_cascade", with_("outlets", "boxes") + f""", o AS (SELECT point_id, lon, lat, CASE WHEN point_id % 3 > 0 THEN 'B' || nation END AS name, CASE WHEN point_id % 3 = 1 THEN 'P' || nation END AS parent FROM outlets),
- c AS (SELECT o.point_id, b.key, 1 AS rule, 0.0 AS d FROM o JOIN boxes b ON {IN_BOX} UNION ALL SELECT point_id, key, 2, 0.0 FROM o JOIN boxes b ON o.name = 'B' || b.key AND o.parent = 'P' || b.key UNION ALL SELECT point_id, key, 3, 0.0 FROM o JOIN boxes b ON o.name = 'B' || b.key)
-SELECT rule, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rule, key) AS r FROM c) WHERE r = 1 GROUP BY rule""")
+@query("join12_join26_snap_cascade", with_("outlets", "boxes") + f""", o AS (SELECT point_id, lon, lat, CASE WHEN point_id % 3 > 0 THEN 'B' || (nation + CASE WHEN point_id % 4 = 0 THEN 100 ELSE 0 END) END AS name, CASE WHEN point_id % 3 = 1 THEN 'P' || nation END AS parent FROM outlets),
+ c AS (SELECT o.point_id, b.key, 1 AS rule, CAST(0 AS DOUBLE) AS d FROM o JOIN boxes b ON {IN_BOX} UNION ALL SELECT point_id, key, 2, 0 FROM o JOIN boxes b ON o.name = 'B' || b.key AND o.parent = 'P' || b.key UNION ALL SELECT point_id, key, 3, 0 FROM o JOIN boxes b ON o.name = 'B' || b.key
+ UNION ALL SELECT o.point_id, p.key, 4, {METRES} FROM o, (SELECT key, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM boxes) p WHERE o.name IS NOT NULL AND {METRES} <= 3000)
+SELECT coalesce(rule, 0) AS rule, count(*) AS n, CAST(coalesce(sum(key), 0) AS BIGINT) AS keys FROM outlets LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY rule, d, key) AS r FROM c) WHERE r = 1) USING (point_id) GROUP BY 1""")
 def _(spark, d):
+    # how many points each rule has placed, 0: none; join12_all_rules tells where
     shape = polygons(spark, d).withColumns({"name": F.concat(F.lit("B"), "key"), "parent": F.concat(F.lit("P"), "key")})
     m = F.col("point_id") % 3
-    points = frame(spark, d, "outlets").select("point_id", "lon", "lat", F.when(m > 0, F.concat(F.lit("B"), "nation")).alias("name"), F.when(m == 1, F.concat(F.lit("P"), "nation")).alias("parent"))
-    return spatial.snapped(points, shape).where("rule < 4").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
+    name = F.concat(F.lit("B"), F.col("nation") + F.when(F.col("point_id") % 4 == 0, 100).otherwise(0))
+    points = frame(spark, d, "outlets").select("point_id", "lon", "lat", F.when(m > 0, name).alias("name"), F.when(m == 1, F.concat(F.lit("P"), "nation")).alias("parent"))
+    rows = points.select("point_id").join(spatial.snapped(points, shape), "point_id", "left")
+    return rows.groupBy(F.coalesce("rule", F.lit(0)).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("key"), F.lit(0)).alias("keys"))
 
 
 @query("join12_all_rules", with_("outlets", "boxes") + f""", o AS (SELECT point_id, lon, lat, CASE point_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'B' || nation WHEN 2 THEN 'B' || nation ELSE 'X' END AS name, CASE WHEN point_id % 8 = 1 THEN 'P' || nation END AS parent FROM outlets),
@@ -130,9 +134,9 @@ _STAMPS = """WITH p AS (SELECT CAST(c_custkey % 97 AS BIGINT) AS owner, CAST((c_
  c AS (SELECT owner, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pow((i + CAST(0.5 AS DOUBLE)) * 500 - x, 2) + pow((j + CAST(0.5 AS DOUBLE)) * 500 - y, 2) AS d2 FROM s WHERE pow((i + CAST(0.5 AS DOUBLE)) * 500 - x, 2) + pow((j + CAST(0.5 AS DOUBLE)) * 500 - y, 2) <= 1000000)"""
 
 
-@query("geo6_set6_coverage", _STAMPS + """, u AS (SELECT DISTINCT owner, i, j FROM c) SELECT count(*) AS cells, count(DISTINCT (i, j)) AS distinct_cells FROM u""")
+@query("geo6_set6_coverage", _STAMPS + """, u AS (SELECT DISTINCT owner, i, j FROM c) SELECT count(*) AS cells, count(DISTINCT (i, j)) AS distinct_cells, CAST(floor((1 - CAST(count(DISTINCT (i, j)) AS DOUBLE) / count(*)) * 1000000 + 0.5) AS BIGINT) AS overlap_e6 FROM u""")
 def _(spark, d):
-    return lattice.overlap(lattice.covered(_metric_points(spark, d), 500.0, 1000.0)).select("cells", "distinct_cells")
+    return lattice.overlap(lattice.covered(_metric_points(spark, d), 500.0, 1000.0)).select("cells", "distinct_cells", _k(F.col("overlap"), 1_000_000).alias("overlap_e6"))
 
 
 @query("geo7_exclusive_cells", _STAMPS + """ SELECT i, j, arg_min(owner, (d2, owner)) AS owner FROM c GROUP BY i, j""")
@@ -155,24 +159,49 @@ def _(spark, d):
     return lattice.hulls(_metric_points(spark, d))
 
 
-@query("geo12_dissolve", with_("boxes") + """, f AS (SELECT region, x0 AS a, y0 AS b, x1 AS c, y1 AS d, holed FROM boxes), e AS (SELECT region, 4 + CASE WHEN holed THEN 4 ELSE 0 END AS n FROM f) SELECT region, CAST(sum(n) AS BIGINT) AS edges FROM e GROUP BY region""")
+#: Squares that touch, numbered along rows of five; a group is a row, or a row but for its middle square.
+_SQUARES = """WITH q AS (SELECT n_nationkey AS key, n_nationkey // 5 AS grp, CAST(n_nationkey % 5 AS BIGINT) * 10000000 AS x, CAST(n_nationkey // 5 AS BIGINT) * 10000000 AS y FROM nation)"""
+
+
+def _squares(spark, d):
+    x, y = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
+    ring = F.array(*[F.array(x + a, y + b) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("key"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("grp"), F.array(ring).alias("rings"))
+
+
+@query("geo12_dissolve", _SQUARES + """, e AS (SELECT grp, x AS x1, y AS y1, x + 10000000 AS x2, y AS y2 FROM q UNION ALL SELECT grp, x, y + 10000000, x + 10000000, y + 10000000 FROM q UNION ALL SELECT grp, x, y, x, y + 10000000 FROM q UNION ALL SELECT grp, x + 10000000, y, x + 10000000, y + 10000000 FROM q)
+SELECT CAST(grp AS INTEGER) AS grp, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1""")
+def _(spark, d):
+    return lattice.outer_edges(_squares(spark, d), "grp")
+
+
+@query("geo12_stitched", _SQUARES + """ SELECT CAST(grp AS INTEGER) AS grp, 1 AS part, 1 AS n_rings, 12 AS points, CAST(count(*) AS BIGINT) AS area FROM q GROUP BY grp""")
 def _(spark, d):
-    return lattice.outer_edges(polygons(spark, d), "region").groupBy("region").agg(F.count(F.lit(1)).alias("edges"))
+    rows = lattice.dissolved(_squares(spark, d), "grp")
+    x = lambda p: F.transform("r", lambda q: q[p])
+    turned = lambda a: F.concat(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, 1))
+    area = F.aggregate(F.zip_with(F.zip_with(x(0), turned(x(1)), lambda a, b: a * b), F.zip_with(turned(x(0)), x(1), lambda a, b: a * b), lambda a, b: a - b), F.lit(0.0), lambda s, v: s + v) / 2
+    rows = rows.withColumn("r", F.element_at("rings", 1))
+    return rows.select("grp", "part", F.size("rings").alias("n_rings"), F.size("r").alias("points"), _k(area, 1).alias("area"))
 
 
-@query("geo14_geo15_simplified", with_("boxes") + """ SELECT key, 4 AS points FROM boxes""")
+@query("geo14_geo15_simplified", with_("boxes") + """, c AS (SELECT key, unnest([{'k': 0, 'x': x0, 'y': y0}, {'k': 1, 'x': x1, 'y': y0}, {'k': 2, 'x': x1, 'y': y1}, {'k': 3, 'x': x0, 'y': y1}]) AS p FROM boxes)
+SELECT key, string_agg(CAST(floor(p.x * 100000 + 0.5) AS BIGINT) || ' ' || CAST(floor(p.y * 100000 + 0.5) AS BIGINT), ',' ORDER BY p.k) AS ring FROM c GROUP BY key""")
 def _(spark, d):
-    # a point added in the middle of the first side goes again
+    # a point added in the middle of the first side goes again, and so does one beside the second corner
     outer = F.element_at("rings", 1)
     middle = F.array((outer[0][0] + outer[1][0]) / 2, outer[0][1])
-    rows = polygons(spark, d).select("key", F.concat(F.slice(outer, 1, 1), F.array(middle), F.slice(outer, 2, 3)).alias("ring"))
-    return rows.select("key", F.size(shapes.thinned_ring(shapes.simplified(F.col("ring"), 1e-4), 1e-4)).alias("points"))
+    beside = F.array(outer[1][0], outer[1][1] + 0.00002)
+    rows = polygons(spark, d).select("key", F.concat(F.slice(outer, 1, 1), F.array(middle), F.slice(outer, 2, 1), F.array(beside), F.slice(outer, 3, 2)).alias("ring"))
+    ring = shapes.thinned_ring(shapes.simplified(F.col("ring"), 1e-4), 1e-4)
+    return rows.select("key", F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", _k(p[0], 100000).cast("string"), _k(p[1], 100000).cast("string"))), ",").alias("ring"))
 
 
-@query("join28_merged_parts", with_("boxes") + """ SELECT region, count(*) AS parts FROM boxes GROUP BY region""")
+@query("join28_merged_parts", with_("boxes") + """ SELECT region, string_agg(CAST(floor(x0 * 100000 + 0.5) AS BIGINT) || ' ' || CAST(floor(y0 * 100000 + 0.5) AS BIGINT) || CASE WHEN holed THEN ' holed' ELSE '' END, ',' ORDER BY x0, y0) AS polys, count(*) AS parts FROM boxes GROUP BY region""")
 def _(spark, d):
-    rows = polygons(spark, d).select("region", F.array("rings").alias("polys"))
-    return shapes.merged_parts(rows, "region").select("region", F.size("polys").cast("long").alias("parts"))
+    rows = shapes.merged_parts(polygons(spark, d).select("region", F.array("rings").alias("polys")), "region")
+    one = lambda rings: F.concat_ws(" ", _k(rings[0][0][0], 100000).cast("string"), _k(rings[0][0][1], 100000).cast("string"), F.when(F.size(rings) > 1, "holed"))
+    return rows.select("region", F.array_join(F.transform("polys", one), ",").alias("polys"), "parts")
 
 
 @query("win1_win2_percentiles", with_("outlets") + """, t AS (SELECT point_id, nation, CASE WHEN point_id % 10 = 0 THEN NULL ELSE value % 50 END AS v FROM outlets),
@@ -200,47 +229,70 @@ def _areas(spark, d):
     return siting.densities(rows, [])
 
 
-@query("win4_win5_scr1_scr4_ranking", """WITH a AS (SELECT c_custkey AS area_key, c_custkey % 3 = 0 AS urban, CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr FROM customer) SELECT count(*) AS n, count(*) FILTER (WHERE vlr >= 80000) AS vlr_passes FROM a""")
-def _(spark, d):
-    rows = siting.scored(_areas(spark, d), siting.Params().merged({"strategy": "densify", "unknown": 1}))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.array_contains("gate_fails", "vlr")).alias("vlr_passes"))
+def _model_sql() -> str:
+    """The scoring model with its usual settings over ``_areas``, as a chain of common table expressions that ends in ``z``."""
+    num = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    n = lambda a, m: f"CAST((c_custkey * {a}) % {m} AS DOUBLE)"
+    areas = f"""a AS (SELECT c_custkey AS area_key, CASE WHEN c_custkey % 3 = 0 THEN 'urban' ELSE 'rural' END AS profile, {n(7919, 50000)} AS population, {n(7919, 977)} AS pop_density, {n(104729, 200000)} AS vlr,
+ CASE WHEN c_custkey % 7 <> 0 THEN {n(31, 100)} / 100 END AS ms_ioh, {n(17, 61)} AS atm_den, {n(19, 53)} AS bank_den, {n(23, 71)} AS minimarket_den, {n(29, 83)} AS vlr_per_site, {n(37, 13)} AS site_count, {n(41, 20)} AS km_hybrid, {n(43, 10)} / (c_custkey % 9 + 1) AS pasar_den FROM customer)"""
+    inputs = ("pop_density", "vlr", "ms_ioh", "atm_den", "bank_den", "minimarket_den", "pasar_den", "vlr_per_site", "site_count")
+    place = lambda c, by: f"""CASE WHEN {c} IS NULL OR count({c}) OVER (PARTITION BY {by}) = 1 THEN CAST('0.5' AS DOUBLE) ELSE (CAST(rank() OVER (PARTITION BY {by}, {c} IS NULL ORDER BY {c}) - 1 AS DOUBLE) + CAST(count(*) OVER (PARTITION BY {by}, {c}) - 1 AS DOUBLE) / 2) / (count({c}) OVER (PARTITION BY {by}) - 1) END"""
+    placed = f"p AS (SELECT *, {', '.join(f'{place(c, by)} AS {c}_{tag}' for c in inputs for tag, by in (('t', '1'), ('s', 'profile')))} FROM a)"
+    w = siting.renormalised(siting.TERM_WEIGHTS, {"cpi": False}, 0.15)
+    v = siting.renormalised(siting.VITALITY_WEIGHTS, {})
+
+    def score(tag):
+        finance = f"(atm_den_{tag} * {num(0.6)} + bank_den_{tag} * {num(0.4)})"
+        cvi = f"({finance} * {num(v['finance'])} + minimarket_den_{tag} * {num(v['minimarket'])} + pasar_den_{tag} * {num(v['pasar'])})"
+        network = f"(vlr_per_site_{tag} * {num(0.6)} + site_count_{tag} * {num(0.4)})"
+        far = "greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (km_hybrid - 2) / 13))"
+        parts = ((f"pop_density_{tag}", "population"), (f"vlr_{tag}", "vlr_total"), (f"ms_ioh_{tag}", "ms_score"), (cvi, "cvi"), (network, "network"), (far, "distance"))
+        return f"floor(({' + '.join(f'{x} * {num(w[k])}' for x, k in parts)}) * 100 * CAST(100 AS DOUBLE) + CAST('0.5' AS DOUBLE)) / CAST(100 AS DOUBLE)"
+
+    half = "CAST('0.5' AS DOUBLE)"
+    return f"""WITH {areas}, {placed}, q AS (SELECT *, {score('s')} AS own, {score('t')} AS other, floor(vlr_t * 100 * CAST(10 AS DOUBLE) + {half}) / CAST(10 AS DOUBLE) AS vlr_pct, CASE WHEN ms_ioh IS NOT NULL THEN floor(ms_ioh_t * 100 * CAST(10 AS DOUBLE) + {half}) / CAST(10 AS DOUBLE) END AS ms_pct FROM p),
+ g AS (SELECT *, vlr < 80000 AS f1, vlr_pct < 40 AS f2, coalesce(ms_pct < 40, false) AS f3 FROM q),
+ z AS (SELECT *, NOT (f1 OR f2 OR f3) AS eligible, CASE WHEN NOT (f1 OR f2 OR f3) THEN own END AS score FROM g)"""
 
 
-@query("scr2_scr3_scores")
+@query("win4_win5_scr1_scr4_ranking", _model_sql() + """ SELECT area_key, CAST(floor(score * 100 + 0.5) AS BIGINT) AS score_x100, rank, rank_in_profile FROM (SELECT *, row_number() OVER (ORDER BY score DESC, area_key) AS rank, row_number() OVER (PARTITION BY profile ORDER BY score DESC, area_key) AS rank_in_profile FROM z WHERE eligible)""")
 def _(spark, d):
-    rows = siting.scored(_areas(spark, d))
-    return rows.select("area_key", "profile", _k(F.col("score"), 100).alias("score_x100"), _k(F.col("score_other"), 100).alias("other_x100"), "eligible", "rank", "rank_in_profile", F.array_join("gate_fails", ",").alias("fails"))
+    rows = siting.scored(_areas(spark, d), siting.Params().merged({"strategy": "densify", "unknown": 1}))
+    return rows.where("eligible").select("area_key", _k(F.col("score"), 100).alias("score_x100"), F.col("rank").cast("long").alias("rank"), F.col("rank_in_profile").cast("long").alias("rank_in_profile"))
 
 
-@query("agg25_gate_counts", """WITH a AS (SELECT CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr FROM customer) SELECT 'distance' AS gate, count(*) AS passes FROM a UNION ALL SELECT 'vlr', count(*) FILTER (WHERE vlr >= 80000) FROM a""")
+@query("scr2_scr3_scores", _model_sql() + """ SELECT area_key, profile, CAST(floor(score * 100 + 0.5) AS BIGINT) AS score_x100, CAST(floor(other * 100 + 0.5) AS BIGINT) AS other_x100, eligible, CASE WHEN eligible THEN row_number() OVER (ORDER BY score DESC NULLS LAST, area_key) END AS rank,
+ CASE WHEN eligible THEN row_number() OVER (PARTITION BY profile ORDER BY score DESC NULLS LAST, area_key) END AS rank_in_profile, concat_ws(',', CASE WHEN f1 THEN 'vlr' END, CASE WHEN f2 THEN 'vlr_pct' END, CASE WHEN f3 THEN 'share' END) AS fails FROM z""")
 def _(spark, d):
-    return siting.gate_counts(siting.scored(_areas(spark, d))).where("gate IN ('distance', 'vlr')")
+    rows = siting.scored(_areas(spark, d))
+    return rows.select("area_key", "profile", _k(F.col("score"), 100).alias("score_x100"), _k(F.col("score_other"), 100).alias("other_x100"), "eligible", F.col("rank").cast("long").alias("rank"), F.col("rank_in_profile").cast("long").alias("rank_in_profile"), F.array_join("gate_fails", ",").alias("fails"))
 
 
-@query("agg25_all_gates", """WITH a AS (SELECT CAST((c_custkey * 104729) % 200000 AS DOUBLE) AS vlr, CASE WHEN c_custkey % 7 <> 0 THEN CAST((c_custkey * 31) % 100 AS DOUBLE) / 100 END AS ms FROM customer),
- r AS (SELECT *, rank() OVER (ORDER BY vlr) - 1 AS rv, count(*) OVER (PARTITION BY vlr) AS kv, count(*) OVER () AS n, rank() OVER (PARTITION BY ms IS NULL ORDER BY ms) - 1 AS rm, count(*) OVER (PARTITION BY ms) AS km, count(*) OVER (PARTITION BY ms IS NULL) AS nm FROM a),
- p AS (SELECT *, (CAST(rv AS DOUBLE) + CAST(kv - 1 AS DOUBLE) / 2) / (n - 1) * 100 AS vp, (CAST(rm AS DOUBLE) + CAST(km - 1 AS DOUBLE) / 2) / (nm - 1) * 100 AS mp FROM r)
-SELECT 'distance' AS gate, count(*) AS passes FROM p UNION ALL SELECT 'vlr', count(*) FILTER (WHERE vlr >= 80000) FROM p UNION ALL SELECT 'vlr_pct', count(*) FILTER (WHERE vp >= 40) FROM p UNION ALL SELECT 'share', count(*) FILTER (WHERE ms IS NULL OR mp >= 40) FROM p""")
+@query("agg25_gate_counts", _model_sql() + """ SELECT 'distance' AS gate, count(*) AS passes FROM z UNION ALL SELECT 'vlr', count(*) FILTER (WHERE NOT f1) FROM z UNION ALL SELECT 'vlr_pct', count(*) FILTER (WHERE NOT f2) FROM z UNION ALL SELECT 'share', count(*) FILTER (WHERE NOT f3) FROM z""")
 def _(spark, d):
     return siting.gate_counts(siting.scored(_areas(spark, d)))
 
 
-@query("agg26_summary")
+@query("agg26_summary", _model_sql() + """ SELECT count(*) AS n, count(score) AS n_eligible, CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(score) + 0.5) AS BIGINT) AS mean_x100,
+ CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) FILTER (WHERE profile = 'urban') AS DOUBLE) / count(score) FILTER (WHERE profile = 'urban') + 0.5) AS BIGINT) AS urban_x100, CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) FILTER (WHERE profile = 'rural') AS DOUBLE) / count(score) FILTER (WHERE profile = 'rural') + 0.5) AS BIGINT) AS rural_x100 FROM z""")
 def _(spark, d):
     return siting.summary(siting.scored(_areas(spark, d)))
 
 
-@query("agg27_availability", with_("outlets") + """ SELECT avg(CASE WHEN point_id % 2 = 0 THEN 1.0 ELSE 0.0 END) >= 0.6 AS pasar, true AS atm FROM outlets""")
+@query("agg27_availability", with_("outlets") + """ SELECT avg(CASE WHEN weight > 3 THEN 1.0 ELSE 0.0 END) >= 0.6 AS pasar, count(*) FILTER (WHERE value < 0) > 0 AS atm, count(*) FILTER (WHERE village > 10) > 0 AS bank FROM outlets""")
 def _(spark, d):
-    found = siting.availability(frame(spark, d, "outlets"), {"pasar": 0.6}, {"pasar": F.col("point_id") % 2 == 0, "atm": F.col("point_id") % 3 == 0})
-    return spark.createDataFrame([(found["pasar"], found["atm"])], "pasar boolean, atm boolean")
+    found = siting.availability(frame(spark, d, "outlets"), {"pasar": 0.6}, {"pasar": F.col("weight") > 3, "atm": F.col("value") < 0, "bank": F.col("village") > 10})
+    return spark.createDataFrame([(found["pasar"], found["atm"], found["bank"])], "pasar boolean, atm boolean, bank boolean")
 
 
-@query("scr5_candidates", with_("sites", "boxes") + f""" SELECT o.point_id, CASE WHEN (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) IS NULL THEN 'outside' ELSE 'ok' END AS state FROM sites o""")
+@query("scr5_candidates", with_("sites", "boxes") + f""", p AS (SELECT o.point_id, (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) AS key FROM sites o), s AS (SELECT *, CASE WHEN key IS NOT NULL THEN CASE WHEN key % 4 = 3 THEN 0 ELSE CAST(key AS DOUBLE) END * CAST('0.5' AS DOUBLE) + CAST(point_id % 11 AS DOUBLE) / 10 * 100 * CAST('0.5' AS DOUBLE) END AS score FROM p)
+SELECT point_id, CAST(floor(score * 100 + 0.5) AS BIGINT) AS score_x100, CASE WHEN score IS NOT NULL THEN row_number() OVER (ORDER BY score DESC NULLS LAST, point_id) END AS rank, CASE WHEN score IS NULL THEN 'outside' ELSE 'ok' END AS state FROM s""")
 def _(spark, d):
     rows = spatial.inside(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d).select("key", "pos", "rings"), how="first")
-    scored = rows.withColumn("score", F.when(F.col("key").isNotNull(), siting.candidate_score(F.col("key").cast("double"), F.lit(0.5))))
-    return siting.ranked(scored.withColumn("all", F.lit(1)), "score", "point_id", "all").select("point_id", F.when(F.col("rank").isNull(), "outside").otherwise("ok").alias("state"))
+    district = F.when(F.col("key") % 4 != 3, F.col("key").cast("double"))
+    scored = rows.withColumn("score", F.when(F.col("key").isNotNull(), siting.candidate_score(district, (F.col("point_id") % 11).cast("double") / 10)))
+    ranked = siting.ranked(scored.withColumn("all", F.lit(1)), "score", "point_id", "all")
+    return ranked.select("point_id", _k(F.col("score"), 100).alias("score_x100"), F.col("rank").cast("long").alias("rank"), F.when(F.col("rank").isNull(), "outside").otherwise("ok").alias("state"))
 
 
 @query("agg10_agg11_placement", with_("outlets", "boxes") + f""", p AS (SELECT o.*, (SELECT min(b.key) FROM boxes b WHERE {IN_BOX}) AS key FROM outlets o) SELECT coalesce(key, -1) AS key, count(*) AS outlets, count(DISTINCT rep) AS reps, CAST(sum(value) AS BIGINT) AS value FROM p GROUP BY 1""")
@@ -274,23 +326,42 @@ def _(spark, d):
     return forcefit.state(rows).select("owner", "n_villages", "n_outlets", _k(F.col("violation")).alias("violation"))
 
 
-@query("join19_strays", with_("outlets") + f""", o AS (SELECT point_id, rep, lon, lat FROM outlets), n AS (SELECT o.point_id, min({METRES}) FILTER (WHERE p.point_id <> o.point_id) AS m FROM o JOIN o p ON o.rep = p.rep GROUP BY o.point_id) SELECT point_id, CASE WHEN m <= 20000 THEN CAST(floor(m + 0.5) AS BIGINT) END AS metres FROM n WHERE m > 4000""")
+_STRAYS = f""", o AS (SELECT point_id, rep, lon, lat, nation, CASE WHEN nation % 2 = 0 THEN 'urban' ELSE 'rural' END AS stratum FROM outlets), m AS (SELECT o.point_id, min({METRES}) / 1000 AS km FROM o JOIN o p ON o.rep = p.rep AND p.point_id <> o.point_id GROUP BY o.point_id),
+ s AS (SELECT o.*, km, km > 50 AS wrong FROM o JOIN m USING (point_id) WHERE km > CASE WHEN stratum = 'urban' THEN CAST('1.5' AS DOUBLE) ELSE CAST(4 AS DOUBLE) END)"""
+
+
+def _strayed(spark, d):
+    outlets = frame(spark, d, "outlets").withColumn("stratum", F.when(F.col("nation") % 2 == 0, "urban").otherwise("rural"))
+    return outlets, review.strays(outlets, review.limit_km(F.col("stratum")))
+
+
+@query("join19_strays", with_("outlets") + _STRAYS + """ SELECT point_id, CAST(floor(km * 1000 + 0.5) AS BIGINT) AS metres, wrong FROM s""")
 def _(spark, d):
-    rows = review.strays(frame(spark, d, "outlets"), F.lit(4.0))
-    return rows.select("point_id", _k(F.col("km_own"), 1000).alias("metres"))
+    return _strayed(spark, d)[1].select("point_id", _k(F.col("km_own"), 1000).alias("metres"), "wrong")
 
 
 @query("join19_agg23_receivers")
 def _(spark, d):
-    outlets = frame(spark, d, "outlets")
-    stray = review.strays(outlets, F.lit(4.0))
-    return review.receivers(review.offers(stray, outlets, 5.0))
+    outlets, stray = _strayed(spark, d)
+    ground = review.seams(outlets, _borders(spark, d)).select("point_id", F.col("owner").alias("to"))
+    return review.receivers(review.offers(stray.where("NOT wrong"), outlets, 5.0), ground)
+
+
+@query("agg23_stray_totals")
+def _(spark, d):
+    outlets, stray = _strayed(spark, d)
+    moved = review.receivers(review.offers(stray.where("NOT wrong"), outlets, 5.0))
+    return review.totals(outlets, stray, moved, "stratum", "nation")
+
+
+def _borders(spark, d):
+    """Each box is the ground of the rep with its number."""
+    return polygons(spark, d).select(F.col("key").cast("long").alias("owner"), "pos", "rings")
 
 
-@query("geo18_seam_outlets", with_("outlets", "boxes") + f""" SELECT count(*) AS n FROM outlets o JOIN boxes b ON {IN_BOX} WHERE b.key <> o.nation""")
+@query("geo18_seam_outlets", with_("outlets", "boxes") + f""" SELECT o.point_id, CAST(b.key AS BIGINT) AS owner FROM outlets o JOIN boxes b ON {IN_BOX} WHERE b.key <> o.rep""")
 def _(spark, d):
-    rows = spatial.inside(frame(spark, d, "outlets"), polygons(spark, d).select("key", "pos", "rings"), how="first")
-    return rows.agg(F.count_if(F.col("key") != F.col("nation")).alias("n"))
+    return review.seams(frame(spark, d, "outlets"), _borders(spark, d))
 
 
 @query("src4_live_radius", with_("sites") + f""" SELECT o.point_id, CAST(floor({METRES} + 0.5) AS BIGINT) AS metres FROM sites o, (SELECT CAST(-6.2 AS DOUBLE) AS lat, CAST(107.1 AS DOUBLE) AS lon) p WHERE {METRES} <= 30000 ORDER BY {METRES}, o.point_id LIMIT 40""")
@@ -300,9 +371,10 @@ def _(spark, d):
     return around(frame(spark, d, "sites"), -6.2, 107.1, 30000, 40).select("point_id", _k(F.col("metres"), 1).alias("metres"))
 
 
-@query("src13_src14_tiles", """WITH t AS (SELECT 0.8 / (2000 / 111320.0) AS rows_) SELECT CAST(ceil(rows_) AS BIGINT) AS across FROM t""")
+@query("src13_src14_tiles", with_("boxes") + """, s AS (SELECT key, x0, y0, y1 - y0 AS high, x1 - x0 AS wide, CAST(2000 AS DOUBLE) / CAST(111320 AS DOUBLE) AS step, CAST(2000 AS DOUBLE) / CAST(111320 AS DOUBLE) / cos(radians((y0 + y1) / 2)) AS across FROM boxes), n AS (SELECT *, CAST(greatest(1, ceil(wide / across)) AS BIGINT) AS nx, CAST(greatest(1, ceil(high / step)) AS BIGINT) AS ny FROM s)
+SELECT key, nx * ny AS tiles, CAST(floor((x0 + (nx - 1 + CAST('0.5' AS DOUBLE)) * across) * 10000 + 0.5) AS BIGINT) AS last_lon, CAST(floor((y0 + (ny - 1 + CAST('0.5' AS DOUBLE)) * step) * 10000 + 0.5) AS BIGINT) AS last_lat FROM n""")
 def _(spark, d):
     from terrafold.sources.files import tiles
 
-    box = spark.createDataFrame([("aoi", -6.65, 106.60, -5.85, 107.70)], "box string, south double, west double, north double, east double")
-    return tiles(box, 2.0).agg(F.count_distinct("lat").alias("across"))
+    boxes = frame(spark, d, "boxes").select(F.col("key").alias("box"), F.col("y0").alias("south"), F.col("x0").alias("west"), F.col("y1").alias("north"), F.col("x1").alias("east"))
+    return tiles(boxes, 2.0).groupBy(F.col("box").alias("key")).agg(F.count(F.lit(1)).alias("tiles"), _k(F.max("lon"), 10000).alias("last_lon"), _k(F.max("lat"), 10000).alias("last_lat"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrafold.functions import text
 from terrafold.operators import resolve
 
 from .fixtures import METRES, frame, with_
@@ -31,17 +32,21 @@ def _(spark, d):
     return resolve.candidates(a, a, 500.0, same=True).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join3_scoring", with_("outlets", "sites") + f""", c AS (SELECT o.point_id AS a, p.point_id AS b, {METRES} AS m FROM outlets o, sites p WHERE {METRES} <= 2000) SELECT a AS place_id, b AS r_place_id, CASE WHEN a % 2 <> b % 2 THEN 0 WHEN b % 5 = 0 THEN CASE WHEN m <= 25 THEN 500 ELSE 0 END ELSE -1 END AS told FROM c WHERE a % 2 <> b % 2 OR b % 5 = 0""")
+@query("join3_scoring", with_("outlets", "sites") + f""", c AS (SELECT o.point_id AS a, p.point_id AS b, {METRES} AS m, list_filter(regexp_split_to_array(lower(o.name), '[^a-z0-9]+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(lower('Customer ' || lpad(CAST(p.point_id AS VARCHAR), 9, '0')), '[^a-z0-9]+'), lambda x: x <> '') AS y FROM outlets o, sites p WHERE {METRES} <= 2000)
+SELECT a AS place_id, b AS r_place_id, a % 2 <> b % 2 AS veto, b % 5 = 0 AS unnamed, CASE WHEN b % 5 <> 0 THEN CAST(floor(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) * 1000 + 0.5) AS BIGINT) END AS words, CASE WHEN a % 2 <> b % 2 THEN 0 WHEN b % 5 = 0 THEN CASE WHEN m <= 25 THEN 500 ELSE 0 END END AS told FROM c""")
 def _(spark, d):
+    # all candidate pairs; scores of named pairs, which need matching blocks of names, are in join3_all_scores
     a, b = _places(spark, d)
     rows = resolve.scored(resolve.candidates(a, b, _METRES), _METRES)
-    rows = rows.where("class <> r_class OR r_name IS NULL")
-    return rows.select("place_id", "r_place_id", F.floor(F.col("score") * 1000 + 0.5).cast("int").alias("told"))
+    words = text.jaccard(text.name_tokens(F.col("name")), text.name_tokens(F.col("r_name")))
+    unnamed = F.col("r_name").isNull()
+    told = F.when(F.col("veto") | unnamed, F.floor(F.col("score") * 1000 + 0.5).cast("int"))
+    return rows.select("place_id", "r_place_id", "veto", unnamed.alias("unnamed"), F.floor(words * 1000 + 0.5).cast("long").alias("words"), told.alias("told"))
 
 
 @query("join3_all_scores")
 def _(spark, d):
-    # every candidate pair with its verdict; join3_scoring tells the vetoed and unnamed ones only, as its SQL does
+    # every candidate pair with its score and verdict
     a, b = _places(spark, d)
     rows = resolve.scored(resolve.candidates(a, b, _METRES), _METRES)
     return rows.select("place_id", "r_place_id", F.floor(F.col("score") * 1000 + 0.5).cast("int").alias("score_x1000"), "verdict")

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import areas, places, scalars, tables  # noqa: F401
+    from . import areas, files, places, scalars, tables, workspace  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,10 @@ def _k(c, scale=1000):
     return F.floor(c * float(scale) + 0.5).cast("long")
 
 
+def _case(column, *names):
+    return f"CASE {column} % {len(names)} " + " ".join(f"WHEN {k} THEN {'NULL' if x is None else repr(x)}" for k, x in enumerate(names)) + " END"
+
+
 @query("prj1_prj3_brand", with_("parts") + r"""
 SELECT point_id, CASE WHEN point_id % 7 = 0 THEN 'BSI (Bank Syariah Indonesia)' WHEN point_id % 7 = 1 THEN 'Agen BRILink' WHEN point_id % 7 = 2 THEN 'Alfamart'
  WHEN point_id % 7 = 3 THEN 'BCA' WHEN point_id % 7 = 4 THEN 'BRI' WHEN point_id % 7 = 5 THEN 'Alfamidi' END AS brand FROM parts""")
@@ -58,11 +62,19 @@ def _(spark, d):
     return rows.select("point_id", _k(lat, 1_000_000).alias("lat_e6"), _k(lon, 1_000_000).alias("lon_e6"))
 
 
-@query("prj7_operator", with_("outlets") + r"""
-SELECT point_id, CASE point_id % 6 WHEN 0 THEN 'IM3' WHEN 1 THEN 'TSEL' WHEN 2 THEN 'XL' WHEN 3 THEN '3ID' WHEN 4 THEN 'IPP' ELSE 'OTHER' END AS operator FROM outlets""")
+_POINTS = ("Gerai Indosat Ooredoo Hutchison", "GraPARI", "XL Center", "3 Store", "DRYNA CELL", "Toko", "Konter Telkomsel", "Excellent Cellular", "59 Cel", "3ID Bekasi", "Hutchison 3 Kios")
+_PLACES = ("Peta", "IPP Bekasi", None, "Telkomsel", "pulsa murah", "counterpart", "The Counter")
+
+
+@query("prj7_operator", with_("outlets") + f""", f AS (SELECT point_id, {_case('point_id', *_POINTS)} AS name, {_case('point_id', *_PLACES)} AS folder FROM outlets), t AS (SELECT *, lower(concat_ws(' ', folder, name)) AS told FROM f),
+ o AS (SELECT *, CASE WHEN regexp_matches(told, 'indosat|\\bim3\\b|ooredoo|\\bioh\\b') THEN 'IM3' WHEN regexp_matches(told, 'telkomsel|\\btsel\\b|grapari|gerai\\s*halo') THEN 'TSEL' WHEN regexp_matches(told, '\\bxl\\b|axiata|\\baxis\\b') THEN 'XL' WHEN regexp_matches(told, 'smartfren|\\bsf\\b|smart\\s*telecom') THEN 'SF' WHEN regexp_matches(told, '\\b3id\\b|\\btri\\b|\\b3\\s?store\\b|hutchison|\\b3\\s?kios\\b') THEN '3ID' ELSE 'OTHER' END AS op FROM t),
+ c AS (SELECT *, coalesce(regexp_matches(lower(folder), '\\bipp\\b|konter|\\bcounter\\b|pulsa'), false) OR op = 'OTHER' AND regexp_matches(lower(name), '\\bcell\\b|\\bcel\\b|\\bponsel\\b|\\bselular\\b|\\bseluler\\b|konter') AS counter FROM o)
+SELECT point_id, CASE WHEN counter THEN 'IPP' ELSE op END AS operator, CASE WHEN counter THEN 'outlet' WHEN op = 'OTHER' THEN 'unknown' ELSE 'operator' END AS class FROM c""")
 def _(spark, d):
-    name = F.element_at(F.array(*map(F.lit, ["Gerai Indosat Ooredoo Hutchison", "GraPARI", "XL Center", "3 Store", "X CELL", "Toko"])), (F.col("point_id") % 6 + 1).cast("int"))
-    return frame(spark, d, "outlets").select("point_id", classify.operator(name, F.lit("")).alias("operator"))
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("point_id") % len(names) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    operator, group = classify.service_point(none, pick(_PLACES), pick(_POINTS), none)
+    return frame(spark, d, "outlets").select("point_id", operator.alias("operator"), group.alias("class"))
 
 
 @query("prj8_prj24_derived", with_("boxes") + r"""
@@ -73,11 +85,15 @@ def _(spark, d):
     return rows.select("key", classify.density(F.col("population").cast("double"), (F.col("key") + 1).cast("double")).alias("density"), classify.hierarchy(top, F.col("name")).alias("hierarchy"))
 
 
-@query("prj9_prj10_headers", r"""SELECT o_orderkey, lower(replace(o_orderpriority, '-', '_')) AS raw, 'vlr_subs' AS metric, 'MTD ' || CAST(1000 + o_orderkey % 9000 AS VARCHAR) AS period, 'Jun''26' AS title FROM orders""")
+@query("prj9_prj10_headers", r"""WITH t AS (SELECT o_orderkey, lower(replace(o_orderpriority, '-', '_')) AS raw, CASE o_orderkey % 3 WHEN 0 THEN 'MTD' WHEN 1 THEN 'FM' ELSE 'YTD' END AS kind, month(CAST(o_orderdate AS DATE)) AS m, CAST(year(CAST(o_orderdate AS DATE)) % 100 AS INTEGER) AS y FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'vlr_subs_' || o_orderkey % 9 ELSE 'vlr_subs' END AS metric, CASE o_orderkey % 4 WHEN 3 THEN '' ELSE kind || ' ' || CAST(1000 + o_orderkey % 9000 AS VARCHAR) END AS period, CASE o_orderkey % 5 WHEN 4 THEN '' ELSE ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][m] || chr(39) || lpad(CAST(y AS VARCHAR), 2, '0') END AS title FROM t""")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet")
-    metric, period = text.metric_and_period(F.concat(F.lit("Vlr  Subs MTD "), (F.col("o_orderkey") % 9000 + 1000).cast("string")))
-    return rows.select("o_orderkey", F.lower(F.replace("o_orderpriority", F.lit("-"), F.lit("_"))).alias("raw"), metric.alias("metric"), period.alias("period"), text.month_period(F.lit("Outlets Jun 2026.xlsx")).alias("title"))
+    rows, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    kind = F.element_at(F.array(F.lit("MTD"), F.lit("FM"), F.lit("YTD")), (k % 3 + 1).cast("int"))
+    metric, period = text.metric_and_period(F.when(k % 4 == 3, F.concat(F.lit("Vlr  Subs "), k % 9)).otherwise(F.concat(F.lit("Vlr  Subs "), kind, F.lit(" "), (k % 9000 + 1000).cast("string"))))
+    date = F.col("o_orderdate").cast("date")
+    named = F.when(k % 5 == 4, "Outlets.xlsx").when(k % 5 == 3, F.concat(F.lit("Jabo "), F.date_format(date, "MMM yy"))).otherwise(F.concat(F.lit("Outlets_"), F.upper(F.date_format(date, "MMMM")), F.lit(" 20"), F.date_format(date, "yy"), F.lit(".xlsx")))
+    return rows.select("o_orderkey", metric.alias("metric"), period.alias("period"), text.month_period(named).alias("title"))
 
 
 @query("prj11_prj13_keys", r"""
@@ -180,11 +196,11 @@ def _(spark, d):
 
 
 @query("flt5_flt6_on_map", with_("outlets") + r"""
-SELECT count(*) AS n, count(*) FILTER (WHERE point_id % 4 = 1) AS mirrored, count(*) FILTER (WHERE point_id % 4 > 1) AS on_map FROM outlets WHERE point_id % 4 <> 0""")
+SELECT count(*) AS n, count(*) FILTER (WHERE point_id % 4 < 2) AS off_map, count(*) FILTER (WHERE point_id % 4 > 1) AS on_map FROM outlets""")
 def _(spark, d):
     rows = frame(spark, d, "outlets").withColumn("lat", F.when(F.col("point_id") % 4 == 0, None).when(F.col("point_id") % 4 == 1, -F.col("lat") * 2).otherwise(F.col("lat")))
     test = geo.on_map(F.col("lat"), F.col("lon"))
-    return rows.where("lat IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.count_if(~test).alias("mirrored"), F.count_if(test).alias("on_map"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~test).alias("off_map"), F.count_if(test).alias("on_map"))
 
 
 @query("flt15_funnel", with_("parts") + r"""

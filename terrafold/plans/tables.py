@@ -9,7 +9,7 @@ from terrafold.functions import text
 from terrafold.operators import facets, resolve, territory
 from terrafold.sources import sinks
 
-from .fixtures import frame, with_
+from .fixtures import METRES, frame, with_
 from .registry import query
 
 
@@ -84,21 +84,24 @@ def _(spark, d):
     return territory.majority(frame(spark, d, "outlets"), "nation", "brand", F.col("weight")).select("nation", "brand", "weight")
 
 
-@query("agg16_set3_agreement", with_("outlets") + """, a AS (SELECT rep, min(nation) AS x FROM outlets GROUP BY rep), b AS (SELECT rep, max(nation) AS y FROM outlets WHERE village < 5 GROUP BY rep) SELECT count(*) AS n_both, count(*) FILTER (WHERE x <> y) AS n_differ FROM a JOIN b USING (rep)""")
+@query("agg16_set3_agreement", with_("outlets") + """, a AS (SELECT rep, min(nation) AS x FROM outlets GROUP BY rep), b AS (SELECT rep, max(nation) AS y FROM outlets GROUP BY rep) SELECT count(*) AS n_both, count(*) FILTER (WHERE x <> y) AS n_differ FROM a JOIN b USING (rep)""")
 def _(spark, d):
     rows = frame(spark, d, "outlets")
-    return territory.agreement(rows.groupBy("rep").agg(F.min("nation").alias("nation")), rows.where("village < 5").groupBy("rep").agg(F.max("nation").alias("nation")), "rep", "nation")
+    return territory.agreement(rows.groupBy("rep").agg(F.min("nation").alias("nation")), rows.groupBy("rep").agg(F.max("nation").alias("nation")), "rep", "nation")
 
 
-@query("agg17_tree", with_("outlets") + f""", t AS ({_NAMED}) SELECT area, count(*) AS n, count(DISTINCT branch) AS branches, count(DISTINCT (branch, brand)) AS leaves FROM t GROUP BY area""")
+@query("agg17_tree", with_("outlets") + f""", t AS ({_NAMED}), v AS (SELECT area, branch, brand, village, count(*) AS n FROM t GROUP BY ALL)
+SELECT area, branch, brand, village, n, CAST(sum(n) OVER (PARTITION BY area, branch, brand) AS BIGINT) AS in_brand, CAST(sum(n) OVER (PARTITION BY area, branch) AS BIGINT) AS in_branch, CAST(sum(n) OVER (PARTITION BY area) AS BIGINT) AS in_area, row_number() OVER (PARTITION BY area, branch, brand ORDER BY village) - 1 AS place FROM v""")
 def _(spark, d):
-    rows = territory.tree(_named(spark, d), "area", "branch", "brand")
-    return rows.select(F.col("area"), "n", F.size("children").cast("long").alias("branches"), F.aggregate("children", F.lit(0), lambda s, c: s + F.size(c["children"])).cast("long").alias("leaves"))
+    rows = territory.tree(_named(spark, d), "area", "branch", "brand", "village")
+    rows = rows.select("area", F.col("n").alias("in_area"), F.explode("children").alias("b")).select("area", "in_area", F.col("b.name").alias("branch"), F.col("b.n").alias("in_branch"), F.explode("b.children").alias("c"))
+    rows = rows.select("*", F.col("c.name").alias("brand"), F.col("c.n").alias("in_brand"), F.posexplode("c.children").alias("place", "v")).withColumn("place", F.col("place").cast("long"))
+    return rows.select("area", "branch", "brand", F.col("v.name").alias("village"), F.col("v.n").alias("n"), "in_brand", "in_branch", "in_area", "place")
 
 
-@query("agg18_join24_metric_join", with_("boxes", "metrics") + """, m AS (SELECT entity % 25 AS key, count(*) AS n FROM metrics WHERE metric = 'F' GROUP BY 1) SELECT boxes.key, CAST(coalesce(n, 0) AS BIGINT) AS n FROM boxes LEFT JOIN m ON m.key = boxes.key AND boxes.key % 2 = 0""")
+@query("agg18_join24_metric_join", with_("boxes", "metrics") + """, m AS (SELECT entity % 25 AS key, count(*) AS n FROM metrics GROUP BY 1) SELECT boxes.key, CAST(coalesce(n, 0) AS BIGINT) AS n FROM boxes LEFT JOIN m ON m.key = boxes.key AND boxes.key % 2 = 0""")
 def _(spark, d):
-    m = frame(spark, d, "metrics").where("metric = 'F'").groupBy((F.col("entity") % 25).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    m = frame(spark, d, "metrics").groupBy((F.col("entity") % 25).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     m = m.select(text.alnum_key(F.concat_ws("|", F.lit("Kec"), F.col("k").cast("string"))).alias("norm"), "n")
     boxes = frame(spark, d, "boxes").select("key", text.alnum_key(F.concat(F.when(F.col("key") % 2 == 0, "kec-").otherwise("desa-"), F.col("key").cast("string"))).alias("norm"))
     return boxes.join(m, "norm", "left").select("key", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -116,11 +119,15 @@ def _(spark, d):
     return rows.select("field", "value", "n", F.col("rank").cast("long").alias("rank"), "n_distinct")
 
 
-@query("agg21_join27_id_conflicts", with_("outlets") + """, g AS (SELECT code, count(*) AS n_rows, count(DISTINCT rep) AS n_reps, min(lat) = max(lat) AND min(lon) = max(lon) AS one FROM outlets GROUP BY code HAVING count(*) > 1)
-SELECT code, n_rows, n_reps, CASE WHEN n_reps > 1 THEN 'conflict' WHEN one THEN 'repeat' ELSE 'other' END AS kind FROM g""")
+@query("agg21_join27_id_conflicts", with_("outlets") + f""", e AS (SELECT code, brand, rep, count(*) AS n FROM outlets GROUP BY ALL), g AS (SELECT code, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT rep) AS n_reps, count(DISTINCT brand) AS n_brands, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS n_repeat FROM e GROUP BY code),
+ f AS (SELECT o.code, max({METRES}) AS m FROM outlets o JOIN outlets p USING (code) GROUP BY o.code)
+SELECT CAST(code AS VARCHAR) AS code, n_rows, n_reps, n_brands, n_repeat, CASE WHEN n_reps > 1 THEN CAST(floor(m + 0.5) AS BIGINT) END AS metres, CASE WHEN n_reps > 1 THEN CASE WHEN n_brands < 2 THEN 'conflict' WHEN m <= 500 THEN 'same place' ELSE 'different place' END END AS kind FROM g JOIN f USING (code) WHERE n_reps > 1 OR n_repeat > 0""".replace("FROM outlets o JOIN outlets p", "FROM t o JOIN t p").replace("FROM outlets GROUP BY ALL", "FROM t GROUP BY ALL").replace(", e AS (", f", t AS (SELECT CASE WHEN point_id % 2 = 0 THEN point_id // 4 ELSE 1000000 + point_id // 40 END AS code, CASE WHEN point_id % 3 = 0 THEN 'x' ELSE brand END AS brand, rep // 30 AS rep, CASE WHEN point_id % 2 = 0 THEN CAST(106.8 AS DOUBLE) + CAST(point_id % 7 AS DOUBLE) / 2000 ELSE lon END AS lon, CASE WHEN point_id % 2 = 0 THEN CAST(-6.2 AS DOUBLE) ELSE lat END AS lat FROM outlets), e AS (", 1))
 def _(spark, d):
-    rows = territory.id_conflicts(frame(spark, d, "outlets"), "code", "rep")
-    return rows.withColumn("kind", F.when(F.col("kind").endswith("place"), "other").otherwise(F.col("kind")))
+    k, near = F.col("point_id"), F.col("point_id") % 2 == 0
+    code = F.when(near, F.floor(k / 4)).otherwise(F.floor(k / 40) + 1000000).cast("long")
+    rows = frame(spark, d, "outlets").select(code.alias("code"), F.when(k % 3 == 0, "x").otherwise(F.col("brand")).alias("brand"), F.floor(F.col("rep") / 30).alias("rep"), F.when(near, F.lit(106.8) + (k % 7).cast("double") / 2000).otherwise(F.col("lon")).alias("lon"), F.when(near, -6.2).otherwise(F.col("lat")).alias("lat"))
+    found = territory.id_conflicts(rows, "code", "rep", "brand")
+    return found.select("code", "n_rows", "n_reps", "n_brands", "n_repeat", _k(F.col("far_m"), 1).alias("metres"), "kind")
 
 
 @query("agg22_slabs", with_("outlets") + """, v AS (SELECT rep, count(DISTINCT village) AS n FROM outlets GROUP BY rep), h AS (SELECT rep, nation FROM (SELECT rep, nation, row_number() OVER (PARTITION BY rep ORDER BY count(*) DESC, nation) AS r FROM outlets GROUP BY rep, nation) WHERE r = 1), w AS (SELECT nation, min(brand) AS brand FROM outlets GROUP BY nation)
@@ -146,10 +153,13 @@ def _(spark, d):
     return rows.select(F.array_join("options", ",").alias("options"))
 
 
-@query("agg36_readiness", """ SELECT * FROM (VALUES ('map', '', 'sites', true), ('rank', 'metrics', '', false)) AS t(page, missing, would_help, ready)""")
+@query("agg36_readiness", """WITH n AS (SELECT 'page ' || n_regionkey AS page, n_name AS layer, n_nationkey % 3 <> 0 AS must FROM nation), h AS (SELECT n_name AS layer FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0))
+SELECT page, coalesce(string_agg(layer, ',' ORDER BY layer) FILTER (WHERE must AND layer NOT IN (SELECT layer FROM h)), '') AS missing, coalesce(string_agg(layer, ',' ORDER BY layer) FILTER (WHERE NOT must AND layer NOT IN (SELECT layer FROM h)), '') AS would_help, count(*) FILTER (WHERE must AND layer NOT IN (SELECT layer FROM h)) = 0 AS ready FROM n GROUP BY page""")
 def _(spark, d):
-    needs = spark.createDataFrame([("map", "polygons", True), ("map", "sites", False), ("rank", "metrics", True), ("rank", "polygons", False)], "page string, layer string, must boolean")
-    return facets.readiness(needs, spark.createDataFrame([("polygons",)], "layer string"))
+    nation, supplier = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "supplier"))
+    needs = nation.select(F.concat(F.lit("page "), "n_regionkey").alias("page"), F.col("n_name").alias("layer"), (F.col("n_nationkey") % 3 != 0).alias("must"))
+    here = nation.join(supplier.where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey").select(F.col("n_name").alias("layer"))
+    return facets.readiness(needs, here)
 
 
 @query("agg37_metric_pack", with_("metrics") + """ SELECT entity, metric, string_agg(period || '=' || v, ';' ORDER BY period DESC) AS pack FROM (SELECT entity, metric, period, CAST(max(value) AS VARCHAR) AS v FROM metrics GROUP BY ALL) GROUP BY entity, metric""")
@@ -203,16 +213,16 @@ def _(spark, d):
     return rows.select("cluster", "source", "place_id", "n_rows", "sources")
 
 
-@query("join17_join31_update", with_("boxes", "outlets") + """ SELECT key, coalesce(top, name) AS mc FROM boxes LEFT JOIN (SELECT nation, max(brand) AS top FROM outlets WHERE rep < 10 GROUP BY nation) u ON u.nation = boxes.key""")
+@query("join17_join31_update", with_("boxes", "outlets") + """ SELECT key, coalesce(top, name) AS mc FROM boxes LEFT JOIN (SELECT nation, max(CASE WHEN nation % 2 = 0 THEN brand END) AS top FROM outlets GROUP BY nation) u ON u.nation = boxes.key""")
 def _(spark, d):
-    new = frame(spark, d, "outlets").where("rep < 10").groupBy("nation").agg(F.max("brand").alias("top"))
+    new = frame(spark, d, "outlets").groupBy("nation").agg(F.max(F.when(F.col("nation") % 2 == 0, F.col("brand"))).alias("top"))
     boxes = frame(spark, d, "boxes")
     return boxes.join(new, boxes["key"] == new["nation"], "left").select("key", F.coalesce("top", "name").alias("mc"))
 
 
-@query("join18_set4_gaps", with_("boxes", "outlets") + """ SELECT key FROM boxes WHERE NOT EXISTS (SELECT 1 FROM outlets WHERE outlets.nation = boxes.key AND rep < 3)""")
+@query("join18_set4_gaps", with_("boxes", "outlets") + """ SELECT key FROM boxes WHERE NOT EXISTS (SELECT 1 FROM outlets WHERE outlets.nation * 2 = boxes.key)""")
 def _(spark, d):
-    return territory.gaps(frame(spark, d, "boxes"), frame(spark, d, "outlets").where("rep < 3").select(F.col("nation").alias("key")), "key").select("key")
+    return territory.gaps(frame(spark, d, "boxes"), frame(spark, d, "outlets").select((F.col("nation") * 2).alias("key")), "key").select("key")
 
 
 @query("snk2_win10_upsert", """ SELECT event_id, value, CASE WHEN event_id % 3 = 0 THEN 't2' ELSE 't1' END AS first_seen, CASE WHEN event_id % 2 = 0 THEN 't2' WHEN event_id % 3 = 0 THEN 't2' ELSE 't1' END AS last_seen, CAST(CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS run_id

@@ -15,8 +15,11 @@ def local(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Give the session a checkpoint folder, unless the cluster has named one."""
+    """Give a local session a checkpoint folder, unless the cluster has named one; a cluster must name one that all
+    its executors see."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

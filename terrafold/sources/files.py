@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
@@ -122,8 +124,18 @@ def file_role(name: Column, rules: Sequence[tuple[str, str]], other: str = "othe
 # files that are parsed record by record
 
 
+_ROW, _FIELD = re.compile(r"<tr\b.*?</tr>", re.I | re.S), re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.I | re.S)
+
+
+def _told(description: str) -> dict[str, str]:
+    """Attributes in the rows of an HTML table that have a name and a value."""
+    plain = lambda t: html.unescape(re.sub("<[^>]*>", " ", t)).strip()
+    rows = ([plain(c) for c in _FIELD.findall(r)] for r in _ROW.findall(description))
+    return {r[0]: r[1] for r in rows if len(r) == 2 and r[0]}
+
+
 def _placemarks(stream) -> Iterator[tuple]:
-    """name, folder, attributes and polygons of placemarks, dropping each element once it is read (SRC-16, SRC-17)."""
+    """name, folder, attributes, polygons, points and lines of placemarks, dropping each element once it is read (SRC-16, SRC-17)."""
     local = lambda e: e.tag.rpartition("}")[2]
     folders: list[str | None] = []
     stack = []
@@ -140,19 +152,27 @@ def _placemarks(stream) -> Iterator[tuple]:
             folders.pop()
         if local(e) != "Placemark":
             continue
-        attrs, polys, name = {}, [], None
+        attrs, polys, points, lines, name = {}, [], [], [], None
+        spots = lambda c: [[float(n) for n in p.split(",")[:2]] for p in (c.text or "").split()]
         for x in e.iter():
             if local(x) == "name" and name is None:
                 name = x.text
+            elif local(x) == "description":
+                attrs = _told(x.text or "") | attrs
             elif local(x) == "SimpleData":
                 attrs[x.get("name")] = x.text
             elif local(x) == "Data":
                 attrs[x.get("name")] = next((v.text for v in x if local(v) == "value"), None)
             elif local(x) == "Polygon":
-                rings = [[[float(n) for n in p.split(",")[:2]] for p in (c.text or "").split()] for c in x.iter() if local(c) == "coordinates"]
-                polys.append(rings)
+                polys.append([spots(c) for c in x.iter() if local(c) == "coordinates"])
+            elif local(x) in ("Point", "LineString"):
+                for c in x:
+                    if local(c) == "coordinates" and local(x) == "Point":
+                        points += spots(c)
+                    elif local(c) == "coordinates":
+                        lines.append(spots(c))
         blank = ("", "#N/A", "-", "NULL", "N/A")
-        yield name, "/".join(f or "" for f in folders), {k: v.strip() for k, v in attrs.items() if k and v and v.strip().upper() not in blank}, polys
+        yield name, "/".join(f or "" for f in folders), {k: v.strip() for k, v in attrs.items() if k and v and v.strip().upper() not in blank}, polys, points, lines
         e.clear()
         if stack:
             stack[-1].remove(e)
@@ -193,7 +213,7 @@ class KmlSource(DataSource):
         return "kml"
 
     def schema(self):
-        return "name string, folder string, attrs map<string,string>, polys array<array<array<array<double>>>>"
+        return "name string, folder string, attrs map<string,string>, polys array<array<array<array<double>>>>, points array<array<double>>, lines array<array<array<double>>>"
 
     def reader(self, schema):
         return _KmlReader(self.options["paths"].split(","))

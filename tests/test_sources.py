@@ -13,7 +13,9 @@ KML = """<?xml version="1.0"?><kml xmlns="http://www.opengis.net/kml/2.2"><Docum
 <Placemark><name>A</name><ExtendedData><SchemaData><SimpleData name="DESA">Depok</SimpleData><SimpleData name="KEC">#N/A</SimpleData></SchemaData></ExtendedData>
 <MultiGeometry><Polygon><outerBoundaryIs><LinearRing><coordinates>1,2,0 3,2,0 3,4,0</coordinates></LinearRing></outerBoundaryIs></Polygon>
 <Polygon><outerBoundaryIs><LinearRing><coordinates>5,6 7,6 7,8</coordinates></LinearRing></outerBoundaryIs></Polygon></MultiGeometry></Placemark>
-</Folder><Placemark><name>B</name><ExtendedData><Data name="k"><value> v </value></Data></ExtendedData></Placemark></Document></kml>"""
+</Folder><Placemark><name>B</name><ExtendedData><Data name="k"><value> v </value></Data></ExtendedData></Placemark>
+<Placemark><name>C</name><description><![CDATA[<table><tr><th colspan="2">Shop</th></tr><tr><td>KEC</td><td><b>Beji &amp; Limo</b></td></tr><tr><td>x</td><td>-</td></tr></table>]]></description><Point><coordinates>106.8,-6.2,0</coordinates></Point></Placemark>
+<Placemark><name>D</name><LineString><coordinates>1,2 3,4</coordinates></LineString></Placemark></Document></kml>"""
 
 
 def test_separators():
@@ -37,10 +39,12 @@ def test_kml(spark, tmp_path, packed):
     else:
         path.write_text(KML)
     spark.dataSource.register(files.KmlSource)
-    a, b = sorted(spark.read.format("kml").option("paths", str(path)).load().collect(), key=lambda r: r.name)
+    a, b, c, d = sorted(spark.read.format("kml").option("paths", str(path)).load().collect(), key=lambda r: r.name)
     assert (a.name, a.folder, a.attrs, len(a.polys)) == ("A", "North", {"DESA": "Depok"}, 2)
     assert [list(p) for p in a.polys[0][0]] == [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0]]
     assert (b.name, b.folder, b.attrs, b.polys) == ("B", "", {"k": "v"}, [])
+    assert (c.attrs, [list(p) for p in c.points], c.polys) == ({"KEC": "Beji & Limo"}, [[106.8, -6.2]], [])
+    assert [[list(p) for p in line] for line in d.lines] == [[[1.0, 2.0], [3.0, 4.0]]]
 
 
 def test_workbook(spark, tmp_path):
