@@ -3,13 +3,14 @@
 A text is scanned only if a keyword occurs in it; each rule then only if its own keyword does. Rules
 are regular expressions over the text's lower-case words joined by spaces, each with a label, a
 priority and a score. Of overlapping detections, one that lies within a longer one is suppressed,
-and of equal spans the highest priority stays. The mentions of the base phrases are counted
-apart from that, and their labels always stay.
+and of equal spans the highest priority stays (of equal priorities the smallest label). Of those that
+are left and overlap partly, the lower priority goes; with equal priorities both stay. The mentions
+of the base phrases are counted apart from that, and their labels always stay.
 
 All of it is built-in functions on one row: nothing is shuffled.
 
 Defined results: null and empty texts have no words, no labels (empty strings) and score 0. The
-score is that of the strongest detection left. Only the named columns are read; ``carry`` columns
+score is that of the strongest detection left. Equal rows get equal results. Only the named columns are read; ``carry`` columns
 are handed on whatever their names.
 """
 
@@ -232,6 +233,11 @@ def scanned(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("d
     rows = rows.withColumn("found", F.array_sort(F.flatten(F.transform(F.concat(*tables), detect))))
     step = lambda s, h: F.when(-h["minus_end"] > s["end"], F.struct((-h["minus_end"]).alias("end"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s)
     rows = rows.withColumn("found", F.aggregate("found", F.struct(F.lit(-1).alias("end"), F.array().cast(none).alias("kept")), step)["kept"])
+    # starts and ends of what is left both grow, so that detections overlap only where neighbours do
+    h = F.col("found")
+    meets = F.exists(F.arrays_zip(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))).alias("a"), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))).alias("b")), lambda p: p["b"]["start"] < -p["a"]["minus_end"])
+    beaten = lambda x: F.exists(h, lambda y: (y["minus_priority"] < x["minus_priority"]) & (y["start"] < -x["minus_end"]) & (x["start"] < -y["minus_end"]))
+    rows = rows.withColumn("found", F.when(meets, F.filter(h, lambda x: ~beaten(x))).otherwise(h))
     base = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(x).alias("label")) for p, x in BASE.items()])
     rows = rows.withColumn("base", F.flatten(F.transform(F.filter(base, lambda b: F.contains(F.col("words"), b["phrase"])), lambda b: F.transform(places(b["phrase"]), lambda p: F.struct(p["start"].alias("start"), b["label"].alias("label"))))))
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
