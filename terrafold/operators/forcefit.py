@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resolve import clusters
-
 #: Villages (least, most, outlier) and outlets (least, most) of a rep, by stratum.
 NORMS = {"urban": (1, 3, 4, 50, 70), "rural": (1, 5, 7, 50, 60)}
-MOST_MOVES = 400
-
-
-def _excess(n_villages: float, n_outlets: float, stratum: str) -> float:
-    low, high, outlier, least, most = NORMS[stratum]
-    villages = (n_villages - high) * (3.0 if n_villages > outlier else 1.0) if n_villages > high else max(0, low - n_villages)
-    return villages + max(0, n_outlets - most, least - n_outlets) / 20.0
+#: Rounds at most; each does the best move of all and many others.
+MOST_ROUNDS = 400
 
 
 def violation(villages: Column, outlets: Column, stratum: Column) -> Column:
@@ -40,56 +30,37 @@ def state(villages: DataFrame) -> DataFrame:
     return sums.withColumn("violation", violation(F.col("n_villages"), F.col("n_outlets"), F.col("stratum")))
 
 
-def _moves(group: pd.DataFrame) -> pd.DataFrame:
-    """Best single moves, one after the other, within a region."""
-    owner = dict(zip(group["village"], group["owner"]))
-    outlets, rural = dict(zip(group["village"], group["outlets"])), dict(zip(group["village"], group["stratum"] == "rural"))
-    around = {v: [n for n in ns if n in owner] for v, ns in zip(group["village"], group["neighbours"])}
-    held: dict = defaultdict(Counter)
-
-    def put(v, o, sign):
-        held[o].update({"v": sign, "n": sign * int(outlets[v]), "r": sign * int(rural[v])})
-
-    for v, o in owner.items():
-        put(v, o, 1)
-    left: set = set()
-    for _ in range(MOST_MOVES):
-        kind = {o: "rural" if c["r"] * 2 > c["v"] else "urban" for o, c in held.items()}
-        now = {o: _excess(c["v"], c["n"], kind[o]) for o, c in held.items()}
-        best = None
-        for v in sorted(owner):
-            a = owner[v]
-            for b in sorted({owner[n] for n in around[v]} - {a}):
-                if (v, b) in left:
-                    continue
-                gain = now[a] + now[b] - _excess(held[a]["v"] - 1, held[a]["n"] - outlets[v], kind[a]) - _excess(held[b]["v"] + 1, held[b]["n"] + outlets[v], kind[b])
-                if gain > 1e-9 and (best is None or (gain, -outlets[v]) > best[0]):
-                    best = ((gain, -outlets[v]), v, a, b)
-        if best is None:
-            break
-        _, v, a, b = best
-        put(v, a, -1)
-        put(v, b, 1)
-        owner[v] = b
-        left.add((v, a))
-        if not held[a]["v"]:
-            del held[a]
-    return pd.DataFrame({"village": list(owner), "was": group["owner"].tolist(), "owner": list(owner.values())})
+def improvements(villages: DataFrame, both: DataFrame) -> DataFrame:
+    """Moves (``village``, ``a`` to ``b``) of villages to a neighbour's owner that lessen the two owners' violation, with ``gain``.
+    An owner that a village had before (``had``) doesn't get it again; strata of owners count as they are before a move."""
+    held = state(villages)
+    side = lambda k: held.select(F.col("owner").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n_villages", "n_outlets", "stratum", "violation")])
+    own = villages.select("village", F.col("owner").alias("a"), "outlets", "had")
+    near = villages.select(F.col("village").alias("n"), F.col("owner").alias("b"))
+    rows = both.join(own, both["x"] == own["village"]).join(near, both["y"] == near["n"]).where("a <> b AND NOT array_contains(had, b)")
+    rows = rows.select("village", "a", "b", "outlets").distinct().join(side("a"), "a").join(side("b"), "b")
+    left = violation(F.col("a_n_villages") - 1, F.col("a_n_outlets") - F.col("outlets"), F.col("a_stratum"))
+    got = violation(F.col("b_n_villages") + 1, F.col("b_n_outlets") + F.col("outlets"), F.col("b_stratum"))
+    return rows.select("village", "a", "b", "outlets", (F.col("a_violation") + F.col("b_violation") - left - got).alias("gain")).where("gain > 1e-9")
 
 
 def rebalanced(villages: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(village, was, owner) after greedy moves of border villages (GEO-13).
+    """(village, was, owner) after moves of border villages that lessen the violation (GEO-13).
 
-    Villages have ``village``, ``owner``, ``outlets``, ``stratum``; adjacency has pairs (a, b). A move changes only two
-    neighbouring owners, so regions that no adjacency joins are worked on in parallel, a group each.
+    Villages have ``village``, ``owner``, ``outlets``, ``stratum``; adjacency has pairs (a, b). In each round every owner names the
+    best move that it is a part of: the largest gain, then the fewest outlets, then the smallest names. What both its
+    owners name is done, all over the map at once, as such moves don't touch each other. Every round lessens the sum, by
+    the best move of all at least, until nothing does; rounds are checkpointed.
     """
-    both = adjacency.select("a", "b").union(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.groupBy(F.col("a").alias("village")).agg(F.array_sort(F.collect_set("b")).alias("neighbours"))
-    # owners hold regions together, too: their villages need not touch
-    least = villages.groupBy("owner").agg(F.min("village").alias("b"))
-    ties = villages.join(least, "owner").select(F.col("village").alias("a"), "b")
-    regions = clusters(villages.select(F.col("village").alias("node")), adjacency.select("a", "b").union(ties))
-    rows = villages.join(around, "village", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(around.schema["neighbours"].dataType)))
-    rows = rows.join(regions.select(F.col("node").alias("village"), F.col("cluster").alias("region")), "village")
-    kinds = {c: villages.schema[c].dataType.simpleString() for c in ("village", "owner")}
-    return rows.groupBy("region").applyInPandas(_moves, f"village {kinds['village']}, was {kinds['owner']}, owner {kinds['owner']}")
+    both = adjacency.select(F.col("a").alias("x"), F.col("b").alias("y")).union(adjacency.select("b", "a")).distinct().checkpoint()
+    kind = villages.schema["owner"].dataType.simpleString()
+    rows = villages.select("village", F.col("owner").alias("was"), "owner", "outlets", "stratum", F.array().cast(f"array<{kind}>").alias("had")).checkpoint()
+    for _ in range(MOST_ROUNDS):
+        order = F.struct(-F.col("gain"), "outlets", "village", "b")
+        named = improvements(rows, both).withColumn("o", F.explode(F.array("a", "b"))).groupBy("o").agg(F.min_by(F.struct("village", "a", "b"), order).alias("move"))
+        moves = named.groupBy("move").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("move.village").alias("v"), F.col("move.b").alias("to")).checkpoint()
+        if moves.isEmpty():
+            break
+        rows = rows.join(moves, rows["village"] == moves["v"], "left")
+        rows = rows.withColumn("had", F.when(F.col("to").isNotNull(), F.array_append("had", F.col("owner"))).otherwise(F.col("had"))).withColumn("owner", F.coalesce("to", "owner")).drop("v", "to").checkpoint()
+    return rows.select("village", "was", "owner")

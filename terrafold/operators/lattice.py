@@ -187,7 +187,8 @@ def outer_edges(polygons: DataFrame, group: str) -> DataFrame:
 
 
 def _loops(edges: list[tuple]) -> list[list[tuple]]:
-    """Closed rings of undirected edges; where more than two meet, the sharpest turn to the left is taken."""
+    """Closed rings of undirected edges, each from its leftmost, lowest corner to the left around it; where more than
+    two edges meet, the sharpest turn to the left is taken, so that rings touch but don't run into each other."""
     at = defaultdict(set)
     for p, q in edges:
         at[p].add(q)
@@ -198,8 +199,8 @@ def _loops(edges: list[tuple]) -> list[list[tuple]]:
             ring, here, heading = [start], start, None
             while True:
                 options = at[here]
-                if heading is None or len(options) == 1:
-                    step = min(options)
+                if heading is None:
+                    step = min(options, key=lambda q: math.atan2(q[1] - here[1], q[0] - here[0]))
                 else:
                     step = max(options, key=lambda q: (math.atan2(q[1] - here[1], q[0] - here[0]) - heading + math.pi) % math.tau)
                 at[here].discard(step)

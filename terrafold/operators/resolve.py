@@ -66,10 +66,11 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     """
     todo = pairs.select("place_id", "r_place_id", "score").checkpoint()
     out = []
-    order = [F.col("score").desc(), "place_id", "r_place_id"]
+    order = F.struct(-F.col("score"), "place_id", "r_place_id")
     while not todo.isEmpty():
-        best = todo.withColumn("ra", F.row_number().over(Window.partitionBy("place_id").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("r_place_id").orderBy(*order)))
-        taken = best.where("ra = 1 AND rb = 1").select("place_id", "r_place_id", "score").checkpoint()
+        pair = F.struct("place_id", "r_place_id", "score")
+        best = [todo.groupBy(side).agg(F.min_by(pair, order).alias("p")).select("p.*") for side in ("place_id", "r_place_id")]
+        taken = best[0].join(best[1].drop("score"), ["place_id", "r_place_id"]).select("place_id", "r_place_id", "score").checkpoint()
         out.append(taken)
         todo = todo.join(taken.select("place_id"), "place_id", "left_anti").join(taken.select("r_place_id"), "r_place_id", "left_anti").select("place_id", "r_place_id", "score").checkpoint()
     return reduce(DataFrame.union, out) if out else todo

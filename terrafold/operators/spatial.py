@@ -15,10 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrafold.functions.geo import DEGREE_M, contains, haversine_m
 
+from .order import numbered
+
 #: Degrees of a cell for polygons of some kilometres.
 CELL = 0.02
 
@@ -34,13 +35,6 @@ def bounds(rings: Column) -> list[Column]:
     return [F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)]
 
 
-def on_cells(polygons: DataFrame, size: float = CELL) -> DataFrame:
-    """A row for each cell that a polygon's bounding box touches."""
-    x0, x1, y0, y1 = bounds(F.col("rings"))
-    across = F.explode(F.sequence(_cell(x0, size), _cell(x1, size)))
-    return polygons.withColumn("ci", across).withColumn("cj", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
-
-
 def inside(points: DataFrame, polygons: DataFrame, size: float = CELL, how: str = "all") -> DataFrame:
     """Points with the polygons they lie in.
 
@@ -48,8 +42,16 @@ def inside(points: DataFrame, polygons: DataFrame, size: float = CELL, how: str
     once with the polygon of the smallest ``pos``, or nulls (JOIN-5); ``smallest`` likewise by ``area_km2``, then
     ``pos`` (JOIN-8). Points need a unique ``point_id`` for the last two. Points without a position are outside.
     """
+    # cells get boxes and a ring key; the rings themselves come to what lies in a box, once for each polygon
+    x0, x1, y0, y1 = bounds(F.col("rings"))
+    shapes = polygons.withColumn("_ring", F.xxhash64("rings"))
+    cells = shapes.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}).drop("rings")
+    for axis, k in (("x", "ci"), ("y", "cj")):
+        cells = cells.withColumn(k, F.explode(F.sequence(_cell(F.col(f"_{axis}0"), size), _cell(F.col(f"_{axis}1"), size))))
     spots = points.withColumn("ci", _cell(F.col("lon"), size)).withColumn("cj", _cell(F.col("lat"), size))
-    pairs = spots.join(on_cells(polygons, size), ["ci", "cj"]).where(contains(F.col("rings"), F.col("lon"), F.col("lat")))
+    pairs = spots.join(cells, ["ci", "cj"]).where("lon BETWEEN _x0 AND _x1 AND lat BETWEEN _y0 AND _y1")
+    rings = shapes.groupBy("_ring").agg(F.first("rings").alias("rings"))
+    pairs = pairs.join(rings, "_ring").where(contains(F.col("rings"), F.col("lon"), F.col("lat")))
     kept = [c for c in polygons.columns if c != "rings"]
     if how == "all":
         return pairs.select(*points.columns, *kept)
@@ -63,13 +65,15 @@ def near(left: DataFrame, right: DataFrame, metres: float, within: Sequence[str]
     ``within`` only pairs that agree in these columns.
 
     Cells are as wide as the distance in latitude; in longitude they are wider by the cosine at the highest
-    latitude that can occur (60 degrees), so that the nine cells around a point always hold all that is near.
+    latitude that can occur (60 degrees; beyond it is an error), so that the nine cells around a point always hold all
+    that is near. Nothing is near across the 180th meridian.
     """
     size = metres / DEGREE_M * 1.001
     wide = size * 2
     others = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     others = others.withColumn("ci", _cell(F.col("r_lon"), wide)).withColumn("cj", _cell(F.col("r_lat"), size))
     around = lambda c, s: F.explode(F.sequence(_cell(F.col(c), s) - 1, _cell(F.col(c), s) + 1))
+    left = left.withColumn("lat", F.when(F.abs("lat") > 60, F.raise_error(F.lit("latitudes beyond 60 degrees"))).otherwise(F.col("lat")))
     spots = left.withColumn("ci", around("lon", wide)).withColumn("cj", around("lat", size))
     same = [spots[c] == others[r] for c, r in [("ci", "ci"), ("cj", "cj"), *((c, f"r_{c}") for c in within)]]
     pairs = spots.join(others, same).select(*[spots[c] for c in left.columns], *[others[c] for c in others.columns if c not in ("ci", "cj")])
@@ -129,10 +133,13 @@ def snapped(points: DataFrame, polygons: DataFrame, cap_m: float = 3000.0) -> Da
     by_both = points.join(names, (F.col("name") == F.col("p_name")) & (F.col("parent") == F.col("p_parent"))).select("point_id", "key", F.lit(2).alias("rule"), F.lit(0.0).alias("d"))
     unique = names.groupBy("p_name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n = 1")
     by_name = points.join(unique, F.col("name") == F.col("p_name")).select("point_id", "key", F.lit(3).alias("rule"), F.lit(0.0).alias("d"))
+    best = lambda rows: rows.groupBy("point_id").agg(F.min_by(F.struct("key", "rule"), F.struct("rule", "d", "key")).alias("best")).select("point_id", "best.*")
+    told = best(contained.union(by_both).union(by_name)).checkpoint()
+    # only points that nothing else places look for centres
     centres = polygons.select(F.col("key"), F.col("clon").alias("lon"), F.col("clat").alias("lat"))
-    close = near(points.where("name IS NOT NULL").select("point_id", "lon", "lat"), centres, cap_m).select("point_id", F.col("r_key").alias("key"), F.lit(4).alias("rule"), F.col("metres").alias("d"))
-    every = contained.union(by_both).union(by_name).union(close)
-    return every.groupBy("point_id").agg(F.min_by(F.struct("key", "rule"), F.struct("rule", "d", "key")).alias("best")).select("point_id", "best.*")
+    rest = points.where("name IS NOT NULL").select("point_id", "lon", "lat").join(told, "point_id", "left_anti")
+    close = near(rest, centres, cap_m).select("point_id", F.col("r_key").alias("key"), F.lit(4).alias("rule"), F.col("metres").alias("d"))
+    return told.union(best(close))
 
 
 def lattice(polygons: DataFrame, n: int = 50) -> DataFrame:
@@ -164,14 +171,8 @@ def population_within(circles: DataFrame, polygons: DataFrame, metres: float, n:
 def thinned(points: DataFrame, most: int, by: list[str]) -> DataFrame:
     """Every k-th point in an order, with the smallest k that leaves at most ``most`` (WIN-8).
 
-    Positions come from counts of the distinct first column, so rows are numbered within its values only.
+    The columns of the order must tell the points apart.
     """
-    total = points.count()
-    stride = max(1, -(-total // most))
-    head = by[0]
-    counts = points.groupBy(head).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(head).alias("_head"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    rows = points.join(offsets, F.col(head).eqNullSafe(F.col("_head")))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(head).orderBy(*by[1:] or [head])) - 1
-    return rows.withColumn("place", place).where(F.pmod("place", F.lit(stride)) == 0).select(*points.columns, "place")
+    stride = max(1, -(-points.count() // most))
+    rows = numbered(points, [F.col(c) for c in by], "place").withColumn("place", F.col("place") - 1)
+    return rows.where(F.pmod("place", F.lit(stride)) == 0).select(*points.columns, "place")

@@ -273,6 +273,11 @@ def _(spark, d):
     return siting.gate_counts(siting.scored(_areas(spark, d)))
 
 
+@query("agg25_all_gates", _model_sql() + """ SELECT 'distance' AS gate, count(*) AS passes FROM z UNION ALL SELECT 'vlr', count(*) FILTER (WHERE vlr >= 80000) FROM z UNION ALL SELECT 'vlr_pct', count(*) FILTER (WHERE vlr_pct >= 40) FROM z UNION ALL SELECT 'share', count(*) FILTER (WHERE ms_pct IS NULL OR ms_pct >= 40) FROM z""")
+def _(spark, d):
+    return siting.gate_counts(siting.scored(_areas(spark, d), siting.Params(scope="territory")))
+
+
 @query("agg26_summary", _model_sql() + """ SELECT count(*) AS n, count(score) AS n_eligible, CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(score) + 0.5) AS BIGINT) AS mean_x100,
  CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) FILTER (WHERE profile = 'urban') AS DOUBLE) / count(score) FILTER (WHERE profile = 'urban') + 0.5) AS BIGINT) AS urban_x100, CAST(floor(CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) FILTER (WHERE profile = 'rural') AS DOUBLE) / count(score) FILTER (WHERE profile = 'rural') + 0.5) AS BIGINT) AS rural_x100 FROM z""")
 def _(spark, d):
