@@ -40,7 +40,7 @@ from .words import PLAIN, Words, sliced
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 #: Text bytes whose anchors meet in one group.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 #: Text bytes whose slices are combined before all of them meet.
 PART_BYTES = 1 << 40
 
@@ -124,9 +124,11 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
                 words = Words(part.column("text"), PLAIN)
                 gone = np.zeros(len(words), bool)
                 at = [np.zeros(0, np.int64)]
+                own = part.column("key").to_numpy()
                 for d, found in enumerate(part.column("removed")):
-                    if found.is_valid:
-                        at.append(found.values.to_numpy() + words.offsets[d])
+                    for one in found.values if found.is_valid else ():
+                        if one["key"].as_py() == own[d]:
+                            at.append(one["starts"].values.to_numpy() + words.offsets[d])
                 gone = words.covered(np.concatenate(at), n)
                 texts = words.joined(~gone)
                 n_removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.offsets[:-1]) * (words.counts > 0) if part.num_rows else []
@@ -138,6 +140,7 @@ def deduplicated(documents: DataFrame, n: int = 13, period: int = 7, doc_id: str
     found = found.groupBy(F.col("key").alias("row")).agg(F.flatten(F.collect_list("grams")).alias("anchors"))
     told = combined(docs.join(found, "row").mapInArrow(lean(windows), PACKET), fan_in, least, n_buckets)
     removed = told.groupBy("bucket").applyInArrow(lean_group(removed_windows), "key long, row long, starts array<int>")
-    removed = removed.groupBy("key", "row").agg(F.flatten(F.collect_list("starts")).alias("removed"))
+    # both joins are on one column, so that the texts are shuffled once
+    removed = removed.groupBy("row").agg(F.collect_list(F.struct("key", "starts")).alias("removed"))
     kind, carried_kind = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "carried"))
-    return docs.join(removed, ["key", "row"], "left").mapInArrow(lean(without), f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_kind}")
+    return docs.join(removed, "row", "left").mapInArrow(lean(without), f"doc_id {kind}, n_words long, n_removed long, kept_text string, carried {carried_kind}")
