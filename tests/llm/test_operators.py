@@ -10,6 +10,7 @@ from pathlib import Path
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import regex as re_any
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -340,6 +341,45 @@ def test_license_scan(spark, empty):
     assert license_scan.scanned(empty).count() == 0
 
 
+def brute_licenses(text, rules):
+    """All rules whose keyword occurs, without the gate: base places, base labels, labels, score and words."""
+    w = alnum_words(text)
+    spans = []
+    told = " " + " ".join(w) + " "
+    for keyword, pattern, label, priority, score in rules:
+        for m in () if keyword not in told else re_any.finditer(rf"(?<= )(?:{pattern})(?= )", told):
+            start = told[: m.start()].count(" ") - 1
+            spans.append((start, -(start + len(m[0].split(" "))), -priority, label, score))
+    kept, end = [], -1
+    for x in sorted(spans):
+        if -x[1] > end:
+            kept.append(x)
+            end = -x[1]
+    left = [x for x in kept if not any(y[2] < x[2] and y[0] < -x[1] and x[0] < -y[1] for y in kept)]
+    places = sorted(k for p in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+    base = {x for p, x in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+    return places, sorted(base), sorted(base | {x[3] for x in left}), max((x[4] for x in left), default=0.0), len(w)
+
+
+def test_license_scan_against_all_rules_everywhere(spark):
+    rnd = random.Random(2)
+    rules = license_scan.signatures()
+    bits = [*LICENSED, "CC BY-SA 4.0", "GNU General Public License v2", "Apache License", "mit license", "under the terms of the", "licensed under", "or later", "Version 2.0", "BSD", "spdx-license-identifier: GPL-2.0-only", "all rights reserved", "word"]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 4))) for _ in range(40)]
+    texts += [texts[0], texts[0], None, "", "x " * 20_000 + "Apache License 2.0"]
+    frame = spark.createDataFrame([(k % 30, t, "w", "f", 1) for k, t in enumerate(texts)], "doc_id long, text string, words string, found string, base int")
+    got = license_scan.scanned(frame, carry=["doc_id", "text"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (sorted(r.places), r.base_labels, r.labels, r.score, r.n_words) == brute_licenses(r.carried.text, rules), r.carried.text[:300]
+
+
+def test_license_scan_resolves_partial_overlaps_by_priority(spark):
+    rules = [("a", "a b c", "low", 10, 0.5), ("c", "c d e", "high", 20, 0.9), ("e", "e f", "tie-one", 20, 0.7), ("f", "f g h", "tie-two", 20, 0.6), ("g", "g", "inside", 90, 1.0)]
+    rows = license_scan.scanned(spark.createDataFrame([(1, "a b c d e f g h licensed"), (2, "a b c x e f licensed")], "doc_id long, text string"), rules=rules).collect()
+    assert {r.carried.doc_id: (r.labels, r.score) for r in rows} == {1: (["high", "tie-one", "tie-two"], 0.9), 2: (["low", "tie-one"], 0.7)}
+
+
 LICENSED = {
     **{f"// SPDX-License-Identifier: {tag}": want for tag, want in {"MIT": "mit", "Apache-2.0": "apache-2.0", "ISC": "isc", "MPL-2.0": "mpl-2.0", "LGPL-2.1-or-later": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "EPL-2.0": "epl-2.0", "Zlib": "zlib", "BSL-1.0": "boost-1.0", "BSD-3-Clause": "bsd-3-clause", "CC-BY-SA-4.0": "cc-by,cc-by-sa", "(MIT OR Apache-2.0) AND Zlib": "apache-2.0,mit,zlib", "GPL-2.0-only WITH Linux-syscall-note OR BSD-2-Clause": "bsd-2-clause,gpl-2.0"}.items()},
     "Licensed under LGPL v2.1": "lgpl-2.1",
