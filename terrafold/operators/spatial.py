@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on grid cells (JOIN-2, 5 to 13, 20, 21, 23, 25, 29, GEO-5).
+"""Spatial joins as equi-joins on grid cells (JOIN-2, 5 to 13, 20, 21, 23, 25, GEO-5).
 
 Spark has no spatial join of its own: a range predicate would be compared for all pairs. Here each
 side is laid on a grid, polygons under every cell of their bounding boxes, and cells are joined

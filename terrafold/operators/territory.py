@@ -1,4 +1,4 @@
-"""Hierarchy roll-ups, totals, rosters and reviews (AGG-4 to 18, 21, 22, 24, 28, 32, 37, JOIN-14 to 18, 24, 27, WIN-9)."""
+"""Hierarchy roll-ups, totals, rosters and reviews (AGG-4 to 6, 8 to 18, 21, 22, 28, 32, 37, JOIN-14 to 18, 24, 27, WIN-9)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Writing results (SNK-1 to 6, 8, 9, 11, 13, 15 to 17, 19 to 21, WIN-6, WIN-10)."""
+"""Writing results (SNK-2 to 6, 8, 9, 11, 13, 15 to 17, 19, 20, WIN-6, WIN-10)."""
 
 from __future__ import annotations
 
