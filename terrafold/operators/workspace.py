@@ -1,5 +1,5 @@
 """Base rows of districts, point unions, service points, stamps and status counts
-(AGG-7, 24, 34, 35, FLT-8, 11, 12, 16, JOIN-29, 32, 33, SRC-33, SNK-21)."""
+(AGG-7, 18, 24, 34, 35, FLT-6, 8, 10, 11, 12, 16, JOIN-29, 32, 33, SRC-33, SNK-21)."""
 
 from __future__ import annotations
 
@@ -38,6 +38,30 @@ def chosen(filters: Mapping[str, str | None]) -> Column:
     return test
 
 
+def scoped(rows: DataFrame, column: str, wanted: Sequence[str], clip: bool) -> DataFrame:
+    """Rows of the wanted provinces, by folded names, or all rows with ``outside`` (FLT-6); unknown ones are outside."""
+    test = folded(F.col(column)).isin(*[w.strip().upper() for w in wanted])
+    return rows.where(test) if clip else rows.withColumn("outside", ~test)
+
+
+def admitted(rows: DataFrame, allowed: DataFrame, territory: DataFrame, column: str) -> DataFrame:
+    """Rows whose name is allowed, and those that the territory doesn't know at all, marked ``outside`` (FLT-10)."""
+    names = lambda t, tag: t.select(folded(F.col(column)).alias("_name"), F.lit(True).alias(tag)).distinct()
+    known = names(territory, "_known").join(names(allowed, "_allowed"), "_name", "full")
+    told = rows.withColumn("_own", folded(F.col(column))).join(known, F.col("_own") == F.col("_name"), "left")
+    told = told.withColumn("outside", F.col("_known").isNull() & F.col("_allowed").isNull())
+    return told.where(F.col("outside") | F.col("_allowed").isNotNull()).select(*rows.columns, "outside")
+
+
+def village_stats(villages: DataFrame, sites: DataFrame, districts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures of each village and of each microcluster (AGG-18): sites, people and km2; villages find their ``mc`` by district."""
+    n = sites.groupBy("village").agg(F.count(F.lit(1)).alias("sites"))
+    mc = districts.select(folded(F.col("district")).alias("_d"), "mc").groupBy("_d").agg(F.min("mc").alias("mc"))
+    rows = villages.join(n, "village", "left").join(mc, folded(F.col("district")) == F.col("_d"), "left").drop("_d")
+    rows = rows.withColumns({"sites": F.coalesce("sites", F.lit(0)), "population": F.coalesce("population", F.lit(0)), "area_km2": F.coalesce("area_m2", F.lit(0)) / 1e6}).drop("area_m2")
+    return rows, rows.groupBy("mc").agg(F.count(F.lit(1)).alias("villages"), *[F.sum(c).alias(c) for c in ("sites", "population", "area_km2")])
+
+
 def base_rows(districts: DataFrame, villages: DataFrame, placed: DataFrame | None, named: DataFrame) -> DataFrame:
     """What the roll-up of each district starts from (AGG-7).
 

@@ -1,4 +1,4 @@
-"""Queries that write tables out and read them back, and the smaller rules of sources and sinks (SRC-1, 3, 5, 8, 16, 17, 20, 26, 28, 29, SNK-3 to 6, 8, 9, 11, 13, 17, FLT-17, PRJ-12, 28, SCR-6)."""
+"""Queries that write tables out and read them back, and the smaller rules of sources and sinks (SRC-1 to 3, 5, 8, 16, 17, 20, 26, 28, 29, 32, SNK-1, 3 to 6, 8, 9, 11, 13, 17, FLT-17, PRJ-12, 28, SCR-6)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import text
 from terrafold.operators import facets, siting
-from terrafold.sources import files, sinks
+from terrafold.sources import cache, files, sinks
 
 from .fixtures import frame, polygons, with_
 from .registry import query
@@ -137,3 +137,16 @@ def _(spark, d):
     parts = siting.breakdown({"pop": (F.col("size") % 7).cast("double"), "vlr": F.when(F.col("size") % 3 != 0, F.col("size").cast("double")), "unweighted": F.lit(1.0)}, {"pop": 0.3, "vlr": 0.5, "absent": 0.2})
     line = lambda t: F.concat_ws(" ", t["term"], _k(t["weight"], 100).cast("string"), F.concat(_k(t["points"], 1).cast("string"), F.lit(";")))
     return rows.select("point_id", F.array_join(F.transform(parts, line), "").alias("told"))
+
+
+@query("src2_src32_snk1_snk12_cache", with_("outlets") + """ SELECT 'first' AS made, point_id, nation FROM outlets WHERE nation = 3 UNION ALL SELECT 'new stamp', point_id, nation FROM outlets WHERE nation = 4 UNION ALL SELECT 'refreshed', point_id, nation FROM outlets""")
+def _(spark, d):
+    # a second table for the same stamp is the first one; a new stamp or a refresh makes one anew
+    rows, folder = frame(spark, d, "outlets").select("point_id", "nation"), _folder(spark, "cache")
+    made = lambda stamp, name, refresh=False: cache.cached(spark, folder, stamp, lambda: rows.select(F.lit(name).alias("made"), "point_id", "nation"), refresh)
+    made("a", "first")
+    layers = f"{folder}-layers"
+    made("a", "never made").withColumn("layer_key", F.col("nation")).write.partitionBy("layer_key").parquet(layers)
+    made("b", "new stamp")
+    whole = made("a", "refreshed", True)
+    return cache.layer(spark, layers, "3").select("made", "point_id", "nation").union(made("b", "never made").where("nation = 4")).union(whole)

@@ -168,3 +168,32 @@ def _(spark, d):
     rows = frame(spark, d, "parts").select(F.col("brand").alias("operator"), F.when(F.col("size") % 2 == 0, "outlet").alias("class"), F.when(F.col("size") > 10, F.col("category")).alias("category"))
     tally = workspace.operator_tally(rows).select(F.lit("operator").alias("what"), F.col("operator").alias("name"), "class", "n")
     return tally.union(workspace.top_categories(rows).select(F.lit("category"), "category", F.lit(None).cast("string"), "n"))
+
+
+@query("flt6_scope", with_("boxes") + """ SELECT key, upper(trim(name)) NOT IN ('CHINA', 'FRANCE') AS outside, upper(trim(name)) IN ('CHINA', 'FRANCE') AS kept FROM boxes""")
+def _(spark, d):
+    rows, wanted = frame(spark, d, "boxes").select("key", F.concat(F.lit(" "), F.lower("name")).alias("province")), ["China", " france"]
+    kept = workspace.scoped(rows, "province", wanted, True).select("key", F.lit(True).alias("kept"))
+    return workspace.scoped(rows, "province", wanted, False).join(kept, "key", "left").select("key", "outside", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("flt10_admitted", with_("outlets", "boxes") + """ SELECT point_id, nation % 3 = 0 AS outside FROM outlets WHERE nation % 3 = 0 OR nation IN (SELECT key FROM boxes WHERE key % 3 <> 0 AND region = 1)""")
+def _(spark, d):
+    boxes = frame(spark, d, "boxes").select("key", "region", F.col("name").alias("district"))
+    rows = frame(spark, d, "outlets").join(boxes.select(F.col("key").alias("nation"), F.lower("district").alias("district")), "nation")
+    territory = boxes.where("key % 3 <> 0")
+    return workspace.admitted(rows, territory.where("region = 1"), territory, "district").select("point_id", "outside")
+
+
+@query("agg18_village_stats", with_("sites", "boxes") + """, v AS (SELECT DISTINCT point_id % 25 AS d, point_id % 200 AS village FROM sites), s AS (SELECT point_id % 150 AS village, count(*) AS n FROM sites GROUP BY 1),
+ r AS (SELECT v.village, 'M' || b.region AS mc, coalesce(s.n, 0) AS sites, v.village * 10 AS population FROM v JOIN boxes b ON b.key = v.d LEFT JOIN s USING (village))
+SELECT 'village' AS level, CAST(village AS VARCHAR) AS name, 1 AS villages, sites, population, 2 AS area_km2 FROM r UNION ALL SELECT 'mc', mc, count(*), CAST(sum(sites) AS BIGINT), CAST(sum(population) AS BIGINT), 2 * count(*) FROM r GROUP BY mc""")
+def _(spark, d):
+    k = F.col("point_id")
+    boxes = frame(spark, d, "boxes")
+    sites = frame(spark, d, "sites")
+    villages = sites.select((k % 25).alias("d"), (k % 200).alias("village")).distinct().join(boxes.select(F.col("key").alias("d"), F.lower("name").alias("district")), "d")
+    villages = villages.select("village", "district", (F.col("village") * 10).alias("population"), F.lit(2e6).alias("area_m2"))
+    each, mc = workspace.village_stats(villages, sites.select((k % 150).alias("village")), boxes.select(F.col("name").alias("district"), F.concat(F.lit("M"), "region").alias("mc")))
+    long = lambda t, level, name, n: t.select(F.lit(level).alias("level"), F.col(name).cast("string").alias("name"), n.cast("long").alias("villages"), "sites", "population", F.floor(F.col("area_km2") + 0.5).cast("long").alias("area_km2"))
+    return long(each, "village", "village", F.lit(1)).union(long(mc, "mc", "mc", F.col("villages")))
