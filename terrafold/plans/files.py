@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import text
 from terrafold.operators import facets, siting
-from terrafold.sources import cache, files, sinks
+from terrafold.sources import cache, files, sinks, workbooks
 
 from .fixtures import frame, polygons, with_
 from .registry import query
@@ -150,3 +150,32 @@ def _(spark, d):
     made("b", "new stamp")
     whole = made("a", "refreshed", True)
     return cache.layer(spark, layers, "3").select("made", "point_id", "nation").union(made("b", "never made").where("nation = 4")).union(whole)
+
+
+@query("src21_sheet_kinds", """ SELECT n_nationkey AS id, CASE n_nationkey % 9 WHEN 0 THEN 'site' WHEN 1 THEN 'village' WHEN 2 THEN 'hierarchy' WHEN 3 THEN 'district' WHEN 4 THEN 'store' WHEN 5 THEN 'operator' WHEN 6 THEN 'agent' WHEN 7 THEN 'site' END AS kind FROM nation""")
+def _(spark, d):
+    heads = [["Site ID", "Site Lat", "KECAMATAN", "MC"], ["kel_des", "KEC", " KAB_KOT ", "MC"], ["CIRCLE", "REGION", "AREA", "BRANCH", "MC", "KECAMATAN"], ["MC", "Kecamatan"], ["STORE NAME", "LATITUDE"], ["OPERATOR", "LAT"], ["NIK AGENT"], ["SITE_ID", "LATITUDE", "OPERATOR"], ["STORE NAME"]]
+    headers = F.element_at(F.array(*[F.array(*map(F.lit, h)) for h in heads]), (F.col("n_nationkey") % 9 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), workbooks.sheet_kind(headers).alias("kind"))
+
+
+@query("src22_village_profile", """WITH r AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 11 <> 0 THEN 'Desa ' || c_custkey % 300 END AS village, 'Kec ' || c_custkey % 30 AS district, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'B2' ELSE 'B1' END AS branch, c_custkey * 7 % 5000 AS pop FROM customer),
+ k AS (SELECT *, upper(village || '|' || district || '|') AS key, row_number() OVER (PARTITION BY village, district ORDER BY seq DESC) AS n FROM r WHERE village IS NOT NULL AND branch IS NOT NULL)
+SELECT key, branch, pop AS population, regexp_replace(key, '[^A-Z0-9]', '', 'g') AS join_key FROM k WHERE n = 1 UNION ALL SELECT CASE WHEN village IS NULL THEN 'unnamed' WHEN branch IS NULL THEN 'outside' ELSE 'kept' END, NULL, count(*), NULL FROM r GROUP BY 1""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    text_ = lambda c: c.cast("string")
+    cells = F.create_map(F.lit("KEL_DES"), F.when(k % 11 != 0, F.concat(F.lit(" Desa "), text_(k % 300))).otherwise("#N/A"), F.lit("KEC"), F.concat(F.lit("Kec "), text_(k % 30)), F.lit("KAB_KOT"), F.lit("-"), F.lit("BRANCHAGUS"), F.when(k % 4 == 1, "B2").otherwise(""), F.lit("BRANCH"), F.when(k % 4 != 0, "B1"), F.lit("POPULASI_2"), F.format_number(k * 7 % 5000, 0))
+    each, states = workbooks.villages(spark.read.parquet(f"{d}/customer.parquet").select(k.alias("seq"), cells.alias("cells")))
+    none = F.lit(None).cast("string")
+    return each.select("key", "branch", "population", "join_key").union(states.select("state", none, "n", none))
+
+
+@query("src22_src24_metrics_sites", """WITH r AS (SELECT s_suppkey AS seq, 'S' || s_suppkey % 70 AS site, s_name AS name, s_suppkey % 9 AS v FROM supplier), l AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq DESC) AS n FROM r WHERE seq % 8 <> 0)
+SELECT 'site' AS what, site, name AS told, CAST(-6250 AS BIGINT) AS value FROM l WHERE n = 1 UNION ALL SELECT 'vlr_subs', site, 'MTD 1708', v * 1000 FROM r WHERE v > 0 UNION ALL SELECT 'sso', site, 'FM 1707', 2000 FROM r""")
+def _(spark, d):
+    k = F.col("s_suppkey")
+    cells = F.create_map(F.lit("SITE ID"), F.concat(F.lit("S"), k % 70), F.lit("SITE NAME"), F.col("s_name"), F.lit("LAT"), F.when(k % 8 != 0, "-6,25").otherwise("n/a"), F.lit("LONG"), F.lit("106,8"), F.lit("Vlr Subs MTD 1708"), F.when(k % 9 > 0, F.format_number(k % 9, 0)).otherwise("-"), F.lit("SSO FM 1707"), F.lit("2"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("seq"), cells.alias("cells"))
+    found = workbooks.sites(rows).select(F.lit("site").alias("what"), "site", F.col("name").alias("told"), _k(F.col("lat")).alias("value"))
+    return found.union(workbooks.metrics(rows, "SITE ID").select("metric", "SITE ID", "period", _k(F.col("value"))))
