@@ -9,6 +9,7 @@ one table may be a few bytes or many megabytes long.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,9 +23,15 @@ LEAST_BYTES = 4 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def as_bytes(told: str) -> int:
+    """Bytes of a setting such as ``64m`` or ``67108864b``."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", told.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes."""
-    if int(spark.conf.get(_SETTING).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < as_bytes(spark.conf.get(_SETTING)) <= BATCH_BYTES:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
 
 

@@ -14,7 +14,7 @@ import regex as re_any
 import tiktoken
 from pyspark.sql import functions as F
 
-from terrafold.llm import bpe, chat_format, decontaminate, license_scan, ngram_join, quality_rules, sharding, storage, substring_dedup, url_filter, warc
+from terrafold.llm import bpe, chat_format, decontaminate, lean, license_scan, ngram_join, quality_rules, sharding, storage, substring_dedup, url_filter, warc
 from terrafold.llm.storage import new_dir
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -75,6 +75,10 @@ def test_stored_tables_go_when_told(spark, monkeypatch, tmp_path):
     assert not Path(f"{tmp_path}/apart").exists()
 
 
+def test_bytes_of_settings():
+    assert [lean.as_bytes(x) for x in ("67108864b", "64m", "64MB", " 2 g", "17", "-1", "4k")] == [1 << 26, 1 << 26, 1 << 26, 2 << 30, 17, -1, 4096]
+
+
 def test_quality_rules(docs, empty):
     texts = dict((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     rows = quality_rules.judged(docs, carry=docs.columns).collect()
