@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import text
 from terrafold.operators import facets, siting
+from terrafold.session import checkpoint_dir
 from terrafold.sources import cache, files, sinks, workbooks
 
 from .fixtures import frame, polygons, with_
@@ -16,7 +17,7 @@ from .registry import query
 
 def _folder(spark, name):
     """A new folder that the driver and all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/files/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_dir(spark)}/files/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _k(c, scale=1000):

@@ -14,13 +14,24 @@ def local(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     return with_checkpoints(spark)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and stored tables, which the driver and all executors see.
+
+    The cluster names it by ``spark.checkpoint.dir`` or ``setCheckpointDir``. Only a local session without either, as in
+    tests, gets one of its own; on a cluster every executor would write to its own disk, so there it is an error.
+    The setting itself can't be changed once Spark runs.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return f"/tmp/checkpoints/{context.applicationId}"
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Give a local session a checkpoint folder, unless the cluster has named one; a cluster must name one that all
-    its executors see."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """Let ``checkpoint()`` write to ``checkpoint_dir``."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return spark
