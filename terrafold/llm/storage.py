@@ -6,20 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrafold.session import checkpoint_dir
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application that the driver and all executors see, below the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting, as in tests, gets one of its own; on a cluster every executor would
-    write to its own disk, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/terrafold/{spark.sparkContext.applicationId}"
+    """A folder of this application below the one that the driver and all executors see."""
+    return f"{checkpoint_dir(spark)}/terrafold/{spark.sparkContext.applicationId}"
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
