@@ -103,3 +103,32 @@ SELECT t.conv_id, turn_no, role, '<|im_start|>' || coalesce(role, 'unknown') ||
 FROM t JOIN c AS a USING (conv_id)
 WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id <> a.conv_id AND starts_with(b.s, a.s) AND (b.n > a.n OR b.conv_id < a.conv_id))
 """
+
+SQL["op13_filter_interaction"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+first AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+label AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS failed
+  FROM d JOIN first USING (text) LEFT JOIN label ON label.doc_id = d.doc_id),
+h AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS here, filter_order[1:step - 1] AS earlier FROM o, generate_series(1, 5) AS g(step) WHERE length(filter_order) = 5),
+x AS (
+  SELECT part, filter_order, step, here, n, good, toxic, contains(failed, here) AS fails, translate(failed, earlier, '') <> failed AS gone, failed = here AS only_here
+  FROM h, s),
+r AS (
+  SELECT part, filter_order, step, here, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (only_here), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT * EXCLUDE (here), CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM r
+"""

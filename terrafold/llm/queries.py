@@ -10,6 +10,7 @@ from . import oracles, url_filter
 from .bpe import encoded
 from .chat_format import rendered
 from .decontaminate import contamination
+from .filter_audit import audited, histograms, masks
 from .license_scan import scanned
 from .ngram_join import similar_groups
 from .quality_rules import judged
@@ -109,6 +110,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(histograms(masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
