@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .filter_audit import audited, histograms, masks
 from .license_scan import scanned
 from .ngram_join import similar_groups
+from .packing import packed
 from .quality_rules import judged
 from .sharding import sharded
 from .storage import new_dir
@@ -110,6 +111,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(histograms(masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")))
 
