@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the queries of the same name."""
 
+from collections.abc import Callable
+
 from .quality_rules import STOP_WORDS
 
 SQL: dict[str, str] = {}
@@ -132,3 +134,71 @@ r AS (
   FROM x GROUP BY ALL)
 SELECT * EXCLUDE (here), CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM r
 """
+
+
+def _more(value: str, cost: str, edit: str) -> str:
+    """SQL for a (cost, audit), told as eight digits and the audit, after one more edit."""
+    return f"printf('%08d', CAST({value}[1:8] AS BIGINT) + {cost}) || {value}[9:] || '{edit}'"
+
+
+def _inserted(columns: str, table: str) -> str:
+    """SQL that adds to the values v0 to v3 by last kind those which insertions lead to."""
+    user = f"least(v2, {_more('v0', '3', 'I')}, {_more('v1', '3', 'I')}, {_more('v3', '3', 'I')})"
+    return f"SELECT {columns}, v0, v1, w2 AS v2, least(v3, {_more('w2', '3', 'I')}) AS v3 FROM (SELECT *, {user} AS w2 FROM {table})"
+
+
+def _before_user(more: Callable[[str], str]) -> str:
+    return ", ".join(more(f"x.v{k}") for k in (0, 1, 3))
+
+
+SQL["op11_chat_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+original AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS told
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, told), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS kind
+  FROM original, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS r FROM damaged),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS broken, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY r) || role[1] AS pair
+  FROM placed),
+turns AS (SELECT *, blank OR again AS must_go, CASE WHEN broken THEN 3 ELSE 0 END AS charge FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (NOT must_go AND broken) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(r) AS n
+  FROM turns GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS r, '00000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM counts
+  UNION ALL
+  SELECT t.conv_id, t.r, {_more('x.v0', '4', 'D')},
+    CASE WHEN NOT must_go AND role[1] = 's' THEN least({_more('x.v1', '4', 'D')}, {_more('x.v0', 'charge', 'K')}) ELSE {_more('x.v1', '4', 'D')} END,
+    CASE WHEN must_go THEN {_more('x.v2', '4', 'D')} WHEN role[1] = 'u' THEN least({_more('x.v2', '4', 'D')}, {_before_user(lambda v: _more(v, 'charge', 'K'))}, {_before_user(lambda v: _more(v, '3 + charge', 'R'))})
+      ELSE least({_more('x.v2', '4', 'D')}, {_before_user(lambda v: _more(v, '3 + charge', 'R'))}) END,
+    CASE WHEN must_go THEN {_more('x.v3', '4', 'D')} WHEN role[1] = 'a' THEN least({_more('x.v3', '4', 'D')}, {_more('x.v2', 'charge', 'K')}, {_more('x.v2', '3 + charge', 'R')})
+      ELSE least({_more('x.v3', '4', 'D')}, {_more('x.v2', '3 + charge', 'R')}) END
+  FROM ({_inserted('conv_id, r', 'steps')}) AS x JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.r = x.r + 1),
+ends AS (
+  SELECT x.conv_id, CAST(least(v0, v3)[1:8] AS BIGINT) AS cost, least(v0, v3)[9:] AS audit
+  FROM ({_inserted('conv_id, r', 'steps')}) AS x JOIN counts ON counts.conv_id IS NOT DISTINCT FROM x.conv_id AND n = r),
+edits AS (SELECT conv_id, audit, unnest(generate_series(1, length(audit))) AS i FROM ends),
+lines AS (
+  SELECT e.*, audit[i] AS edit, count(*) FILTER (audit[i] <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS r, count(*) FILTER (audit[i] <> 'D') OVER (PARTITION BY conv_id ORDER BY i) AS j FROM edits AS e),
+kept AS (
+  SELECT l.conv_id, i, edit, j, CASE WHEN edit = 'K' THEN role END AS role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text
+  FROM lines AS l LEFT JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.r = l.r WHERE edit <> 'D'),
+named AS (SELECT *, max(CASE WHEN j = 1 AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM kept),
+told AS (
+  SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN (j - system) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY i)) AS repaired_sha256 FROM named GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

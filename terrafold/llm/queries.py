@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import oracles, url_filter
 from .bpe import encoded
 from .chat_format import rendered
+from .chat_repair import digests, repaired
 from .decontaminate import contamination
 from .filter_audit import audited, histograms, masks
 from .license_scan import scanned
@@ -111,6 +112,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """The turns with the contract's damage, by a checksum of their place; nulls are one space."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))), F.lit(20))
+    rows = conversations.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role"))
+    twice = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice).drop("copy")
+
+
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    turns, found = repaired(_damaged(conversations))
+    lines = digests(turns).withColumnRenamed("conv_id", "line_id")
+    rows = conversations.select(F.col("conv_id").alias("id")).distinct().join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    rows = rows.join(lines, F.col("id").eqNullSafe(F.col("line_id")), "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return rows.select(F.col("id").alias("conv_id"), *map(none, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
