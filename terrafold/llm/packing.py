@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 from terrafold.session import with_checkpoints
 
 from .lean import lean, small_batches
+from .storage import stored
 from .words import sliced
 
 #: Ids of the pieces that are made at a time, if they are carried.
@@ -145,7 +146,8 @@ def packed(documents: DataFrame, path: str, pattern: str, longest: int = 2048, e
     """The pieces of all documents with their ``sequence_id`` (gapless from 0, by length and then by hash) and their
     ``offset`` in it, which is 0."""
     with_checkpoints(documents.sparkSession)
-    rows = pieces(documents, path, pattern, longest, end_id, doc_id, text, carry_ids)
+    # stored, as ranges are drawn from a sample first, which would make all pieces once more
+    rows = stored(pieces(documents, path, pattern, longest, end_id, doc_id, text, carry_ids), "pieces")
     order = [F.col("length").desc(), F.xxhash64("doc_id", "start", "ids_crc32"), F.col("doc_id"), F.col("start")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     place = F.monotonically_increasing_id()
