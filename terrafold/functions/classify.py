@@ -30,47 +30,54 @@ OPERATORS = (
 )
 #: Classes of place by category, and what differs where intent or type comes from a paid search or map tags.
 PLACE_CLASS = {
-    "bank": "bank banks bank_or_credit_union credit_union bank_credit_union commercial_bank savings_bank",
-    "atm": "atm atms automated_teller_machine",
-    "rail": "train_station trains metro_station light_rail_and_subway_stations railway_service subway_station",
-    "bus": "bus_station bus_service bus_stop transit_station public_transportation",
-    "retail": "convenience_store supermarket grocery_store",
-    "fuel": "gas_station",
-    "mall": "shopping_mall department_store",
-    "gov": "local_government_office government_office",
-    "industry": "manufacturer supplier",
+    "bank": ("bank", "banks", "bank_or_credit_union", "credit_union", "bank_credit_union", "commercial_bank", "savings_bank"),
+    "atm": ("atm", "atms", "automated_teller_machine"),
+    "rail": ("train_station", "trains", "metro_station", "light_rail_and_subway_stations", "railway_service", "subway_station"),
+    "bus": ("bus_station", "bus_service", "bus_stop", "transit_station", "public_transportation"),
+    "retail": ("convenience_store", "supermarket", "grocery_store"),
+    "fuel": ("gas_station",),
+    "mall": ("shopping_mall", "department_store"),
+    "gov": ("local_government_office", "government_office"),
+    "industry": ("manufacturer", "supplier"),
 }
 SEARCH_TARGET_CLASS = {
-    "retail": "alfamart indomaret alfamidi stores_other",
-    "mall": "malls",
-    "atm": "atms",
-    "bank": "bank_branches bank_hq",
-    "agent": "brilink",
-    "gov": "gov_kelurahan gov_kecamatan gov_kabkot gov_provinsi",
-    "industry": "pabrik factory_typed industrial manufacturer industrial_estates",
+    "retail": ("alfamart", "indomaret", "alfamidi", "stores_other"),
+    "mall": ("malls",),
+    "atm": ("atms",),
+    "bank": ("bank_branches", "bank_hq"),
+    "agent": ("brilink",),
+    "gov": ("gov_kelurahan", "gov_kecamatan", "gov_kabkot", "gov_provinsi"),
+    "industry": ("pabrik", "factory_typed", "industrial", "manufacturer", "industrial_estates"),
 }
 SEARCH_TYPE_CLASS = {
-    "bank": "bank",
-    "atm": "atm",
-    "rail": "train_station subway_station light_rail_station transit_station",
-    "bus": "bus_station bus_stop",
-    "retail": "convenience_store supermarket grocery_store asian_grocery_store discount_supermarket hypermarket store",
-    "fuel": "gas_station",
-    "gov": "local_government_office city_hall government_office courthouse post_office",
-    "industry": "manufacturer supplier wholesaler storage",
-    "mall": "shopping_mall department_store",
+    "bank": ("bank",),
+    "atm": ("atm",),
+    "rail": ("train_station", "subway_station", "light_rail_station", "transit_station"),
+    "bus": ("bus_station", "bus_stop"),
+    "retail": ("convenience_store", "supermarket", "grocery_store", "asian_grocery_store", "discount_supermarket", "hypermarket", "store"),
+    "fuel": ("gas_station",),
+    "gov": ("local_government_office", "city_hall", "government_office", "courthouse", "post_office"),
+    "industry": ("manufacturer", "supplier", "wholesaler", "storage"),
+    "mall": ("shopping_mall", "department_store"),
+}
+MAP_TARGET_CLASS = {
+    "rail": ("rail_stations",),
+    "bus": ("bus_stops", "bus_terminals"),
+    "bank": ("bank_branches",),
+    "atm": ("atms",),
+    "retail": ("minimarkets",),
+    "fuel": ("fuel_stations",),
 }
-MAP_TARGET_CLASS = {"rail": "rail_stations", "bus": "bus_stops bus_terminals", "bank": "bank_branches", "atm": "atms", "retail": "minimarkets", "fuel": "fuel_stations"}
 MAP_TAG_CLASS = {
-    "bank": "amenity=bank",
-    "atm": "amenity=atm",
-    "fuel": "amenity=fuel",
-    "bus": "amenity=bus_station highway=bus_stop public_transport=platform public_transport=station",
-    "rail": "railway=station railway=halt station=subway station=light_rail",
-    "retail": "shop=convenience shop=supermarket",
-    "mall": "shop=mall shop=department_store",
-    "gov": "amenity=townhall office=government",
-    "industry": "man_made=works landuse=industrial",
+    "bank": ("amenity=bank",),
+    "atm": ("amenity=atm",),
+    "fuel": ("amenity=fuel",),
+    "bus": ("amenity=bus_station", "highway=bus_stop", "public_transport=platform", "public_transport=station"),
+    "rail": ("railway=station", "railway=halt", "station=subway", "station=light_rail"),
+    "retail": ("shop=convenience", "shop=supermarket"),
+    "mall": ("shop=mall", "shop=department_store"),
+    "gov": ("amenity=townhall", "office=government"),
+    "industry": ("man_made=works", "landuse=industrial"),
 }
 #: Regencies and cities that count as urban.
 URBAN = ("JAKARTA PUSAT", "JAKARTA UTARA", "JAKARTA BARAT", "JAKARTA SELATAN", "JAKARTA TIMUR", "KOTA DEPOK", "DEPOK", "KOTA BEKASI")
@@ -108,9 +115,9 @@ def brand_by_field(wikidata: Column, *fields: Column) -> Column:
     return F.coalesce(by_id, *[_first([(matches(c, p), label) for label, _, p in BRANDS]) for c in fields])
 
 
-def by_table(value: Column, table: Mapping[str, str]) -> Column:
+def by_table(value: Column, table: Mapping[str, Sequence[str]]) -> Column:
     """The class whose words hold the value, or null."""
-    return _first([(F.coalesce(value.isin(words.split()), F.lit(False)), label) for label, words in table.items()])
+    return _first([(F.coalesce(value.isin(*words), F.lit(False)), label) for label, words in table.items()])
 
 
 def place_class(source: Column, category: Column, target: Column) -> Column:

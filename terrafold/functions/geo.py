@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,11 @@ def polygon_area_km2(rings: Column, lat0: Column) -> Column:
     return F.aggregate(F.slice(each, 2, F.greatest(F.size(each) - 1, F.lit(0))), F.element_at(each, 1), lambda s, t: s - t)
 
 
+def let(value: Column, out: Callable[[Column], Column]) -> Column:
+    """``out`` of a value that is made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), out), 1)
+
+
 def contains(rings: Column, lon: Column, lat: Column) -> Column:
     """Even-odd test of a point against all rings of a polygon at once: holes flip it back (GEO-1, GEO-2).
 

@@ -11,10 +11,10 @@ from pyspark.sql.types import DoubleType
 
 #: Words that say nothing about which place a name means.
 NOISE_WORDS = (
-    "pt cv tbk persero the and dan di kantor cabang pembantu kas unit pusat "
-    "kcp kcu kck kc kk cab atm cdm setor tunai anjungan "
-    "stasiun station st halte terminal shelter jl jalan no nomor raya km toko minimarket swalayan"
-).split()
+    "pt", "cv", "tbk", "persero", "the", "and", "dan", "di", "kantor", "cabang", "pembantu", "kas", "unit", "pusat",
+    "kcp", "kcu", "kck", "kc", "kk", "cab", "atm", "cdm", "setor", "tunai", "anjungan",
+    "stasiun", "station", "st", "halte", "terminal", "shelter", "jl", "jalan", "no", "nomor", "raya", "km", "toko", "minimarket", "swalayan",
+)
 #: Cells that stand for nothing.
 BLANKS = ("", "#N/A", "-", "NULL", "N/A")
 

@@ -6,7 +6,6 @@ Points have ``owner``, ``x`` and ``y`` in metres; cells are (``i``, ``j``).
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,59 +64,6 @@ def absorbed(cells: DataFrame, least: int = 8) -> DataFrame:
     return named.join(moved, "node", "left").select(F.coalesce("host", "owner").alias("owner"), "i", "j")
 
 
-def _rings(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed outlines of a set of cells: outer ones run anticlockwise, holes clockwise."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for i, j in sorted(cells):
-        sides = (((i, j), (i + 1, j), (i, j - 1)), ((i + 1, j), (i + 1, j + 1), (i + 1, j)), ((i + 1, j + 1), (i, j + 1), (i, j + 1)), ((i, j + 1), (i, j), (i - 1, j)))
-        for start, end, outside in sides:
-            if outside not in cells:
-                after[start].append(end)
-    rings = []
-    while after:
-        start = min(after)
-        ring, here, came = [start], start, None
-        while True:
-            ways = after[here]
-            # where two outlines touch, the left turn keeps them apart
-            turn = lambda w: 0 if came is None else ((here[0] - came[0]) * (w[1] - here[1]) - (here[1] - came[1]) * (w[0] - here[0]))  # noqa: E731, B023
-            there = max(ways, key=turn)
-            ways.remove(there)
-            if not ways:
-                del after[here]
-            came, here = here, there
-            if here == start:
-                break
-            ring.append(here)
-        corners = [p for a, p, b in zip(ring[-1:] + ring[:-1], ring, ring[1:] + ring[:1]) if (p[0] - a[0]) * (b[1] - p[1]) != (p[1] - a[1]) * (b[0] - p[0])]
-        rings.append(corners)
-    return rings
-
-
-def _smoothed(ring: list[tuple[float, float]], rounds: int) -> list[tuple[float, float]]:
-    """Corners cut at a quarter and three quarters of each side."""
-    for _ in range(rounds):
-        ring = [p for a, b in zip(ring, ring[1:] + ring[:1]) for p in ((0.75 * a[0] + 0.25 * b[0], 0.75 * a[1] + 0.25 * b[1]), (0.25 * a[0] + 0.75 * b[0], 0.25 * a[1] + 0.75 * b[1]))]
-    return ring
-
-
-def outlines(cells: DataFrame, cell: float, rounds: int = 0) -> DataFrame:
-    """Outlines of each owner's cells in metres (GEO-9): ``owner``, ``ring``, ``is_hole``, ``points``.
-
-    An owner's cells are one group; they are as many as its ground has, whatever the number of points on it.
-    """
-
-    def trace(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k, ring in enumerate(_rings(set(zip(group["i"].tolist(), group["j"].tolist())))):
-            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
-            out.append((group["owner"].iloc[0], k, area < 0, [[p[0] * cell, p[1] * cell] for p in _smoothed(ring, rounds)]))
-        return pd.DataFrame(out, columns=["owner", "ring", "is_hole", "points"])
-
-    kind = cells.schema["owner"].dataType.simpleString()
-    return cells.groupBy("owner").applyInPandas(trace, f"owner {kind}, ring int, is_hole boolean, points array<array<double>>")
-
-
 def _half_hull(order: list[tuple[float, float]]) -> list[tuple[float, float]]:
     chain: list[tuple[float, float]] = []
     for p in order:
@@ -161,16 +107,30 @@ def hulls(points: DataFrame, least: int = 3, strip: float = 1000.0) -> DataFrame
     return corners(points.join(enough, "owner", "left_semi"), strip).groupBy("owner").applyInPandas(whole, f"owner {kind}, ring array<array<double>>")
 
 
+#: Points of an owner that are compared with each other where they are.
+MOST_PAIRED = 64
+
+
 def spans(points: DataFrame, strip: float = 0.01) -> DataFrame:
-    """(owner, far_m): the distance between each owner's farthest two points (``x`` longitude, ``y`` latitude)."""
+    """(owner, far_m): the distance between each owner's farthest two points (``x`` longitude, ``y`` latitude).
+
+    Up to ``MOST_PAIRED`` different points are an array of one row, and all pairs of it an expression. Of more points
+    only the corners of strips' hulls, then of the whole hull, are compared.
+    """
     kind = points.schema["owner"].dataType.simpleString()
+    spots = points.groupBy("owner", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+    counts = spots.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda test: spots.drop("_n").join(counts.where(test).drop("_n"), "owner", "left_semi")
+    far = lambda p: F.array_max(F.transform("_all", lambda q: haversine_m(p["y"], p["x"], q["y"], q["x"])))
+    few = of(F.col("_n") <= MOST_PAIRED).groupBy("owner").agg(F.collect_list(F.struct("x", "y")).alias("_all")).select("owner", F.array_max(F.transform("_all", far)).alias("far_m"))
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(group["owner"].iloc[0], *p) for p in _hull(group)], columns=["owner", "x", "y"])
 
-    rows = corners(points, strip).groupBy("owner").applyInPandas(whole, f"owner {kind}, x double, y double")
+    rows = corners(of(F.col("_n") > MOST_PAIRED), strip).groupBy("owner").applyInPandas(whole, f"owner {kind}, x double, y double")
     pairs = rows.join(rows.select("owner", F.col("x").alias("u"), F.col("y").alias("v")), "owner")
-    return pairs.groupBy("owner").agg(F.max(haversine_m(F.col("y"), F.col("x"), F.col("v"), F.col("u"))).alias("far_m"))
+    many = pairs.groupBy("owner").agg(F.max(haversine_m(F.col("y"), F.col("x"), F.col("v"), F.col("u"))).alias("far_m"))
+    return few.union(many)
 
 
 def outer_edges(polygons: DataFrame, group: str) -> DataFrame:
@@ -184,67 +144,3 @@ def outer_edges(polygons: DataFrame, group: str) -> DataFrame:
     ends = edges.select(group, point(F.col("e.p")).alias("p"), point(F.col("e.q")).alias("q")).where("p <> q")
     ends = ends.select(group, F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     return ends.groupBy(group, "p", "q").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(group, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
-
-
-def _loops(edges: list[tuple]) -> list[list[tuple]]:
-    """Closed rings of undirected edges, each from its leftmost, lowest corner to the left around it; where more than
-    two edges meet, the sharpest turn to the left is taken, so that rings touch but don't run into each other."""
-    at = defaultdict(set)
-    for p, q in edges:
-        at[p].add(q)
-        at[q].add(p)
-    out = []
-    for start in sorted(at):
-        while at[start]:
-            ring, here, heading = [start], start, None
-            while True:
-                options = at[here]
-                if heading is None:
-                    step = min(options, key=lambda q: math.atan2(q[1] - here[1], q[0] - here[0]))
-                else:
-                    step = max(options, key=lambda q: (math.atan2(q[1] - here[1], q[0] - here[0]) - heading + math.pi) % math.tau)
-                at[here].discard(step)
-                at[step].discard(here)
-                heading = math.atan2(step[1] - here[1], step[0] - here[0])
-                here = step
-                if here == start or not at[here]:
-                    break
-                ring.append(here)
-            if len(ring) > 2:
-                out.append(ring)
-    return out
-
-
-def _twice_area(ring: list[tuple]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
-
-
-def _holds(ring: list[tuple], p: tuple) -> bool:
-    hit = False
-    for a, b in zip(ring, ring[1:] + ring[:1]):
-        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
-            hit = not hit
-    return hit
-
-
-def dissolved(polygons: DataFrame, group: str) -> DataFrame:
-    """The union of each group's polygons (GEO-12): ``part`` and ``rings``, outer ones to the left, holes to the right.
-
-    Shared edges cancel in a shuffle; only outlines come together for a group, are stitched to rings, and a ring
-    that an odd number of others hold is a hole of the smallest of these.
-    """
-    kind = polygons.schema[group].dataType.simpleString()
-
-    def stitch(rows: pd.DataFrame) -> pd.DataFrame:
-        rings = _loops(sorted(set(zip(zip(rows["x1"].tolist(), rows["y1"].tolist()), zip(rows["x2"].tolist(), rows["y2"].tolist())))))
-        sizes = [abs(_twice_area(r)) for r in rings]
-        spot = [((r[0][0] + r[1][0]) / 2, (r[0][1] + r[1][1]) / 2) for r in rings]
-        around = [[k for k in range(len(rings)) if sizes[k] > sizes[i] and _holds(rings[k], spot[i])] for i in range(len(rings))]
-        parts = {i: [rings[i] if _twice_area(rings[i]) > 0 else rings[i][::-1]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
-        for i, r in enumerate(rings):
-            if len(around[i]) % 2:
-                parts[min(around[i], key=sizes.__getitem__)].append(r if _twice_area(r) < 0 else r[::-1])
-        name = rows[group].iloc[0]
-        return pd.DataFrame([(name, n + 1, [[[x / 1e7, y / 1e7] for x, y in r] for r in parts[i]]) for n, i in enumerate(sorted(parts, key=lambda i: (-sizes[i], min(rings[i]))))], columns=[group, "part", "rings"])
-
-    return outer_edges(polygons, group).groupBy(group).applyInPandas(stitch, f"{group} {kind}, part int, rings array<array<array<double>>>")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from terrafold.functions.geo import let
+
 RING = "array<array<double>>"
 
 
@@ -56,18 +58,22 @@ def thinned_ring(ring: Column, least: float) -> Column:
 
 def inner_point(rings: Column) -> Column:
     """A point inside a polygon: middle of the widest span at its middle latitude (GEO-3)."""
-    outer = F.element_at(rings, 1)
-    ys = F.transform(outer, lambda p: p[1])
-    lat = (F.array_min(ys) + F.array_max(ys)) / 2
-
-    def crossings(ring):
-        following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-        hit = lambda p, q: F.when((p[1] > lat) != (q[1] > lat), (q[0] - p[0]) * (lat - p[1]) / (q[1] - p[1]) + p[0])
-        return F.filter(F.zip_with(ring, following, hit), lambda x: x.isNotNull())
-
-    xs = F.array_sort(F.flatten(F.transform(rings, crossings)))
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(xs) / 2), F.lit(1)).cast("int")), lambda k: F.struct((F.get(xs, 2 * k - 1) - F.get(xs, 2 * k - 2)).alias("w"), ((F.get(xs, 2 * k - 1) + F.get(xs, 2 * k - 2)) / 2).alias("lon")))
-    return F.struct(F.array_max(spans)["lon"].alias("lon"), lat.alias("lat"))
+    middle = lambda ys: (F.array_min(ys) + F.array_max(ys)) / 2
+
+    def crossings(rings, lat):
+        def of(ring):
+            following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+            hit = lambda p, q: F.when((p[1] > lat) != (q[1] > lat), (q[0] - p[0]) * (lat - p[1]) / (q[1] - p[1]) + p[0])
+            return F.filter(F.zip_with(ring, following, hit), lambda x: x.isNotNull())
+
+        return F.array_sort(F.flatten(F.transform(rings, of)))
+
+    def widest(xs):
+        span = lambda k: F.struct((F.get(xs, 2 * k - 1) - F.get(xs, 2 * k - 2)).alias("w"), ((F.get(xs, 2 * k - 1) + F.get(xs, 2 * k - 2)) / 2).alias("lon"))
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(xs) / 2), F.lit(1)).cast("int")), span))["lon"]
+
+    found = lambda rings, lat: F.named_struct(F.lit("lon"), let(crossings(rings, lat), widest), F.lit("lat"), lat)
+    return let(rings, lambda r: let(let(F.transform(F.element_at(r, 1), lambda p: p[1]), middle), lambda lat: found(r, lat)))
 
 
 def merged_parts(features: DataFrame, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import forcefit, lattice, review, shapes, siting, spatial, territory
+from terrafold.operators import forcefit, lattice, outline, review, shapes, siting, spatial, territory
 
 from .fixtures import IN_BOX, METRES, frame, polygons, with_
 from .registry import query
@@ -149,9 +149,59 @@ def _(spark, d):
     return lattice.absorbed(lattice.owned(_metric_points(spark, d), 500.0, 1000.0))
 
 
-@query("geo9_geo11_outlines")
+_OWNED = _STAMPS + """, o AS (SELECT i, j, arg_min(owner, (d2, owner)) AS owner FROM c GROUP BY i, j)"""
+
+
+def _walked(seams: bool) -> str:
+    """SQL for outlines of exclusive cells, edge by edge, with two rounds of cut corners."""
+    prev, after = "l[CASE WHEN k = 1 THEN len(l) ELSE k - 1 END]", "l[CASE WHEN k = len(l) THEN 1 ELSE k + 1 END]"
+    between = lambda n: "{'x': v.x * %s + %s.x * %s, 'y': v.y * %s + %s.y * %s, 'free': v.free, 'node': false}" % (1 - n, after, n, 1 - n, after, n)
+    if seams:
+        cut = f"CASE WHEN v.node THEN [v, {between(0.25)}, {between(0.75)}] ELSE [{between(0.25)}, {between(0.75)}] END"
+    else:
+        cut = f"CASE WHEN {prev}.free AND v.free THEN [{between(0.25)}, {between(0.75)}] WHEN v.free THEN [v, {between(0.75)}] ELSE [v] END"
+    node = "(SELECT count(*) FROM border WHERE border.x = w.x1 AND border.y = w.y1) > 2" if seams else "false"
+    cross = "list_sum(list_transform(l, lambda v, k: v.x * {0}.y - {0}.x * v.y))".format(after)
+    return _OWNED.replace("WITH p", "WITH RECURSIVE p", 1) + f""", e AS (
+  SELECT a.owner, a.i + x1 AS x1, a.j + y1 AS y1, a.i + x2 AS x2, a.j + y2 AS y2, b.owner IS NULL AS free FROM o AS a, (VALUES (0, 0, 1, 0, 0, -1), (1, 0, 1, 1, 1, 0), (1, 1, 0, 1, 0, 1), (0, 1, 0, 0, -1, 0)) AS v(x1, y1, x2, y2, di, dj)
+  LEFT JOIN o AS b ON b.i = a.i + di AND b.j = a.j + dj WHERE b.owner IS DISTINCT FROM a.owner),
+ side AS (SELECT DISTINCT least((x1, y1), (x2, y2)) AS p, greatest((x1, y1), (x2, y2)) AS q FROM e),
+ border AS (SELECT p[1] AS x, p[2] AS y FROM side UNION ALL SELECT q[1], q[2] FROM side),
+ n AS (SELECT e.*, arg_max((f.x2, f.y2), (e.x2 - e.x1) * (f.y2 - f.y1) - (e.y2 - e.y1) * (f.x2 - f.x1)) AS t FROM e JOIN e AS f ON f.owner = e.owner AND f.x1 = e.x2 AND f.y1 = e.y2 GROUP BY ALL),
+ w AS (
+  SELECT owner, (x1, y1, x2, y2) AS start, 0 AS k, x1, y1, x2, y2, free, t FROM n
+  UNION ALL
+  SELECT n.owner, start, k + 1, n.x1, n.y1, n.x2, n.y2, n.free, n.t FROM w JOIN n ON n.owner = w.owner AND n.x1 = w.x2 AND n.y1 = w.y2 AND n.x2 = w.t[1] AND n.y2 = w.t[2] WHERE (n.x1, n.y1, n.x2, n.y2) > start),
+ whole AS (SELECT owner, start FROM w WHERE (x2, y2) = (start[1], start[2]) AND (x2, y2, t[1], t[2]) = start),
+ r AS (SELECT owner, start, list({{'x': CAST(x1 AS DOUBLE), 'y': CAST(y1 AS DOUBLE), 'free': free, 'node': {node}}} ORDER BY k) AS l FROM w JOIN whole USING (owner, start) GROUP BY ALL),
+ m AS (SELECT owner, CAST(row_number() OVER (PARTITION BY owner ORDER BY start) - 1 AS INTEGER) AS ring, {cross} < 0 AS is_hole, l FROM r),
+ m0 AS (SELECT owner, ring, is_hole, list_filter(l, lambda v, k: NOT ((v.x - {prev}.x) * ({after}.y - v.y) = (v.y - {prev}.y) * ({after}.x - v.x) AND v.free = {prev}.free AND NOT v.node)) AS l FROM m),
+ m1 AS (SELECT owner, ring, is_hole, flatten(list_transform(l, lambda v, k: {cut})) AS l FROM m0),
+ m2 AS (SELECT owner, ring, is_hole, flatten(list_transform(l, lambda v, k: {cut})) AS l FROM m1)
+SELECT owner, ring, is_hole, array_to_string(list_transform(l, lambda v: CAST(v.x * 2000 AS BIGINT) || ' ' || CAST(v.y * 2000 AS BIGINT)), ',') AS points FROM m2"""
+
+
+def _quarters(points):
+    """Points in quarters of a metre, in which two rounds on cells of 500 m are whole, as text."""
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(" ", _k(p[0], 4), _k(p[1], 4))), ",")
+
+
+@query("geo9_geo11_outlines", _walked(False))
 def _(spark, d):
-    return lattice.outlines(lattice.owned(_metric_points(spark, d), 500.0, 1000.0), 500.0, 2)
+    return outline.outlines(lattice.owned(_metric_points(spark, d), 500.0, 1000.0), 500.0, 2).select("owner", "ring", "is_hole", _quarters(F.col("points")).alias("points"))
+
+
+@query("geo9_smoothed_seams", _walked(True))
+def _(spark, d):
+    return outline.outlines(lattice.owned(_metric_points(spark, d), 500.0, 1000.0), 500.0, 2, seams=True).select("owner", "ring", "is_hole", _quarters(F.col("points")).alias("points"))
+
+
+@query("geo11_territories", _STAMPS + """, u AS (SELECT owner, count(DISTINCT (i, j)) * 250000 AS area_m2 FROM c GROUP BY owner), q AS (SELECT owner, count(*) AS n_points FROM p GROUP BY owner)
+SELECT owner, n_points, n_points < 16 AS skipped, CASE WHEN n_points >= 16 THEN CAST(area_m2 AS BIGINT) END AS area_m2 FROM q JOIN u USING (owner)""")
+def _(spark, d):
+    shapes, skipped, _ = outline.territories(_metric_points(spark, d), "coverage", rounds=0, least=16)
+    rows = shapes.select("owner", "n_points", F.lit(False).alias("skipped"), _k(F.col("area_m2"), 1).alias("area_m2"))
+    return rows.union(skipped.select("owner", "n_points", F.lit(True), F.lit(None).cast("long")))
 
 
 @query("geo10_hulls")
@@ -175,14 +225,20 @@ def _(spark, d):
     return lattice.outer_edges(_squares(spark, d), "grp")
 
 
-@query("geo12_stitched", _SQUARES + """ SELECT CAST(grp AS INTEGER) AS grp, 1 AS part, 1 AS n_rings, 12 AS points, CAST(count(*) AS BIGINT) AS area FROM q GROUP BY grp""")
-def _(spark, d):
-    rows = lattice.dissolved(_squares(spark, d), "grp")
-    x = lambda p: F.transform("r", lambda q: q[p])
-    turned = lambda a: F.concat(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, 1))
-    area = F.aggregate(F.zip_with(F.zip_with(x(0), turned(x(1)), lambda a, b: a * b), F.zip_with(turned(x(0)), x(1), lambda a, b: a * b), lambda a, b: a - b), F.lit(0.0), lambda s, v: s + v) / 2
-    rows = rows.withColumn("r", F.element_at("rings", 1))
-    return rows.select("grp", "part", F.size("rings").alias("n_rings"), F.size("r").alias("points"), _k(area, 1).alias("area"))
+# parts less holes by the patterns of two by two cells: one cell, three, or two that touch at a corner
+@query("geo12_stitched", _OWNED + """, v AS (SELECT owner, i + a AS i, j + b AS j, a + 2 * b AS place FROM o, range(2) r(a), range(2) t(b)),
+ q AS (SELECT owner, i, j, count(*) AS n, sum(place) AS places FROM v GROUP BY ALL),
+ x AS (SELECT owner, CAST((count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (n = 2 AND places = 3)) // 4 AS BIGINT) AS parts_less_holes FROM q GROUP BY owner),
+ y AS (SELECT o.owner, count(*) AS area, CAST(sum(4 - (SELECT count(*) FROM o AS b WHERE b.owner = o.owner AND abs(b.i - o.i) + abs(b.j - o.j) = 1)) AS BIGINT) AS points FROM o GROUP BY o.owner)
+SELECT owner, parts_less_holes, points, area FROM x JOIN y USING (owner)""")
+def _(spark, d):
+    # squares of a thousandth, of which owners have many that touch, enclose others' or lie apart
+    corner = lambda a, b: F.array((F.col("i") + a) / 1000.0, (F.col("j") + b) / 1000.0)
+    ring = F.array(*[corner(a, b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    squares = lattice.owned(_metric_points(spark, d), 500.0, 1000.0).select("owner", F.array(F.when((F.col("i") + F.col("j")) % 2 == 0, ring).otherwise(F.reverse(ring))).alias("rings"))
+    flat = lambda r: outline.twice_area(F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))) / 2
+    rows = outline.dissolved(squares, "owner").select("owner", F.size("rings").alias("n"), F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)).alias("points"), F.aggregate("rings", F.lit(0.0), lambda s, r: s + flat(r)).alias("area"))
+    return rows.groupBy("owner").agg(F.sum(2 - F.col("n")).cast("long").alias("parts_less_holes"), F.sum("points").cast("long").alias("points"), _k(F.sum("area"), 1_000_000).alias("area"))
 
 
 @query("geo14_geo15_simplified", with_("boxes") + """, c AS (SELECT key, unnest([{'k': 0, 'x': x0, 'y': y0}, {'k': 1, 'x': x1, 'y': y0}, {'k': 2, 'x': x1, 'y': y1}, {'k': 3, 'x': x0, 'y': y1}]) AS p FROM boxes)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -35,3 +37,15 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder.
+
+    For loops with joins: a checkpoint hands the conditions of the plan that made it on to the next one, so that plans of
+    a loop take longer and longer to optimize; a table has none.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/terrafold/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

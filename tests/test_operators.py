@@ -1,5 +1,6 @@
 """Territory operators that SQL cannot express, against brute force on small rows."""
 
+import math
 import random
 import re
 from difflib import SequenceMatcher
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import classify, geo, reps, text
-from terrafold.operators import forcefit, lattice, order, resolve, review, shapes, siting, spatial, territory
+from terrafold.operators import forcefit, lattice, order, outline, resolve, review, shapes, siting, spatial, territory
 
 
 def _values(rows, *columns):
@@ -174,13 +175,51 @@ def test_nearest_by_growing_rings(spark):
 
 def test_outlines_hold_the_cells_area(spark):
     cells = [(1, i, j) for i in range(6) for j in range(5) if (i, j) not in ((2, 2), (3, 2))] + [(2, 10, 10), (2, 11, 11)]
-    rows = lattice.outlines(spark.createDataFrame(cells, "owner long, i int, j int"), 100.0).collect()
+    rows = outline.outlines(spark.createDataFrame(cells, "owner long, i int, j int"), 100.0).collect()
     area = lambda p: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
     for owner, n in ((1, 28), (2, 2)):
         assert sum(area([list(q) for q in r.points]) for r in rows if r.owner == owner) == n * 100.0 * 100.0
     assert sorted((r.owner, r.is_hole) for r in rows) == [(1, False), (1, True), (2, False), (2, False)]
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_seams_are_shared_to_the_last_bit(spark, rounds):
+    """Each line between two owners is drawn by both, in opposite directions; all that is drawn once faces free ground."""
+    rnd = random.Random(8)
+    cells = {(i, j): rnd.randrange(4) for i in range(12) for j in range(12) if rnd.random() < 0.85}
+    frame = spark.createDataFrame([(o, i, j) for (i, j), o in cells.items()], "owner long, i int, j int")
+    free = {p for (i, j) in cells for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (i + a, j + b) not in cells for p in [(i, j)]}
+    for seams in (False, True):
+        drawn = [(tuple(p), tuple(q)) for r in outline.outlines(frame, 100.0, rounds, seams=seams).collect() for p, q in zip(r.points, r.points[1:] + r.points[:1])]
+        assert len(drawn) == len(set(drawn))
+        once = [(p, q) for p, q in drawn if (q, p) not in set(drawn)]
+        area = lambda lines: sum(p[0] * q[1] - q[0] * p[1] for p, q in lines) / 2
+        if seams:
+            # what is drawn once bounds the ground of all owners: no gap and no overlap between them
+            assert abs(area(once) - area(drawn)) < 1e-6
+            assert free and len(once) < len(drawn) / 2
+        else:
+            # corners of a seam are where the cells have them
+            assert all(v % 100 == 0 for p, q in drawn if (q, p) in set(drawn) for v in (*p, *q))
+
+
+def test_territories_of_three_modes(spark):
+    rnd = random.Random(2)
+    spots = [(o, rnd.uniform(0, 9000), rnd.uniform(0, 9000)) for o in range(5) for _ in range(20)] + [(9, 0.0, 0.0), (9, 100.0, 100.0), (None, 500.0, 500.0)]
+    points = spark.createDataFrame(spots, "owner long, x double, y double")
+    for mode in ("coverage", "exclusive", "hull"):
+        shapes, skipped, told = outline.territories(points, mode, rounds=0)
+        rows = {r.owner: r for r in shapes.collect()}
+        assert set(rows) == set(range(5)) and all(r.n_points == 20 for r in rows.values())
+        assert {(r.owner, r.n_points) for r in skipped.collect()} == {(9, 2), (None, 1)}
+        if mode != "hull":
+            cells = lattice.covered(points, 500.0, 1000.0) if mode == "coverage" else lattice.absorbed(lattice.owned(points, 500.0, 1000.0))
+            count = {r.owner: r["count"] for r in cells.groupBy("owner").count().collect()}
+            assert {o: r.area_m2 for o, r in rows.items()} == {o: count[o] * 250000.0 for o in range(5)}
+            assert (told.first().overlap > 0) == (mode == "coverage")
+            assert all(len(r.parts) == r.n_parts for r in rows.values())
+
+
 def test_islands_go_to_the_neighbour_they_touch_most(spark):
     cells = {(i, j): 1 for i in range(10) for j in range(4)} | {(i, j): 2 for i in range(10) for j in range(4, 8)} | {(4, 1): 2, (5, 1): 2, (20, 20): 2}
     got = {(r.i, r.j): r.owner for r in lattice.absorbed(spark.createDataFrame([(o, i, j) for (i, j), o in cells.items()], "owner long, i int, j int")).collect()}
@@ -293,12 +332,40 @@ def test_dissolved_with_a_hole(spark):
     rows = [("ring", square(x, y)) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
     rows += [("island", square(x, y)) for x in range(5) for y in range(5) if (x in (0, 4) or y in (0, 4)) or (x, y) == (2, 2)]
     rows += [("corner", square(0, 0)), ("corner", square(1, 1)), ("one", square(3, 3))]
-    got = {(r.g, r.part): r.rings for r in lattice.dissolved(spark.createDataFrame(rows, "g string, rings array<array<array<double>>>"), "g").collect()}
+    got = {(r.g, r.part): r.rings for r in outline.dissolved(spark.createDataFrame(rows, "g string, rings array<array<array<double>>>"), "g").collect()}
     area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2
     told = {k: [round(area(r), 6) for r in rings] for k, rings in got.items()}
     assert told == {("ring", 1): [9, -1], ("island", 1): [25, -9], ("island", 2): [1], ("corner", 1): [1], ("corner", 2): [1], ("one", 1): [1]}
 
 
+def test_dissolved_rings_of_any_winding_and_open_edges(spark):
+    """Rings wound the wrong way, holes of one polygon filled by another, two parts in one polygon, a ring of two points."""
+    turn = lambda r, on: r[::-1] if on else r
+    box = lambda x0, y0, x1, y1, on=False: turn([[float(x0), float(y0)], [float(x1), float(y0)], [float(x1), float(y1)], [float(x0), float(y1)]], on)
+    rows = [("a", [box(0, 0, 9, 9, True), box(2, 2, 5, 5)]), ("a", [box(3, 3, 4, 4)]), ("b", [box(0, 0, 1, 1), box(4, 0, 5, 1, True)]), ("b", [[[0.0, 0.0], [1.0, 1.0]]]), (None, [box(0, 0, 2, 2)])]
+    rows += [("c", [box(0, 0, 4, 4), box(1, 1, 3, 3, True)]), ("c", [box(1, 1, 3, 3, True)])]
+    got = {(r.g, r.part): r.rings for r in outline.dissolved(spark.createDataFrame(rows, "g string, rings array<array<array<double>>>"), "g").collect()}
+    area = lambda r: round(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1])) / 2, 6)
+    assert {k: [area(r) for r in rings] for k, rings in got.items()} == {("a", 1): [81, -9], ("a", 2): [1], ("b", 1): [1], ("b", 2): [1], ("c", 1): [16], (None, 1): [4]}
+    assert outline.dissolved(spark.createDataFrame([], "g string, rings array<array<array<double>>>"), "g").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_spans_by_pairs_and_by_hulls(spark, monkeypatch, most):
+    monkeypatch.setattr(lattice, "MOST_PAIRED", most)
+    rnd = random.Random(6)
+    spots = [(o, 106 + rnd.random(), -6 - rnd.random()) for o in range(4) for _ in range(30)] + [(8, 1.0, 2.0)] * 3
+    far = lambda p: max(_metres(a, b) for a in p for b in p)
+    got = dict(_values(lattice.spans(spark.createDataFrame(spots, "owner long, x double, y double")), "owner", "far_m"))
+    assert got.keys() == {0, 1, 2, 3, 8}
+    assert all(abs(got[o] - far([(x, y) for w, x, y in spots if w == o])) < 1e-6 for o in got)
+
+
+def _metres(a, b):
+    h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(math.sqrt(h))
+
+
 def test_places_over_range_partitions(spark):
     rnd = random.Random(3)
     rows = [(k, rnd.choice("ab"), rnd.choice([None, *range(9)])) for k in range(500)]
