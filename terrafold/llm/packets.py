@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lean import lean_group
@@ -115,6 +115,12 @@ def least(grams: np.ndarray, keys: np.ndarray, rows: np.ndarray, starts: np.ndar
         yield packets(bucket_of(r[~low].view(np.uint64), n_buckets), True, g[~low], k[~low], r[~low], s[~low])
 
 
+def part_of(fan_in: int) -> Column:
+    """The part of a packet, by what it holds: a task that runs again, in another order, sends each packet where it was
+    sent before."""
+    return F.pmod(F.xxhash64(*_FIELDS), F.lit(fan_in))
+
+
 def combined(found: DataFrame, fan_in: int, tell: Callable[..., Iterator[pa.RecordBatch]], n_buckets: int) -> DataFrame:
     """Packets with those of ``fan_in`` parts of the input settled among themselves first.
 
@@ -131,8 +137,7 @@ def combined(found: DataFrame, fan_in: int, tell: Callable[..., Iterator[pa.Reco
         given = (grams.view(np.uint64), keys) if tell is offered else (grams.view(np.uint64), keys, rows, starts.astype(np.int32))
         return pa.Table.from_batches([*done, *tell(*given, n_buckets)], schema=table.select(_FIELDS).schema)
 
-    part = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(fan_in))
-    return found.withColumn("part", part).groupBy("part", "bucket").applyInArrow(lean_group(work), PACKET)
+    return found.withColumn("part", part_of(fan_in)).groupBy("part", "bucket").applyInArrow(lean_group(work), PACKET)
 
 
 def shared(table: pa.Table) -> pa.Table:
