@@ -80,7 +80,7 @@ def name_tokens(name: Column) -> Column:
     """Words of a place's name without noise words, or all of them if only those are left (PRJ-16)."""
     words = F.array_remove(F.split(F.replace(F.lower(name), F.lit("&"), F.lit(" dan ")), "[^a-z0-9]+"), "")
     told = F.array_except(words, F.array(*[F.lit(w) for w in NOISE_WORDS]))
-    kept = F.filter(words, lambda w: ~w.isin(NOISE_WORDS))
+    kept = F.filter(words, lambda w: ~w.isin(*NOISE_WORDS))
     return F.when(F.size(told) > 0, kept).otherwise(words)
 
 
