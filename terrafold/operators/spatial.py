@@ -16,9 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.functions.geo import DEGREE_M, contains, haversine_m
+from terrafold.functions.geo import DEGREE_M, EARTH_M, contains, haversine_m, let
 
 from .order import numbered
+from .shapes import inner_point
 
 #: Degrees of a cell for polygons of some kilometres.
 CELL = 0.02
@@ -159,13 +160,77 @@ def overlap_shares(polygons: DataFrame, covers: DataFrame, n: int = 50, least: f
     return both.join(totals, "key").where(F.col("n_in") >= least * F.col("n_all")).select("key", "cover", "n_in", "n_all")
 
 
-def population_within(circles: DataFrame, polygons: DataFrame, metres: float, n: int = 50) -> DataFrame:
-    """People within a distance of points, each polygon's ``population`` spread evenly over its lattice points (JOIN-22)."""
-    spots = lattice(polygons, n)
-    totals = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n_all"))
-    shares = near(circles, spots, metres).groupBy("point_id", F.col("r_key").alias("key")).agg(F.count(F.lit(1)).alias("n_in"))
-    shares = shares.join(totals, "key").join(polygons.select("key", "population"), "key")
-    return shares.groupBy("point_id").agg(F.sum(F.col("population") * F.col("n_in") / F.col("n_all")).alias("population"))
+#: Scanlines of a row.
+LINES = 64
+
+
+def scan_counts(circles: DataFrame, polygons: DataFrame, metres: float, step: float = 100.0) -> DataFrame:
+    """For each circle and polygon that may meet: samples inside the polygon, and those also in the circle (GEO-16).
+
+    Samples stand in rows ``step`` metres apart, from the polygon's lowest point up, on a local projection around the
+    circle's centre. They are counted, not listed: a row crosses the polygon's sides at sorted places, between which it
+    is in and out by turns, and the circle leaves a chord of it. Holes and several parts count as they should. Rows
+    are dealt out ``LINES`` at a time, so a large polygon is many rows.
+
+    ``circles``: point_id, lon, lat; ``polygons``: key, rings. Columns: point_id, key, n_in, n_hit.
+    """
+    size = metres / 110574.0
+    x0, x1, y0, y1 = bounds(F.col("rings"))
+    boxes = polygons.select("key", x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1"))
+    spread = lambda rows, axis, a, b: rows.withColumn(axis, F.explode(F.sequence(_cell(a, size), _cell(b, size))))
+    cells = spread(spread(boxes, "ci", F.col("_x0"), F.col("_x1")), "cj", F.col("_y0"), F.col("_y1"))
+    dlat, dlon = F.lit(size), metres / (111320.0 * F.greatest(F.cos(F.radians("lat")), F.lit(1e-6)))
+    spots = circles.select("point_id", "lon", "lat", dlon.alias("dlon"))
+    spots = spread(spread(spots, "ci", F.col("lon") - F.col("dlon"), F.col("lon") + F.col("dlon")), "cj", F.col("lat") - dlat, F.col("lat") + dlat)
+    near_ = (F.col("_x0") <= F.col("lon") + F.col("dlon")) & (F.col("_x1") >= F.col("lon") - F.col("dlon")) & (F.col("_y0") <= F.col("lat") + dlat) & (F.col("_y1") >= F.col("lat") - dlat)
+    pairs = spots.join(cells, ["ci", "cj"]).where(near_).select("point_id", "lon", "lat", "key").distinct()
+    k = F.cos(F.radians("lat"))
+    flat = lambda p: F.array(F.radians(p[0] - F.col("lon")) * EARTH_M * k, F.radians(p[1] - F.col("lat")) * EARTH_M)
+    rows = pairs.join(polygons.select("key", "rings"), "key").withColumn("r", F.transform("rings", lambda r: F.transform(r, flat))).drop("rings")
+    ys = F.flatten(F.transform("r", lambda r: F.transform(r, lambda p: p[1])))
+    rows = rows.withColumns({"low": F.array_min(ys), "high": F.array_max(ys)}).where("high > low")
+    lines = F.greatest(F.ceil((F.col("high") - F.col("low")) / step - 0.5), F.lit(0)).cast("int")
+    rows = rows.withColumn("lines", lines).where("lines > 0").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("lines") - 1, F.lit(LINES))))
+
+    def crossings(y):
+        def of(ring):
+            following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+            hit = lambda a, b: F.when((a[1] > y) != (b[1] > y), a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]))
+            return F.filter(F.zip_with(ring, following, hit), lambda x: x.isNotNull())
+
+        return F.array_sort(F.flatten(F.transform("r", of)))
+
+    # the sample with number n stands at (n + 0.5) * step
+    least, most = lambda x: F.ceil(x / step - 0.5), lambda x: F.floor(x / step - 0.5)
+
+    def counts(xs, chord):
+        spans = F.transform(F.sequence(F.lit(1), F.floor(F.size(xs) / 2).cast("int")), lambda i: F.named_struct(F.lit("a"), least(F.element_at(xs, 2 * i - 1)), F.lit("b"), least(F.element_at(xs, 2 * i)) - 1))
+        total = lambda n: F.aggregate(F.when(F.size(xs) > 1, spans).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")), F.lit(0).cast("long"), lambda s, t: s + F.greatest(n(t), F.lit(0).cast("long")))
+        cut = lambda t: F.least(t["b"], most(chord)) - F.greatest(t["a"], least(-chord)) + 1
+        return F.named_struct(F.lit("n_in"), total(lambda t: t["b"] - t["a"] + 1), F.lit("n_hit"), F.when(chord.isNotNull(), total(cut)).otherwise(F.lit(0).cast("long")))
+
+    height = lambda i: F.col("low") + (i + 0.5) * step
+    chord = lambda y: F.when(y * y <= metres * metres, F.sqrt(metres * metres - y * y))
+    each = F.transform(F.sequence("first", F.least(F.col("lines"), F.col("first") + LINES) - 1), lambda i: let(height(i), lambda y: let(crossings(y), lambda xs: counts(xs, chord(y)))))
+    both = rows.select("point_id", "key", each.alias("c"))
+    total = lambda name: F.sum(F.aggregate("c", F.lit(0).cast("long"), lambda s, c: s + c[name])).alias(name)
+    return both.groupBy("point_id", "key").agg(total("n_in"), total("n_hit")).where("n_in > 0")
+
+
+def catchments(circles: DataFrame, polygons: DataFrame, metres: float, step: float = 100.0) -> DataFrame:
+    """What lies within a distance of points (JOIN-22): ``population``, spread evenly over each polygon, ``area_km2``, and how many
+    polygons are in it (``n_whole``) or cut (``n_partial``). Polygons of unknown population count as ground only."""
+    shares = scan_counts(circles, polygons, metres, step).where("n_hit > 0").join(polygons.select("key", "population"), "key")
+    share = F.col("n_hit") / F.col("n_in")
+    people = F.coalesce(F.sum(F.col("population") * share), F.lit(0.0)).alias("population")
+    area = (F.sum("n_hit") * step * step / 1e6).alias("area_km2")
+    return shares.groupBy("point_id").agg(people, area, F.count_if(share >= 0.999).alias("n_whole"), F.count_if(share < 0.999).alias("n_partial"))
+
+
+def named_catchments(districts: DataFrame, polygons: DataFrame, metres: float = 10_000.0, step: float = 100.0) -> DataFrame:
+    """The catchments around districts (SCR-7): ``districts`` have ``name`` and ``rings``, and a centre inside their ground."""
+    centres = districts.select(F.col("name").alias("point_id"), inner_point(F.col("rings")).alias("p")).select("point_id", "p.lon", "p.lat")
+    return catchments(centres, polygons, metres, step).withColumnRenamed("point_id", "name")
 
 
 def thinned(points: DataFrame, most: int, by: list[str]) -> DataFrame:

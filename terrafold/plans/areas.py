@@ -97,11 +97,44 @@ def _(spark, d):
     return spatial.overlap_shares(polygons(spark, d), covers)
 
 
-@query("join22_scr7_population_within", with_("sites", "boxes") + f""", q AS (SELECT key, population, x0, x1, y0, y1, holed, (x0 + (i + CAST(0.5 AS DOUBLE)) * ((x1 - x0) / 50)) AS lon, (y0 + (j + CAST(0.5 AS DOUBLE)) * ((y1 - y0) / 50)) AS lat FROM boxes, range(50) a(i), range(50) c(j)), p AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_all FROM q WHERE NOT (holed AND lon >= x0 + (x1 - x0) / 3.0 AND lon < x1 - (x1 - x0) / 3.0 AND lat >= y0 + (y1 - y0) / 3.0 AND lat < y1 - (y1 - y0) / 3.0))
-SELECT point_id, CAST(sum(population * n / 100) AS BIGINT) AS population FROM (SELECT o.point_id, p.key, any_value(p.population) AS population, any_value(p.n_all) AS n_all, count(*) AS n FROM sites o, p WHERE {METRES} <= 2000 GROUP BY ALL) GROUP BY point_id""".replace("sum(population * n / 100)", "floor(sum(CAST(population AS DOUBLE) * n / n_all) + 0.5)"))
+def _samples(circles: str, metres: int) -> str:
+    """SQL that lists all samples of scanlines in boxes near circles (point_id, lon, lat), and counts them."""
+    x = lambda v: f"radians({v} - lon) * CAST(6371008.8 AS DOUBLE) * cos(radians(lat))"
+    y = lambda v: f"radians({v} - lat) * CAST(6371008.8 AS DOUBLE)"
+    return f""", o AS ({circles}),
+ f AS (SELECT point_id, key, population, holed, {x('x0')} AS a, {x('x1')} AS b, {y('y0')} AS c, {y('y1')} AS d FROM o JOIN boxes ON y0 <= lat + {metres} / CAST(110574.0 AS DOUBLE) AND y1 >= lat - {metres} / CAST(110574.0 AS DOUBLE)
+  AND x0 <= lon + {metres} / (111320.0 * cos(radians(lat))) AND x1 >= lon - {metres} / (111320.0 * cos(radians(lat)))),
+ g AS (SELECT *, a + (b - a) / 3.0 AS ha, b - (b - a) / 3.0 AS hb, c + (d - c) / 3.0 AS hc, d - (d - c) / 3.0 AS hd FROM f),
+ l AS (SELECT *, c + (m + CAST(0.5 AS DOUBLE)) * 100.0 AS y FROM (SELECT *, unnest(range(CAST(ceil((d - c) / 100.0 - 0.5) AS BIGINT))) AS m FROM g)),
+ s AS (SELECT *, (n + CAST(0.5 AS DOUBLE)) * 100.0 AS x FROM (SELECT *, unnest(range(CAST(floor(a / 100.0) - 1 AS BIGINT), CAST(ceil(b / 100.0) + 1 AS BIGINT))) AS n FROM l)),
+ k AS (SELECT point_id, key, any_value(population) AS population, count(*) AS n_in, count(*) FILTER (x * x + y * y <= CAST({metres} AS DOUBLE) * {metres}) AS n_hit
+  FROM s WHERE x >= a AND x < b AND NOT (holed AND y > hc AND y <= hd AND x >= ha AND x < hb) GROUP BY point_id, key)"""
+
+
+_CATCHMENT = """ SELECT {0}, CAST(floor(coalesce(sum(CAST(population AS DOUBLE) * n_hit / n_in), 0) + 0.5) AS BIGINT) AS population, CAST(sum(n_hit) AS BIGINT) AS hectares, count(*) FILTER (n_hit >= 0.999 * n_in) AS n_whole, count(*) FILTER (n_hit < 0.999 * n_in) AS n_partial FROM k WHERE n_hit > 0 GROUP BY point_id"""
+
+
+def _told_catchment(rows, name):
+    return rows.select(name, _k(F.col("population"), 1).alias("population"), _k(F.col("area_km2"), 100).alias("hectares"), "n_whole", "n_partial")
+
+
+@query("geo16_scanline_counts", with_("sites", "boxes") + _samples("SELECT point_id, lon, lat FROM sites", 3000) + " SELECT point_id, key, n_in, n_hit FROM k")
 def _(spark, d):
-    rows = spatial.population_within(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d), 2000)
-    return rows.select("point_id", _k(F.col("population"), 1).alias("population"))
+    return spatial.scan_counts(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d).select("key", "rings"), 3000)
+
+
+@query("join22_scr7_population_within", with_("sites", "boxes") + _samples("SELECT point_id, lon, lat FROM sites", 2000) + _CATCHMENT.format("point_id"))
+def _(spark, d):
+    return _told_catchment(spatial.catchments(frame(spark, d, "sites").select("point_id", "lon", "lat"), polygons(spark, d), 2000), "point_id")
+
+
+# a district is every fourth box; beside a hole its centre lies in the left span
+@query("scr7_named_catchments", with_("boxes") + _samples("SELECT name AS point_id, CASE WHEN holed THEN x0 + (x1 - x0) / 6 ELSE (x0 + x1) / 2 END AS lon, (y0 + y1) / 2 AS lat FROM boxes WHERE key % 4 = 0", 10_000) + _CATCHMENT.format("point_id AS name"))
+def _(spark, d):
+    shape = polygons(spark, d)
+    # in a box with a hole the spans on either side are equally wide but for the last bits: take the box without it, moved
+    shifted = F.when(F.size("rings") > 1, F.array(F.transform(F.element_at("rings", 1), lambda p: F.array(F.element_at("rings", 1)[0][0] + (p[0] - F.element_at("rings", 1)[0][0]) / 3, p[1])))).otherwise(F.col("rings"))
+    return _told_catchment(spatial.named_catchments(shape.where("key % 4 = 0").select("name", shifted.alias("rings")), shape, 10_000), "name")
 
 
 @query("join25_what_is_here", with_("boxes", "sites") + f""" SELECT b.key, count(*) AS n FROM sites o JOIN boxes b ON {IN_BOX} WHERE b.key IN (SELECT b.key FROM (SELECT CAST(106.62 AS DOUBLE) AS lon, CAST(-6.6 AS DOUBLE) AS lat) o JOIN boxes b ON {IN_BOX}) GROUP BY b.key""")

@@ -486,3 +486,35 @@ def test_even_stride(spark):
     rows = spark.createDataFrame([(k % 7, k) for k in range(100)], "g long, k long")
     want = [k for n, (_, k) in enumerate(sorted((k % 7, k) for k in range(100))) if n % 9 == 0]
     assert sorted(r.k for r in spatial.thinned(rows, 12, ["g", "k"]).collect()) == sorted(want)
+
+
+def test_scan_counts_are_samples_counted_one_by_one(spark):
+    """Stars with holes of any shape around odd centres; far polygons, flat ones and empty tables give nothing."""
+    rnd = random.Random(11)
+
+    def star(x, y, r, n):
+        return [[x + (far := rnd.uniform(0.3, 1) * r) * math.cos(2 * math.pi * k / n), y + far * math.sin(2 * math.pi * k / n)] for k in range(n)]
+
+    shapes_ = [(k, [star(106.8 + rnd.uniform(-0.06, 0.06), -6.2 + rnd.uniform(-0.06, 0.06), 0.03, 17), *([star(106.8, -6.2, 0.02, 9)] if k % 2 else [])]) for k in range(8)]
+    shapes_ += [(90, [star(120.0, 2.0, 0.01, 5)]), (91, [[[106.8, -6.2], [106.9, -6.2]]])]
+    spots = [(1, 106.8, -6.2), (2, 106.85, -6.25), (3, -50.0, 10.0)]
+    got = spatial.scan_counts(spark.createDataFrame(spots, "point_id long, lon double, lat double"), spark.createDataFrame(shapes_, "key long, rings array<array<array<double>>>"), 5000.0, 150.0)
+
+    def brute(lon, lat, rings):
+        flat = [[(math.radians(p[0] - lon) * geo.EARTH_M * cos(radians(lat)), math.radians(p[1] - lat) * geo.EARTH_M) for p in r] for r in rings]
+        xs, ys = [p[0] for r in flat for p in r], [p[1] for r in flat for p in r]
+        inside = hit = 0
+        y = min(ys) + 75
+        while y < max(ys):
+            for n in range(floor(min(xs) / 150) - 1, floor(max(xs) / 150) + 2):
+                x = (n + 0.5) * 150
+                if sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for r in flat for a, b in zip(r, r[1:] + r[:1])) % 2:
+                    inside, hit = inside + 1, hit + (x * x + y * y <= 5000.0**2)
+            y += 150
+        return inside, hit
+
+    rows = {(r.point_id, r.key): (r.n_in, r.n_hit) for r in got.collect()}
+    want = {(p, k): brute(lon, lat, rings) for p, lon, lat in spots[:2] for k, rings in shapes_[:8]}
+    assert set(rows) <= set(want) and len(rows) > 8
+    assert all(rows.get(key, (0, 0))[1] == hit and (key not in rows or rows[key][0] == n) for key, (n, hit) in want.items())
+    assert spatial.catchments(spark.createDataFrame([], "point_id long, lon double, lat double"), spark.createDataFrame([], "key long, population long, rings array<array<array<double>>>"), 100.0).count() == 0
