@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import text
 from terrafold.operators import facets, siting
 from terrafold.session import checkpoint_dir
-from terrafold.sources import cache, files, sinks, workbooks
+from terrafold.sources import cache, files, sinks, versions, workbooks
 
 from .fixtures import frame, polygons, with_
 from .registry import query
@@ -153,6 +153,19 @@ def _(spark, d):
     return cache.layer(spark, layers, "3").select("made", "point_id", "nation").union(made("b", "never made").where("nation = 4")).union(whole)
 
 
+@query("snk15_snk19_versions", with_("outlets") + """, last AS (SELECT point_id, nation, CASE WHEN point_id % 50 = 0 THEN -value ELSE value END AS value FROM outlets WHERE point_id % 70 <> 1 UNION ALL SELECT -1 - point_id, nation, 0 FROM outlets WHERE point_id % 90 = 0)
+SELECT 1 AS version, point_id, nation, value FROM outlets UNION ALL SELECT 3, point_id, nation, value FROM last""")
+def _(spark, d):
+    # a table, an upsert of corrected and new rows, a deletion; the first version stays what it was
+    rows, folder = frame(spark, d, "outlets").select("point_id", "nation", "value"), _folder(spark, "versions")
+    versions.create(rows, folder, ["point_id"], 32)
+    new = rows.where("point_id % 90 = 0").select((-1 - F.col("point_id")).alias("point_id"), "nation", F.lit(0).cast("long").alias("value"))
+    versions.upsert(rows.where("point_id % 50 = 0").withColumn("value", -F.col("value")).union(new), folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    versions.delete(rows.where("point_id % 70 = 1").select("point_id"), folder, schema)
+    return versions.read(spark, folder, schema, 1).withColumn("version", F.lit(1)).unionByName(versions.read(spark, folder, schema).withColumn("version", F.lit(3)))
+
+
 @query("src21_sheet_kinds", """ SELECT n_nationkey AS id, CASE n_nationkey % 9 WHEN 0 THEN 'site' WHEN 1 THEN 'village' WHEN 2 THEN 'hierarchy' WHEN 3 THEN 'district' WHEN 4 THEN 'store' WHEN 5 THEN 'operator' WHEN 6 THEN 'agent' WHEN 7 THEN 'site' END AS kind FROM nation""")
 def _(spark, d):
     heads = [["Site ID", "Site Lat", "KECAMATAN", "MC"], ["kel_des", "KEC", " KAB_KOT ", "MC"], ["CIRCLE", "REGION", "AREA", "BRANCH", "MC", "KECAMATAN"], ["MC", "Kecamatan"], ["STORE NAME", "LATITUDE"], ["OPERATOR", "LAT"], ["NIK AGENT"], ["SITE_ID", "LATITUDE", "OPERATOR"], ["STORE NAME"]]
