@@ -141,6 +141,37 @@ BESIDE = (
     ("ofl-1.1", " ofl ", "(?:sil )?ofl"),
 )
 
+#: Names of Creative Commons licenses in words, and short names of the Affero and Lesser ones.
+SHORT += tuple((f"cc-by{kind.replace(' ', '-')}", f"creative commons by{kind} ", rf"creative commons by{kind}(?: [1-4] [05])?") for kind in ("", " sa", " nd", " nc", " nc sa", " nc nd"))
+SHORT += (("agpl", " affero gpl ", "(?:gnu )?affero gpl"), ("agpl-3.0", " affero gpl ", "(?:gnu )?affero gpl" + _VERSION.format("3(?: 0)?")), ("lgpl", " lesser gpl ", "(?:gnu )?lesser gpl"), ("lgpl-2.1", " lesser gpl ", "(?:gnu )?lesser gpl" + _VERSION.format("2 1")), ("lgpl-3.0", " lesser gpl ", "(?:gnu )?lesser gpl" + _VERSION.format("3(?: 0)?")))
+#: Addresses of license texts, as words: label and pattern; each has `` org ``.
+LINKS = (
+    *((f"cc-by{kind.replace(' ', '-')}", f"creativecommons org licenses by{kind}(?: [1-4] [05])?") for kind in ("", " sa", " nd", " nc", " nc sa", " nc nd")),
+    ("cc0-1.0", "creativecommons org publicdomain zero(?: 1 0)?"),
+    ("public-domain", "creativecommons org publicdomain mark(?: 1 0)?"),
+    ("apache-1.0", "apache org licenses license 1 0"),
+    ("apache-1.1", "apache org licenses license 1 1"),
+    ("apache-2.0", "apache org licenses license 2 0"),
+    *((f"{name}-{v}", f"gnu org (?:licenses|copyleft)(?: old licenses)? {name} {v.removesuffix('.0').replace('.', ' ')}(?: 0)?") for name, versions in {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("3.0",)}.items() for v in versions),
+    ("gpl", "gnu org (?:licenses|copyleft) gpl"),
+    ("lgpl", "gnu org (?:licenses|copyleft) (?:lgpl|lesser)"),
+    ("agpl", "gnu org licenses agpl"),
+    ("gfdl", "gnu org (?:licenses|copyleft) fdl"),
+    ("mpl-1.0", "mozilla org (?:en us )?mpl (?:mpl )?1 0"),
+    ("mpl-1.1", "mozilla org (?:en us )?mpl (?:mpl )?1 1"),
+    ("mpl-2.0", "mozilla org (?:en us )?mpl 2 0"),
+    ("epl-1.0", "eclipse org legal epl (?:v ?)?1 ?0"),
+    ("epl-2.0", "eclipse org legal epl (?:v ?)?2 ?0"),
+    ("boost-1.0", "boost org license 1 0"),
+    ("ofl-1.1", "sil org ofl"),
+    ("unlicense", "unlicense org"),
+    ("odbl-1.0", "opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odc-by", "opendatacommons org licenses by(?: 1 0)?"),
+    ("pddl", "opendatacommons org licenses pddl(?: 1 0)?"),
+    ("postgresql", "postgresql org about licen[cs]e"),
+    ("zlib", "gzip org zlib zlib license"),
+)
+
 _WORDS = r"(?:[^ ]+ ){1,16}?"
 _COPY = r"permission to use copy modify and(?: or)? distribute this software"
 _FSF = r" as published by the free software foundation(?: either)? version "
@@ -166,11 +197,13 @@ SENTENCES = (
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _VERBS = "(?:licensed|released|distributed|available|published|covered|provided|shared|licenced|offered)"
 #: What a text must have to be scanned at all: a group of these strings, or a match, in lower case.
-GATE_STRINGS = (("licens",), ("licenc",), ("gpl",), ("gfdl",), ("cddl",), ("eupl",), ("wtfpl",), ("spdx",), ("cc0",), ("bsd",), ("perl",), ("commons",), ("hereby", "granted"), ("redistribution", "binary"), ("neither", "endorse"), ("advertising", "mentioning"), ("misrepresented",), ("unencumbered",), ("deed", "dedicated"), ("fuck", "want"), ("permission", "distribute", "fee"))
+GATE_STRINGS = (("licens",), ("licenc",), ("gpl",), ("gfdl",), ("cddl",), ("eupl",), ("wtfpl",), ("spdx",), ("cc0",), ("bsd",), ("perl",), ("commons",), ("hereby", "granted"), ("redistribution", "binary"), ("neither", "endorse"), ("advertising", "mentioning"), ("misrepresented",), ("unencumbered",), ("deed", "dedicated"), (".sil.org",), ("boost.org",), ("mozilla.org",), ("eclipse.org",), ("fuck", "want"), ("permission", "distribute", "fee"))
 GATE = "|".join([*(x.replace(" ", _GAP) for x in ("cc by", "public domain", "rights reserved", "proprietary and", "no attribution")), r"(?<![0-9a-z])(?:mpl|epl|ofl) ?".replace(" ", f"(?:{_GAP})") + "(?:v|version)?(?:" + _GAP + ")?[0-9]", f"{_VERBS}{_GAP}under{_GAP}(?:(?:an?|the|terms|conditions|of|and){_GAP}){{0,6}}(?:mit|expat|isc|zlib|apache|asl|bsl|boost|mpl|epl|ofl|sil)(?![a-uw-z])"])
 
 #: What every rule for identifiers needs; without it in a text none of them is tried.
 _TAG = "spdx license identifier "
+#: What every rule for addresses needs.
+_LINK = " org "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARK = "\x01"
 
@@ -187,6 +220,7 @@ def _spdx_rules():
         label = _RENAMED.get(label, label)
         full = name + ("(?: only| or later)?" if "gpl" in name or "gfdl" in name else "")
         yield f"spdx license identifier {name} ", f"spdx license identifier {full}", label, 40, 1.0
+        yield f" org licenses {name} ", f"(?:opensource|spdx) org licenses {full}(?: html| txt)?", label, 38, 0.95
         for joint in ("or", "and"):
             yield f" {joint} {name} ", f"(?<={joint} ){full}(?<={before}{joint} {full})", label, 40, 1.0
 
@@ -198,7 +232,8 @@ def signatures() -> list[tuple[str, str, str, int, float]]:
     short = [(keyword, rf"(?:{under}|licen[cs]e (?:is )?)?(?:{name})(?: licen[cs]ed?)?", label, 20, 0.8) for label, keyword, name in SHORT]
     beside = [(keyword, rf"(?:{under}(?:{name})(?: licen[cs]e)?|(?:{name}) licen[cs]ed?|licen[cs]e (?:is )?(?:{name}))", label, 20, 0.8) for label, keyword, name in BESIDE]
     sentences = [(keyword, pattern, label, 35, 0.95) for label, keyword, pattern in SENTENCES]
-    return [*_spdx_rules(), *rules, *sentences, *short, *beside, *((phrase, phrase, label, 10, 0.6) for phrase, label in BASE.items())]
+    links = [(" org ", pattern, label, 38, 0.95) for label, pattern in LINKS]
+    return [*_spdx_rules(), *links, *rules, *sentences, *short, *beside, *((phrase, phrase, label, 10, 0.6) for phrase, label in BASE.items())]
 
 
 def scanned(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), rules: Sequence[tuple[str, str, str, int, float]] | None = None) -> DataFrame:
@@ -225,8 +260,10 @@ def scanned(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("d
 
     told = signatures() if rules is None else list(rules)
     tagged = [r for r in told if r[1].startswith(_TAG) or f"(?<={_TAG}" in r[1]]
-    plain = [r for r in told if r not in tagged]
-    tables = [*([due(plain)] if plain else []), *([F.when(F.contains(F.col("words"), F.lit(_TAG)), due(tagged)).otherwise(F.slice(due(tagged[:1]), 1, 0))] if tagged else [])]
+    links = [r for r in told if r[0].startswith(_LINK)]
+    plain = [r for r in told if r not in tagged and r not in links]
+    behind = lambda mark, some: [F.when(F.contains(F.col("words"), F.lit(mark)), due(some)).otherwise(F.slice(due(some[:1]), 1, 0))] if some else []
+    tables = [*([due(plain)] if plain else []), *behind(_TAG, tagged), *behind(_LINK, links)]
     detect = lambda r: F.transform(places(r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["label"].alias("label"), r["score"].alias("score")))
     # sorted by start, longest and strongest first: a hit lies within an earlier one if that ends as late
     none = "array<struct<start:int,minus_end:int,minus_priority:int,label:string,score:double>>"
@@ -236,8 +273,11 @@ def scanned(documents: DataFrame, text: str = "text", carry: Sequence[str] = ("d
     # starts and ends of what is left both grow, so that detections overlap only where neighbours do
     h = F.col("found")
     meets = F.exists(F.arrays_zip(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))).alias("a"), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))).alias("b")), lambda p: p["b"]["start"] < -p["a"]["minus_end"])
-    beaten = lambda x: F.exists(h, lambda y: (y["minus_priority"] < x["minus_priority"]) & (y["start"] < -x["minus_end"]) & (x["start"] < -y["minus_end"]))
-    rows = rows.withColumn("found", F.when(meets, F.filter(h, lambda x: ~beaten(x))).otherwise(h))
+    # strongest first: a detection stays unless it overlaps a stronger one that has stayed
+    by_strength = F.transform(F.array_sort(F.transform(h, lambda x: F.struct(x["minus_priority"].alias("first"), x.alias("hit")))), lambda x: x["hit"])
+    beaten = lambda kept, x: F.exists(kept, lambda y: (y["minus_priority"] < x["minus_priority"]) & (y["start"] < -x["minus_end"]) & (x["start"] < -y["minus_end"]))
+    left = F.aggregate(by_strength, F.array().cast(none), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = rows.withColumn("found", F.when(meets, F.array_sort(left)).otherwise(h))
     base = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(x).alias("label")) for p, x in BASE.items()])
     rows = rows.withColumn("base", F.flatten(F.transform(F.filter(base, lambda b: F.contains(F.col("words"), b["phrase"])), lambda b: F.transform(places(b["phrase"]), lambda p: F.struct(p["start"].alias("start"), b["label"].alias("label"))))))
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))

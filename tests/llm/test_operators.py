@@ -359,7 +359,10 @@ def brute_licenses(text, rules):
         if -x[1] > end:
             kept.append(x)
             end = -x[1]
-    left = [x for x in kept if not any(y[2] < x[2] and y[0] < -x[1] and x[0] < -y[1] for y in kept)]
+    left = []
+    for x in sorted(kept, key=lambda x: (x[2], x)):
+        if not any(y[2] < x[2] and y[0] < -x[1] and x[0] < -y[1] for y in left):
+            left.append(x)
     places = sorted(k for p in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
     base = {x for p, x in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
     return places, sorted(base), sorted(base | {x[3] for x in left}), max((x[4] for x in left), default=0.0), len(w)
@@ -379,14 +382,26 @@ def test_license_scan_against_all_rules_everywhere(spark):
 
 
 def test_license_scan_resolves_partial_overlaps_by_priority(spark):
-    rules = [("a", "a b c", "low", 10, 0.5), ("c", "c d e", "high", 20, 0.9), ("e", "e f", "tie-one", 20, 0.7), ("f", "f g h", "tie-two", 20, 0.6), ("g", "g", "inside", 90, 1.0)]
-    rows = license_scan.scanned(spark.createDataFrame([(1, "a b c d e f g h licensed"), (2, "a b c x e f licensed")], "doc_id long, text string"), rules=rules).collect()
-    assert {r.carried.doc_id: (r.labels, r.score) for r in rows} == {1: (["high", "tie-one", "tie-two"], 0.9), 2: (["low", "tie-one"], 0.7)}
+    rules = [("a", "a b c", "low", 10, 0.5), ("c", "c d e", "high", 20, 0.9), ("e", "e f", "tie-one", 20, 0.7), ("f", "f g h", "tie-two", 20, 0.6), ("g", "g", "inside", 90, 1.0), ("p", "p q r", "chain-low", 1, 0.1), ("r", "r s t", "chain-mid", 2, 0.2), ("t", "t u v", "chain-high", 3, 0.3)]
+    rows = license_scan.scanned(spark.createDataFrame([(1, "a b c d e f g h licensed"), (2, "a b c x e f licensed"), (3, "p q r s t u v licensed")], "doc_id long, text string"), rules=rules).collect()
+    assert {r.carried.doc_id: (r.labels, r.score) for r in rows} == {1: (["high", "tie-one", "tie-two"], 0.9), 2: (["low", "tie-one"], 0.7), 3: (["chain-high", "chain-low"], 0.3)}
 
 
 LICENSED = {
     **{f"// SPDX-License-Identifier: {tag}": want for tag, want in {"MIT": "mit", "Apache-2.0": "apache-2.0", "ISC": "isc", "MPL-2.0": "mpl-2.0", "LGPL-2.1-or-later": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "EPL-2.0": "epl-2.0", "Zlib": "zlib", "BSL-1.0": "boost-1.0", "BSD-3-Clause": "bsd-3-clause", "CC-BY-SA-4.0": "cc-by,cc-by-sa", "(MIT OR Apache-2.0) AND Zlib": "apache-2.0,mit,zlib", "GPL-2.0-only WITH Linux-syscall-note OR BSD-2-Clause": "bsd-2-clause,gpl-2.0"}.items()},
     "Licensed under LGPL v2.1": "lgpl-2.1",
+    "Affero GPL version 3": "agpl-3.0",
+    "the Lesser GPL, version 2.1": "lgpl-2.1",
+    "Creative Commons BY 4.0": "cc-by",
+    "Creative Commons BY-NC-SA 3.0 Unported": "cc-by-nc-sa",
+    "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+    "https://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0",
+    "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "https://opensource.org/licenses/MIT": "mit",
+    "https://spdx.org/licenses/BSD-3-Clause.html": "bsd-3-clause",
+    "see https://www.gnu.org/licenses/old-licenses/gpl-2.0.html": "gpl-2.0",
+    "http://mozilla.org/MPL/2.0/": "mpl-2.0",
+    "https://scripts.sil.org/OFL": "ofl-1.1",
     "subject to the terms under the MPL 2.0": "mpl-2.0",
     "Apache 2.0 license": "apache-2.0",
     "released under the Apache 2.0": "apache-2.0",
