@@ -58,14 +58,22 @@ def _(spark, d):
 def _(spark, d):
     rows = polygons(spark, d)
     features = sinks.geojson_features(rows, sinks.polygon_geometry(F.col("rings")), ["key", "name"])
-    # a collection is one document; there is a feature for each box
-    whole = features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    sinks.write_geojson(whole, path := _folder(spark, "geojson"))
-    found = files.read_geojson(spark, path)
+    sinks.write_collection(features.withColumn("key", F.get_json_object("value", "$.properties.key").cast("int")), path := _folder(spark, "geojson"), [F.col("key")])
+    found = files.read_large_geojson(spark, path)
     ring = F.col("polys")[0]
     return found.select("name", F.col("attrs")["key"].alias("key"), F.size(ring).alias("n_rings"), _k(ring[0][0][0], 1e6).alias("x0_e6"), _k(ring[0][2][1], 1e6).alias("y1_e6"))
 
 
+@query("snk8_src28_outlet_collection", with_("outlets") + f""" SELECT name, CAST(point_id AS VARCHAR) AS id, {_E6} FROM outlets""")
+def _(spark, d):
+    rows = frame(spark, d, "outlets").withColumn("id", F.col("point_id").cast("string"))
+    square = F.array(F.array(*[F.array(F.col("lon") + a, F.col("lat") + b) for a, b in ((0.0, 0.0), (0.001, 0.0), (0.001, 0.001))]))
+    features = sinks.geojson_features(rows, sinks.polygon_geometry(square), ["id", "name"])
+    sinks.write_collection(features, path := _folder(spark, "outlets"), [F.col("value")])
+    corner = F.col("polys")[0][0][0]
+    return files.read_large_geojson(spark, path).select("name", F.col("attrs")["id"].alias("id"), _k(corner[1], 1e6).alias("lat_e6"), _k(corner[0], 1e6).alias("lon_e6"))
+
+
 @query("snk9_src16_src17_kml", with_("sites") + f""" SELECT name, CAST(point_id AS VARCHAR) AS id, '<' || kind || ' & co>' AS kind, {_E6} FROM sites""")
 def _(spark, d):
     rows = frame(spark, d, "sites").withColumns({"id": F.col("point_id"), "folder": F.col("kind"), "kind": F.concat(F.lit("<"), "kind", F.lit(" & co>"))})

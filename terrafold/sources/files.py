@@ -47,17 +47,36 @@ def with_positions(rows: DataFrame, lat: str = "lat", lon: str = "lon") -> DataF
     return rows.withColumn("reject", F.when(F.col(lat).isNull() | F.col(lon).isNull(), "no_coords").when((F.abs(lat) > 90) | (F.abs(lon) > 180), "off_map"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of a collection: ``name``, ``attrs``, ``polys`` (SRC-28)."""
-    geometry = "type string, coordinates string"
-    schema = f"features array<struct<properties:map<string,string>,geometry:struct<{geometry.replace(' ', ':').replace(',:', ',')}>>>"
-    rows = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f"))
+_FEATURE = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """Features ``f`` as ``name``, ``attrs``, ``polys``."""
     poly, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
     coordinates = F.col("f.geometry.coordinates")
     polys = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(coordinates, poly))).when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(coordinates, many))
     return rows.select(F.coalesce(F.col("f.properties")["name"], F.col("f.properties")["NAME"]).alias("name"), F.col("f.properties").alias("attrs"), polys.alias("polys"))
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Features of a collection: ``name``, ``attrs``, ``polys`` (SRC-28). A file is one task, whatever its form."""
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    return _features(spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f")))
+
+
+def read_large_geojson(spark: SparkSession, path: str, mark: str = '{"type":"Feature",') -> DataFrame:
+    """The same of collections of any size, a file by many tasks (SRC-28).
+
+    ``mark`` is how each feature begins, to the letter; files are cut there, wherever a task's bytes begin, and what follows
+    a feature, a comma or the collection's end, is left to the parser to ignore. In a text it can't stand, as quotes are
+    escaped there.
+    """
+    pieces = spark.read.text(path, lineSep=mark).select("value", (F.col("_metadata.file_block_start") == 0).alias("begins"))
+    # what comes before the first mark is no feature; nothing else begins like it
+    told = pieces.where(~F.coalesce(F.rlike(F.ltrim("value"), F.lit(r'^\{\s*"type"\s*:\s*"FeatureCollection"')) & F.col("begins"), F.lit(False)))
+    return _features(told.select(F.from_json(F.concat(F.lit(mark), "value"), _FEATURE).alias("f")).where("f.geometry IS NOT NULL OR f.properties IS NOT NULL"))
+
+
 def map_elements(elements: DataFrame, tags_in_order: Sequence[str] = ("amenity", "shop", "railway", "highway", "public_transport", "office")) -> DataFrame:
     """Elements of a map extract as places; those without a position are left out (SRC-8)."""
     category = F.lit(None).cast("string")

@@ -72,6 +72,23 @@ def write_geojson(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").text(path)
 
 
+def write_collection(features: DataFrame, path: str, order: Sequence[Column]) -> None:
+    """A feature collection in parts that many tasks write: put together in the order of their names, they are one document (SNK-8).
+
+    Features are dealt out by ranges of ``order``, a line each. The first one has the head before it, all others a comma, and
+    the last one the tail behind it; which ones these are, two numbers, is all that passes the driver. Without features
+    the only part is an empty collection.
+    """
+    head, tail = '{"type":"FeatureCollection","features":[', "]}"
+    rows = features.repartitionByRange(*order).sortWithinPartitions(*order, "value").select("value").checkpoint().withColumn("n", F.monotonically_increasing_id())
+    ends = rows.agg(F.min("n").alias("first"), F.max("n").alias("last")).first()
+    if ends.first is None:
+        features.sparkSession.createDataFrame([(head + tail,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    line = F.concat(F.when(F.col("n") == ends.first, head).otherwise(","), "value", F.when(F.col("n") == ends.last, tail).otherwise(""))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def kml_placemarks(rows: DataFrame, name: str, lon: str, lat: str, folder: str, attributes: Sequence[str]) -> DataFrame:
     """A placemark as text for each row, by folder (SNK-9)."""
     safe = lambda c: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")), F.coalesce(F.col(c).cast("string"), F.lit("")))

@@ -128,3 +128,35 @@ def test_streams(spark, tmp_path):
     last = spark.read.parquet(f"{table}/v1")
     assert last.count() == 60 and last.where("value = -1").count() == 10
     assert {(r.first_seen, r.last_seen) for r in last.where("event_id >= 50").collect()} == {("batch-0", "batch-1")}
+
+
+def test_a_collection_in_parts_is_one_document_that_many_tasks_read(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), F.concat(F.lit('say "x", {"type":"Feature",} '), "id").alias("name"), (F.col("id") * 0.1).alias("lon"))
+    square = F.array(F.array(*[F.array(F.col("lon") + a, F.lit(b)) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))]))
+    features = sinks.geojson_features(rows, sinks.polygon_geometry(square), ["id", "name"])
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        _collection(spark, tmp_path, features)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sinks.write_collection(features.limit(0), str(tmp_path / "none"), [F.col("value")])
+    assert json.loads(next((tmp_path / "none").glob("part-*")).read_text()) == {"type": "FeatureCollection", "features": []}
+    assert files.read_large_geojson(spark, str(tmp_path / "none")).count() == 0
+
+
+def _collection(spark, tmp_path, features):
+    sinks.write_collection(features, str(tmp_path / "parts"), [F.col("value")])
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    whole = "".join(p.read_text() for p in parts)
+    told = json.loads(whole)
+    assert len(parts) > 1 and len(told["features"]) == 500 and told["type"] == "FeatureCollection"
+    # one file, in one line
+    (tmp_path / "one.json").write_text(json.dumps(told, separators=(",", ":")))
+    for path in ("parts", "one.json"):
+        found = files.read_large_geojson(spark, str(tmp_path / path))
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted((r.name, r.attrs["id"], r.polys) for r in found.collect()) == sorted((f["properties"]["name"], f["properties"]["id"], [f["geometry"]["coordinates"]]) for f in told["features"])
