@@ -89,11 +89,23 @@ def _(spark, d):
 def _(spark, d):
     lon, lat = F.col("lon"), F.col("lat")
     rows = frame(spark, d, "outlets").select(F.col("point_id").cast("string").alias("id"), F.struct(F.col("name").alias("primary")).alias("names"), F.struct(F.col("brand").alias("primary")).alias("categories"), F.array(F.struct(F.lit("Jl.").alias("freeform"))).alias("addresses"), F.struct(lon.alias("xmin"), lon.alias("xmax"), lat.alias("ymin"), lat.alias("ymax")).alias("bbox"), F.lit(0.9).alias("confidence"))
-    rows.repartitionByRange(8, "bbox.xmin").write.parquet(path := _folder(spark, "places"))
+    sinks.write_places(rows, path := _folder(spark, "places"), F.col("bbox.xmin"), F.col("bbox.ymin"))
     found = files.places_table(files.within_box(spark.read.parquet(path), (-6.5, 106.7, -6.1, 107.0)))
     return found.select("id", "name", "category", _k(F.col("lat"), 1e6).alias("lat_e6"), _k(F.col("lon"), 1e6).alias("lon_e6"))
 
 
+@query("src3_target_places", with_("parts") + """ SELECT CAST(point_id AS VARCHAR) AS id, CASE WHEN point_id % 4 = 0 THEN 'Indomaret' WHEN point_id % 4 = 1 THEN 'Alfamart' END AS brand, CAST(round((106 + point_id / CAST(30000 AS DOUBLE)) * 10000000) AS BIGINT) AS lon_e7 FROM parts
+WHERE (point_id % 3 = 0 OR point_id % 4 = 0) AND point_id % 7 <> 0 AND point_id % 10 >= 4 AND 106 + point_id / CAST(30000 AS DOUBLE) BETWEEN CAST('106.001' AS DOUBLE) AND CAST('106.05' AS DOUBLE)""")
+def _(spark, d):
+    k = F.col("point_id")
+    lon, lat = 106 + k / 30000.0, F.lit(-6.2)
+    name = F.concat(F.when(k % 4 == 0, "Indomaret ").when(k % 4 == 1, "Alfamart ").otherwise("Warung "), F.when(k % 7 == 0, "ATM ").otherwise(""), k.cast("string"))
+    rows = frame(spark, d, "parts").select(k.cast("string").alias("id"), F.struct(name.alias("primary")).alias("names"), F.struct(F.when(k % 3 == 0, "convenience_store").otherwise("shop").alias("primary")).alias("categories"), F.array(F.struct(F.lit("Jl.").alias("freeform"))).alias("addresses"), F.struct(lon.alias("xmin"), lon.alias("xmax"), lat.alias("ymin"), lat.alias("ymax")).alias("bbox"), ((k % 10) / 10.0).alias("confidence"))
+    sinks.write_places(rows, path := _folder(spark, "targets"), F.col("bbox.xmin"), F.col("bbox.ymin"))
+    found = files.target_places(spark.read.parquet(path), (-6.5, 106.001, -6.1, 106.05), ["convenience_store"], name_any="indomaret", name_not=r"\batm\b", least_confidence=0.35)
+    return found.select("id", "brand", _k(F.col("lon"), 1e7).alias("lon_e7"))
+
+
 @query("src8_map_elements", with_("sites") + f""" SELECT CASE WHEN point_id % 2 = 0 THEN 'node/' ELSE 'way/' END || point_id AS place_id, name, CASE WHEN point_id % 3 = 0 THEN 'amenity=' || kind ELSE 'shop=' || kind END AS category, {_E6} FROM sites WHERE point_id % 5 <> 0""")
 def _(spark, d):
     k, none = F.col("point_id"), F.lit(None).cast("double")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terrafold.functions import classify
 from terrafold.functions.geo import DEGREE_M, haversine_m, repaired
 from terrafold.functions.text import header_key, number_with_decimal_comma
 
@@ -107,6 +108,14 @@ def places_table(places: DataFrame) -> DataFrame:
     return places.select("id", F.col("names.primary").alias("name"), taxonomy.alias("category"), basic.alias("basic_category"), status.alias("status"), F.get("addresses", 0)["freeform"].alias("address"), ((F.col("bbox.xmin") + F.col("bbox.xmax")) / 2).alias("lon"), ((F.col("bbox.ymin") + F.col("bbox.ymax")) / 2).alias("lat"), "confidence")
 
 
+def target_places(places: DataFrame, box: tuple[float, float, float, float], categories: Sequence[str], **rule) -> DataFrame:
+    """Places of a target in a box (SRC-3): the box on the scan, then the target's rule (see ``classify.wanted``), with the brand that the
+    name tells and positions of seven digits."""
+    rows = places_table(within_box(places, box)).withColumn("brand", classify.brand(F.col("name")))
+    rows = rows.where(classify.wanted(F.col("name"), F.col("category"), F.col("confidence"), F.col("status"), F.col("brand"), categories, **rule))
+    return rows.withColumns({c: F.round(c, 7) for c in ("lat", "lon")})
+
+
 def around(places: DataFrame, lat: float, lon: float, metres: float, most: int) -> DataFrame:
     """The nearest places within a distance (SRC-4): a range that reaches the scan, then the exact distance."""
     d = metres / DEGREE_M

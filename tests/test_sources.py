@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,39 @@ def _collection(spark, tmp_path, features):
         found = files.read_large_geojson(spark, str(tmp_path / path))
         assert found.rdd.getNumPartitions() > 4
         assert sorted((r.name, r.attrs["id"], r.polys) for r in found.collect()) == sorted((f["properties"]["name"], f["properties"]["id"], [f["geometry"]["coordinates"]]) for f in told["features"])
+
+
+def _groups_in(path, box):
+    """Row groups whose positions can lie in a box, and all."""
+    found = total = 0
+    for file in path.glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(meta.num_columns)}
+            total += 1
+            found += stats["lon"].max >= box[1] and stats["lon"].min <= box[3] and stats["lat"].max >= box[0] and stats["lat"].min <= box[2]
+    return found, total
+
+
+def test_a_box_reads_few_row_groups_of_places_along_a_curve(spark, tmp_path):
+    rows = spark.range(40_000).select("id", (F.rand(1) * 10 + 100).alias("lon"), (F.rand(2) * 10 - 8).alias("lat"), F.repeat(F.lit("x"), 50).alias("name"))
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows.repartition(64).write.parquet(str(tmp_path / "plain"))
+        sinks.write_places(rows, str(tmp_path / "curve"), F.col("lon"), F.col("lat"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shares = []
+    for side in (8.0, 2.0, 0.5):
+        box = (-6.0, 102.0, -6.0 + side / 2, 102.0 + side / 2)
+        assert _groups_in(tmp_path / "plain", box)[0] == _groups_in(tmp_path / "plain", box)[1]
+        found, total = _groups_in(tmp_path / "curve", box)
+        shares.append(found / total)
+        inside = F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3])
+        assert spark.read.parquet(str(tmp_path / "curve")).where(inside).count() == rows.where(inside).count() > 0
+    assert shares[0] > shares[1] >= shares[2] and shares[1] < 0.15 and shares[2] < 0.08
+    assert sorted(r[0] for r in spark.createDataFrame([(None, 1.0), (200.0, 95.0), (-180.0, -90.0)], "lon double, lat double").select(sinks.curve(F.col("lon"), F.col("lat"))).collect() if r[0] is not None) == [0, 2**32 - 1]
