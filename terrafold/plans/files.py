@@ -94,6 +94,23 @@ def _(spark, d):
     return found.select("id", "name", "category", _k(F.col("lat"), 1e6).alias("lat_e6"), _k(F.col("lon"), 1e6).alias("lon_e6"))
 
 
+@query("src20_src30_loose", with_("outlets") + f""" SELECT how, CAST(point_id AS VARCHAR) AS code, name, {_E6} FROM outlets, (SELECT unnest(['headed', 'bare']) AS how)""")
+def _(spark, d):
+    # one file with a title and a header below it, one without any; decimal commas and semicolons
+    rows, folder = frame(spark, d, "outlets"), _folder(spark, "loose")
+    comma = lambda c: F.replace(F.format_string("%.8f", c), F.lit("."), F.lit(","))
+    line = F.concat_ws(";", F.col("point_id").cast("string"), "name", comma(F.col("lat")), comma(F.col("lon")))
+    lines = rows.repartitionByRange("point_id").sortWithinPartitions("point_id").select(line.alias("value"))
+    lines.coalesce(1).write.text(f"{folder}/bare")
+    head = spark.createDataFrame([(0, "All outlets;;;"), (1, ""), (2, "Kode;Outlet Name;LATITUDE;Long")], "n int, value string")
+    head.union(lines.select(F.lit(3), "value")).coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{folder}/headed")
+    synonyms = {"code": ["kode"], "name": ["outletname"], "lat": ["lat", "latitude"], "lon": ["lon", "long"]}
+    read = lambda how: files.read_loose(spark, f"{folder}/{how}", synonyms).withColumn("how", F.lit(how))
+    found = read("headed").unionByName(read("bare").withColumnRenamed("c0", "code"))
+    found = files.with_positions(found)
+    return found.select("how", "code", "name", _k(F.col("lat"), 1e6).alias("lat_e6"), _k(F.col("lon"), 1e6).alias("lon_e6"))
+
+
 @query("src3_target_places", with_("parts") + """ SELECT CAST(point_id AS VARCHAR) AS id, CASE WHEN point_id % 4 = 0 THEN 'Indomaret' WHEN point_id % 4 = 1 THEN 'Alfamart' END AS brand, CAST(round((106 + point_id / CAST(30000 AS DOUBLE)) * 10000000) AS BIGINT) AS lon_e7 FROM parts
 WHERE (point_id % 3 = 0 OR point_id % 4 = 0) AND point_id % 7 <> 0 AND point_id % 10 >= 4 AND 106 + point_id / CAST(30000 AS DOUBLE) BETWEEN CAST('106.001' AS DOUBLE) AND CAST('106.05' AS DOUBLE)""")
 def _(spark, d):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from terrafold.functions import classify
-from terrafold.functions.geo import DEGREE_M, haversine_m, repaired
+from terrafold.functions.geo import DEGREE_M, ENVELOPE, haversine_m, repaired
 from terrafold.functions.text import header_key, number_with_decimal_comma
 
 SEPARATORS = ",;\t|"
@@ -40,6 +40,50 @@ def read_table(spark: SparkSession, path: str, synonyms: Mapping[str, Sequence[s
     return rows.toDF(*names)
 
 
+#: Rows among which a header is sought.
+HEADER_ROWS = 12
+
+
+def read_loose(spark: SparkSession, path: str, synonyms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """A delimited file whose header stands among its first ``HEADER_ROWS`` lines, or nowhere (SRC-20, SRC-30).
+
+    The header is the first of the lines with the most known names; what stands before it is left out, and unknown columns
+    keep their names. Where no line has a known name, columns are told by what they hold, in one pass over all lines:
+    ``lat`` and ``lon`` are the columns whose values lie in the map's envelope most often (never seldom), ``name`` is the
+    first one that holds words mostly; others are ``c0`` and so on. Blank lines are no rows.
+    """
+    head = [r.value for r in spark.read.text(path).limit(HEADER_ROWS).collect()]
+    sep = separator(max(head, key=lambda line: max(len(next(csv.reader(io.StringIO(line), delimiter=s), [])) for s in SEPARATORS), default=""))
+    cells = [next(csv.reader(io.StringIO(line), delimiter=sep), []) for line in head]
+    known = {alias: name for name, aliases in synonyms.items() for alias in aliases}
+    told = [(i, k, c) for i, row in enumerate(cells) for k, c in enumerate(row)]
+    keys = spark.createDataFrame(told or [(0, 0, "")], "i int, k int, c string").select("i", "k", header_key(F.col("c")).alias("key")).collect()
+    score = [len({known[r.key] for r in keys if r.i == i and r.key in known}) for i in range(len(cells))]
+    at = score.index(max(score)) if any(score) else -1
+    width = max(map(len, cells[at : at + 1] if at >= 0 else cells), default=0) or 1
+    names = [f"c{k}" for k in range(width)]
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    # the first lines are those of the block that begins the file, which is the first one in its partition
+    lines = spark.read.text(path).select("value", place.alias("n"), (F.col("_metadata.file_block_start") == 0).alias("first"))
+    lines = lines.where((~F.col("first") | (F.col("n") > at)) & (F.trim("value") != ""))
+    rows = lines.select(F.from_csv("value", ", ".join(f"{c} string" for c in names), {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+    if at >= 0:
+        keyed = {r.k: known.get(r.key) for r in keys if r.i == at}
+        new, taken = [], set()
+        for k, c in enumerate(cells[at]):
+            name = keyed.get(k) if keyed.get(k) not in taken else None
+            new.append(name or (c if c and c not in taken and c not in synonyms else f"c{k}"))
+            taken.add(new[-1])
+        return rows.toDF(*new)
+    number = lambda c: number_with_decimal_comma(F.col(c))
+    within = lambda c, what: F.count_if(number(c).between(*ENVELOPE[what]))
+    found = rows.agg(*[f for c in names for f in (F.count_if(F.trim(c) != "").alias(f"{c}_n"), F.count_if(number(c).isNotNull()).alias(f"{c}_num"), within(c, "lat").alias(f"{c}_lat"), within(c, "lon").alias(f"{c}_lon"))]).first()
+    best = {what: max((c for c in names if 2 * found[f"{c}_{what}"] > found[f"{c}_n"]), key=lambda c: found[f"{c}_{what}"], default=None) for what in ("lat", "lon")}
+    words = next((c for c in names if 2 * found[f"{c}_num"] < found[f"{c}_n"]), None)
+    of = {c: what for what, c in [*best.items(), ("name", words)] if c is not None}
+    return rows.toDF(*[of.get(c, c) for c in names])
+
+
 def with_positions(rows: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Latitude and longitude as numbers, decimal commas read and swapped pairs repaired; ``reject`` says why a row
     can't be placed (SRC-26, SRC-27)."""

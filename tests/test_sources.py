@@ -197,3 +197,16 @@ def test_a_box_reads_few_row_groups_of_places_along_a_curve(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "curve")).where(inside).count() == rows.where(inside).count() > 0
     assert shares[0] > shares[1] >= shares[2] and shares[1] < 0.15 and shares[2] < 0.08
     assert sorted(r[0] for r in spark.createDataFrame([(None, 1.0), (200.0, 95.0), (-180.0, -90.0)], "lon double, lat double").select(sinks.curve(F.col("lon"), F.col("lat"))).collect() if r[0] is not None) == [0, 2**32 - 1]
+
+
+def test_loose_files_with_a_late_header_or_none(spark, tmp_path):
+    synonyms = {"name": ["outletname", "name"], "lat": ["lat", "latitude"], "lon": ["lon", "long"]}
+    read = lambda text: (lambda p: p.write_text(text) and files.read_loose(spark, str(p), synonyms))(tmp_path / f"{abs(hash(text))}.csv")
+    late = read('Report of May\n\nNo;Outlet Name;Latitude;LONG;Note;Name\n1;"A; B";-6,2;106,8;x;y\n\n2;C;-6,3;106,9;;\n')
+    assert late.columns == ["No", "name", "lat", "lon", "Note", "Name"]
+    assert [tuple(r)[:5] for r in late.collect()] == [("1", "A; B", "-6,2", "106,8", "x"), ("2", "C", "-6,3", "106,9", None)]
+    bare = read("7,North,106.8,-6.2\n8,South,106.9,-6.3\n9,East,,-6.1\n")
+    assert bare.columns == ["c0", "name", "lon", "lat"] or bare.columns == ["lat", "name", "lon", "c3"]
+    assert bare.select("name").collect()[2][0] == "East"
+    assert read("just words\nmore words\n").columns == ["name"]
+    assert read(" \n").count() == 0
