@@ -86,8 +86,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (
     url_filter.Rule("com/en/", "block"),
     url_filter.Rule("example.com/en/7", "allow"),
-    url_filter.Rule("net/de/", "block"),
-    url_filter.Rule("example.net/de/8", "allow"),
+    url_filter.Rule("net/de/", "allow"),
+    url_filter.Rule("example.net/de/8", "block"),
     url_filter.Rule("org/es/", "block"),
 )
 #: Weak labels: there is no table of labelled urls, so these words in a host say block. No feature of

@@ -86,6 +86,15 @@ def test_url_query_by_rules_and_one_verdict_for_equal_urls(spark):
     assert all(len(v) == 1 for v in verdicts.values())
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/8", "http://www.EXAMPLE.net/de/81?q", "http://b.net/de/", "http://a.org/es/x", "http://a.org/de/x", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op6_url_filter(spark, str(tmp_path)).collect()}
+    rules = ["com/en/", "example.com/en/7", "net/de/", "example.net/de/8", "net/de/", "org/es/"]
+    assert got == dict(enumerate((r, words[r]) for r in rules)) | {6: (None, "allow"), 7: (None, "allow")}
+
+
 def test_pipeline_keeps_clean_documents_and_whole_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
