@@ -16,11 +16,21 @@ from terrafold.functions.geo import haversine_m
 from .resolve import clusters
 
 
+#: Cells that the points of one task reach, about.
+STAMPS_A_TASK = 1_000_000
+
+
 def _stamps(points: DataFrame, cell: float, reach: float) -> DataFrame:
-    """A row for each cell whose centre a point reaches, with the squared distance."""
+    """A row for each cell whose centre a point reaches, with the squared distance.
+
+    Points are dealt out first, so that a task stamps and sorts as many cells however many points there are.
+    """
     r = int(math.ceil(reach / cell))
     steps = F.sequence(F.lit(-r), F.lit(r))
-    at = points.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
+    points = points.select("owner", "x", "y")
+    parts = 1 + points.count() * (2 * r + 1) ** 2 // STAMPS_A_TASK
+    at = points.repartition(parts) if parts > 1 else points
+    at = at.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
     at = at.withColumn("i", (F.floor(F.col("x") / cell) + F.col("di")).cast("int")).withColumn("j", (F.floor(F.col("y") / cell) + F.col("dj")).cast("int"))
     d2 = F.pow((F.col("i") + 0.5) * cell - F.col("x"), 2) + F.pow((F.col("j") + 0.5) * cell - F.col("y"), 2)
     return at.withColumn("d2", d2).where(F.col("d2") <= reach * reach).drop("di", "dj")
