@@ -155,6 +155,59 @@ def test_points_in_polygons_with_holes(spark):
         assert first[p] == (min(own) if own else None) and small[p] == (max(own) if own else None)
 
 
+def _apart(a, b):
+    from math import asin, cos, radians, sin, sqrt
+
+    h = sin(radians(b[2] - a[2]) / 2) ** 2 + cos(radians(a[2])) * cos(radians(b[2])) * sin(radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371008.8 * asin(sqrt(h))
+
+
+def test_near_loses_no_pair_and_deals_out_its_candidates(spark, monkeypatch):
+    rnd = random.Random(5)
+    spots = [(k, 106 + 0.2 * rnd.random(), 59.9 - 0.1 * rnd.random()) for k in range(300)] + [(k, 106.05, -0.00001 * (k % 3)) for k in range(300, 420)]
+    # two cells apart in latitude, and yet within 2000 m
+    size = 2000 / 111320.0 * 1.001
+    spots += [(500, 107.0, 5 * size - 1e-9), (501, 107.0, 5 * size - 1e-9 + 1999.99 / 111195.0802)]
+    frame = spark.createDataFrame(spots, "point_id long, lon double, lat double")
+    want = {(a[0], b[0]) for a in spots for b in spots if _apart(a, b) <= 2000}
+    assert (500, 501) in want
+    pairs = lambda: {(r.point_id, r.r_point_id) for r in spatial.near(frame, frame, 2000.0).collect()}
+    assert pairs() == want
+    monkeypatch.setattr(spatial, "MOST_BROADCAST", 10)
+    assert pairs() == want
+    monkeypatch.setattr(spatial, "PAIRS_A_TASK", 1000)
+    found = spatial.near(frame, frame, 2000.0)
+    assert {(r.point_id, r.r_point_id) for r in found.collect()} == want and found.count() == len(want)
+    each = found.groupBy(F.spark_partition_id()).count().collect()
+    # a place with 120 rows is one cell: its pairs are dealt out, too
+    assert len(each) > 10 and max(r["count"] for r in each) < 6000
+
+
+def test_counts_within_against_pairs(spark):
+    rnd = random.Random(6)
+    points = [(k, 106 + 0.5 * rnd.random(), -0.2 + 0.4 * rnd.random()) for k in range(150)] + [(k, 106 + rnd.random(), 59.7 + 0.2 * rnd.random()) for k in range(150, 250)] + [(900, None, 1.0)]
+    things = [(k, 106 + 0.5 * rnd.random(), -0.2 + 0.4 * rnd.random(), "ab"[k % 2]) for k in range(700)] + [(k, 106 + rnd.random(), 59.7 + 0.2 * rnd.random(), None) for k in range(700, 1100)] + [(k, 106.2, 0.0, "c") for k in range(1100, 1300)]
+    got = spatial.counts_within(spark.createDataFrame(points, "point_id long, lon double, lat double"), spark.createDataFrame(things, "point_id long, lon double, lat double, kind string"), 15000.0)
+    want = {}
+    for a in points[:-1]:
+        for b in things:
+            if _apart(a, b) <= 15000:
+                want[a[0], b[3]] = want.get((a[0], b[3]), 0) + 1
+    assert {(r.point_id, r.kind): r.n for r in got.collect()} == want
+
+
+def test_nearest_meets_few_pairs_where_the_ground_is_dense(spark, monkeypatch):
+    rnd = random.Random(7)
+    spots = [(k, 106 + 0.02 * rnd.random(), -6 - 0.02 * rnd.random()) for k in range(900)] + [(k, 106.01, -6.01) for k in range(900, 1000)] + [(1000, 107.5, -6.0)]
+    frame = spark.createDataFrame(spots, "point_id long, lon double, lat double")
+    met, own = [], spatial.near
+    monkeypatch.setattr(spatial, "near", lambda *a: met.append(own(*a)) or met[-1])
+    got = {r.point_id: r.nearest_id for r in spatial.nearest(frame, frame, 10_000, other=True).collect()}
+    assert got == {a[0]: min((b for b in spots if b[0] != a[0]), key=lambda b: (_apart(a, b), b[0]))[0] for a in spots}
+    # 10 km around each hold all the others: a million pairs
+    assert sum(p.count() for p in met) < 100_000
+
+
 def test_nearest_by_growing_rings(spark):
     rnd = random.Random(4)
     spots = lambda n, seed: [(k, 106 + rnd.random(), -6 - rnd.random()) for k in range(n)]
