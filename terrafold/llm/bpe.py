@@ -34,8 +34,8 @@ from .words import sliced
 #: Pieces and pairs whose results a task keeps at most, of each.
 MOST_KEPT = 320_000
 
-#: Text bytes whose parts are told apart, and then encoded once, at a time.
-SLICE_BYTES = 8 << 20
+#: Text bytes whose parts are told apart, and then encoded once, at a time. Decoding them takes some twenty times as many.
+SLICE_BYTES = 2 << 20
 
 #: Token ids that are decoded at a time; a row with more is a slice of its own.
 SLICE_IDS = 1 << 18
@@ -245,7 +245,9 @@ def _gathered(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tupl
     lengths = np.diff(bounds)[which]
     out = np.zeros(len(which) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
-    return values[np.repeat(bounds[which] - out[:-1], lengths) + np.arange(out[-1])], out
+    at = np.repeat(bounds[which] - out[:-1], lengths)
+    at += np.arange(out[-1])
+    return values[at], out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
