@@ -4,13 +4,14 @@ import math
 import random
 import re
 from difflib import SequenceMatcher
+from functools import partial
 from math import asin, cos, floor, radians, sin, sqrt
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import classify, geo, reps, text
-from terrafold.operators import forcefit, lattice, order, outline, resolve, review, shapes, siting, spatial, territory
+from terrafold.operators import compared, forcefit, lattice, order, outline, resolve, review, shapes, siting, spatial, territory
 
 
 def _values(rows, *columns):
@@ -125,6 +126,44 @@ def test_named_pairs_match_by_name_brand_and_distance(spark):
     assert got == {(1, 11): (1.0, "match"), (2, 12): (round(0.35 + 0.55 * 26 / 36, 4), "match"), (2, 13): (round(0.35 + 0.55, 4), "match")}
 
 
+_ODD = "place_id long, name string, brand string, class string, lon double, lat double"
+
+
+def _odd_places(spark, seed, n, first):
+    """Places with and without names, brands, classes and positions, many at one spot, and near a corner of two tiles."""
+    rnd = random.Random(seed)
+    names = [None, "", "---", "PT Toko", "Kopi & Roti", "kopi roti kopi", "Kopi", *["Kedai " + "".join(rnd.choice("abc 1") for _ in range(rnd.randrange(12))) for _ in range(9)], "x" * 120 + " " + "ab" * 60]
+    spot = lambda: rnd.choice([(106.8, -6.2), (106.8 + 0.03 * rnd.random(), -6.2 + 0.03 * rnd.random()), (106.8 + 0.0002 * rnd.random(), -6.2)])
+    rows = [(first + k, rnd.choice(names), rnd.choice([None, None, "A", "B"]), rnd.choice([None, "bank", "bank", "retail"]), *spot()) for k in range(n)]
+    return spark.createDataFrame([*rows, (first + n, "Kopi", None, None, None, -6.2)], _ODD)
+
+
+@pytest.fixture(params=["whole", "dealt"])
+def dealt(request, spark, monkeypatch):
+    """Groups as they come, and cut on both sides, with small batches."""
+    if request.param == "dealt":
+        monkeypatch.setattr(compared, "CANDIDATES", 500)
+        monkeypatch.setattr(compared, "MOST_HELD", 20)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    yield request.param
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("sizes", [(120, 60), (50, 130)])
+def test_best_pairs_are_assigned_as_all_pairs(spark, monkeypatch, dealt, sizes):
+    a, b = _odd_places(spark, 1, sizes[0], 0), _odd_places(spark, 2, sizes[1], 1000)
+    pairs = resolve.scored(resolve.candidates(a, b, 900.0), 900.0).where("score > 0.2").select("place_id", "r_place_id", "score").collect()
+    monkeypatch.setattr(resolve, "LISTED", 1)
+    monkeypatch.setattr(resolve, "MORE", 3)
+    found = resolve.one_to_one_near(a, b, 900.0, 0.2)
+    assert _values(found, "place_id", "r_place_id") == _greedy([tuple(r) for r in pairs])
+    if dealt == "whole":
+        # what leaves the tasks: the best two of a place in each tile it stands in, not all of its pairs
+        rank = partial(resolve._score, reach=900.0, above=0.2)
+        listed = compared.best_compared(resolve._worded(a), resolve._worded(b), 900.0, 2, rank).count()
+        assert listed <= 2 * 9 * min(sizes) < len(pairs)
+
+
 # places in polygons
 
 
