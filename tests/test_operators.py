@@ -164,6 +164,28 @@ def test_best_pairs_are_assigned_as_all_pairs(spark, monkeypatch, dealt, sizes):
         assert listed <= 2 * 9 * min(sizes) < len(pairs)
 
 
+def test_what_is_known_without_blocks_is_that_of_scored_pairs(spark, dealt):
+    for sizes in ((90, 40), (40, 90)):
+        a, b = _odd_places(spark, 3, sizes[0], 0), _odd_places(spark, 4, sizes[1], 1000)
+        rows = resolve.scored(resolve.candidates(a, b, 900.0), 900.0)
+        unnamed = F.col("r_name").isNull()
+        words = text.jaccard(text.name_tokens(F.col("name")), text.name_tokens(F.col("r_name")))
+        want = rows.select("place_id", "r_place_id", "veto", unnamed.alias("r_unnamed"), words.alias("words"), F.when(F.col("veto") | unnamed, F.col("score")).alias("score"))
+        got = resolve.unscored_near(a, b, 900.0)
+        # no text of a pair goes to Python
+        assert "_matched_share" in rows._jdf.queryExecution().toString() and "_matched_share" not in got._jdf.queryExecution().toString()
+        told = lambda rows: sorted(repr(tuple(r)) for r in rows.select(*want.columns).collect())
+        assert told(got) == told(want) and got.count() > 1000
+
+
+def test_words_of_many_pairs_are_not_sent_to_python(spark):
+    from terrafold.plans import registry
+    from tests.test_queries import LARGER
+
+    plan = registry.queries()["join3_scoring"](spark, LARGER)._jdf.queryExecution().toString()
+    assert "_matched_share" not in plan and "ArrowEvalPython" not in plan
+
+
 # places in polygons
 
 
