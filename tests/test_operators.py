@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import partial
 from math import asin, cos, floor, radians, sin, sqrt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,29 @@ def test_words_of_many_pairs_are_not_sent_to_python(spark):
     assert "_matched_share" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_scores_of_near_places_are_those_of_their_pairs(spark, dealt):
+    for sizes in ((90, 40), (40, 90)):
+        a, b = _odd_places(spark, 5, sizes[0], 0), _odd_places(spark, 6, sizes[1], 1000)
+        want = resolve.scored(resolve.candidates(a, b, 900.0), 900.0)
+        told = lambda rows: {(r.place_id, r.r_place_id): (round(r.score, 9), r.verdict) for r in rows.select("place_id", "r_place_id", "score", "verdict").collect()}
+        got = told(resolve.scored_near(a, b, 900.0))
+        assert got == told(want) and len(got) > 1000 and {v for _, v in got.values()} == {"match", "review", "no"}
+
+
+def test_matching_blocks_of_many_pairs_at_once(monkeypatch):
+    rnd = random.Random(9)
+    for letters in ("ab", "abc ", "abcdefgh 0123", "aé中þÿ"):
+        word = lambda n: "".join(rnd.choice(letters) for _ in range(n))  # noqa: E731, B023
+        a, b = ([word(rnd.randrange(40)) for _ in range(40)] + ["", word(199), word(200), word(230)] for _ in range(2))
+        pairs = [(x, y) for x in a for y in b]
+        got = text._matched_share.func(*(pd.Series(c) for c in zip(*pairs)))
+        assert list(got) == [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    # names of usual length never go pair by pair
+    monkeypatch.setattr(text, "SequenceMatcher", None)
+    got = text._matched_share.func(pd.Series(["kopi roti", None, "kopi"]), pd.Series(["roti kopi", "kopi", "kopi"]))
+    assert got[0] == SequenceMatcher(None, "kopi roti", "roti kopi").ratio() and math.isnan(got[1]) and got[2] == 1
+
+
 # places in polygons
 
 
